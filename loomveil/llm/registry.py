@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomveil.llm import chat, decontam, quality, sentences, warc
+from loomveil.llm import chat, decontam, ngram_join, quality, sentences, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.encode_digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -41,6 +45,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc_salvage": op9_warc_salvage,
@@ -52,6 +57,19 @@ _ALNUM = _WORDS.format(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SPACED = _WORDS.format(r"[^\x20\x09-\x0D]+")
 
 ORACLE: dict[str, str] = {
+    "op4_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i : i + 2])) END AS s FROM d),
+g AS (SELECT min(doc_id) AS item, list_sort(s) AS s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
+e AS (SELECT item, n, unnest(s) AS x FROM g),
+c AS (SELECT a.item AS a, b.item AS b FROM e a JOIN e b ON a.x = b.x AND a.item < b.item AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY a.item, b.item, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM c UNION ALL SELECT b, a FROM c),
+r AS (SELECT item AS x, item AS y FROM g UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
+m AS (SELECT x AS item, min(y) AS comp FROM r GROUP BY x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.comp, s.doc_id) AS component_id
+FROM s LEFT JOIN g ON g.s = list_sort(s.s) LEFT JOIN m ON m.item = g.item
+""",
     "op6_decontamination": f"""
 WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL),
