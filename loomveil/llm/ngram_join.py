@@ -112,7 +112,7 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """(item, shingles) of the documents in items (one column, item)."""
+    """(item, shingles) of the documents in items (one column), and of a few others; docs are only read."""
     wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,7 @@ def whole_sets(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
             for at, values, bounds in _sets(batch.column(1), n):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bounds) - 1), textops.list_array(_signed(values), bounds)], names=["item", "shingles"])
 
-    return docs.where("id is not null").mapInArrow(run, "item bigint, shingles array<bigint>").join(items, "item", "left_semi")
+    return docs.where("id is not null").mapInArrow(run, "item bigint, shingles array<bigint>")
 
 
 def exact_check(sets: DataFrame, percent: int):
@@ -148,14 +148,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = ["n_shingles", "key1", "key2"]
     real = table.where("id is not null and n_shingles > 0")
     groups = real.groupBy(*keys).agg(F.min("id").alias("item"))
-    item_of = stash(real.join(groups, keys).select("id", "item").distinct(), "items")
-    heads = real.join(groups, keys).where("id = item").drop("id", "key1", "key2").dropDuplicates(["item", "n_shingles", "sig1", "sig2"])
+    item_of = stash(real.select("id", *keys).join(groups, keys).select("id", "item").distinct(), "items")
+    heads = real.select("id", *keys, "prefix").join(groups, keys).where("id = item")
     members = heads.select("item", "n_shingles", F.posexplode("prefix").alias("at", "bucket"))
     shared = members.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("bucket")
     members = stash(members.join(shared, "bucket"), "members")
-    items = stash(members.select("item").distinct(), "shared")
-    sets = stash(whole_sets(own, items, n), "whole")
-    sigs = stash(heads.join(items, "item", "left_semi").select("item", "n_shingles", "sig1", "sig2"), "sigs")
 
     def may_link(x: str, y: str):
         need, at = needed(x, y, percent), [F.col(f"{s}.at") for s in (x, y)]
@@ -163,14 +160,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         length = F.least(F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")) >= need
         return length & (F.least(*at) + F.least(*rest) >= need)
 
-    exact = exact_check(sets, percent)
-
     def check(pairs: DataFrame) -> DataFrame:
-        """The suffix filter, then the sets."""
-        a, b = sigs.select(F.col("item").alias("a"), F.struct("n_shingles", "sig1", "sig2").alias("x")), sigs.select(F.col("item").alias("b"), F.struct("n_shingles", "sig1", "sig2").alias("y"))
+        """The suffix filter, then the whole sets of what is left."""
+        sig = F.struct("n_shingles", "sig1", "sig2")
+        a, b = real.select(F.col("id").alias("a"), sig.alias("x")), real.select(F.col("id").alias("b"), sig.alias("y"))
         apart = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in ("sig1", "sig2")), F.lit(0))
         near = pairs.join(a, "a").join(b, "b").where(apart <= F.col("x.n_shingles") + F.col("y.n_shingles") - 2 * needed("x", "y", percent))
-        return exact(near.select("a", "b").distinct())
+        near = stash(near.select("a", "b").distinct(), "near")
+        items = near.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+        return exact_check(whole_sets(own, items, n), percent)(near)
 
     found = link(members, check, may_link).toDF("item", "component")
     named = item_of.join(found, "item", "left").groupBy("id").agg(F.min(F.coalesce("component", "item")).alias("component_id"))
