@@ -7,7 +7,7 @@ the whole sets.
 
 * Equal sets are collapsed before the join, so groups of copies cost one item.
 * The order comes from counts of all shingles of the corpus in a fixed number of hashed counters
-  (``COUNTERS``), by quarter powers of two, ties by hash.  Any order gives the same result; counting only
+  (``COUNTERS``), by eighth powers of two, ties by hash.  Any order gives the same result; counting only
   keeps frequent shingles out of the prefixes.
 * Prefix shingles meet by ``linking.link``: components without all pairs of a bucket.
 * Whole sets are built again only for items that share a bucket, found by a Bloom filter of bounded
@@ -34,8 +34,10 @@ from loomveil.llm import textops
 from loomveil.llm.linking import IdFilter, link
 from loomveil.llm.shared import stash
 
-COUNTERS = 1 << 18
-_PIECE = 1 << 12
+COUNTER_BITS = 21
+COUNTERS = 1 << COUNTER_BITS
+_PIECE = 1 << 14
+SIGS = ["sig1", "sig2", "sig3", "sig4"]
 
 
 def _sets(column, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -46,7 +48,7 @@ def _sets(column, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _counter(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(64 - 18)).astype(np.int64)
+    return (values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
 def rarity(docs: DataFrame, n: int) -> np.ndarray:
@@ -63,18 +65,18 @@ def rarity(docs: DataFrame, n: int) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.frombuffer(data, dtype=np.int64)
+                own = np.frombuffer(data, dtype=np.uint32).astype(np.int64)
                 held[i] = held[i] + own if i in held else own
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["piece", "data"])
 
     def pieces(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["piece", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.astype(np.uint32).tobytes() for r in rows], pa.binary())], names=["piece", "data"])
 
     schema = "piece int, data binary"
     total = np.zeros(COUNTERS, dtype=np.int64)
     for r in docs.mapInArrow(count, schema).repartition(COUNTERS // _PIECE, "piece").mapInArrow(add, schema).collect():
         total[r.piece * _PIECE :][:_PIECE] += np.frombuffer(r.data, dtype=np.int64)
-    return np.minimum(255, np.rint(4 * np.log2(total + 1))).astype(np.uint8)
+    return np.minimum(255, np.rint(8 * np.log2(total + 1))).astype(np.uint8)
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -82,7 +84,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, n_shingles, key1, key2, sig1, sig2, prefix) of rows (id, text): the digest of each set, a
+    """(id, n_shingles, key1, key2, sig1 to sig4, prefix) of rows (id, text): the digest of each set, a
     bitmap of parities of its shingles, and its prefix in the global order."""
     level = docs.sparkSession.sparkContext.broadcast(rarity(docs.select("text"), n))
 
@@ -94,8 +96,8 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 spread = textops.mix(values)
                 key1, key2 = textops.sums(spread, bounds), textops.sums(textops.mix(spread ^ np.uint64(0xA5A5A5A5)), bounds)
                 owner = np.repeat(np.arange(len(size)), size)
-                parity = np.zeros((len(size), 128), dtype=np.uint8)
-                np.add.at(parity, (owner, (spread & np.uint64(127)).astype(np.int64)), 1)
+                parity = np.zeros((len(size), 256), dtype=np.uint8)
+                np.add.at(parity, (owner, (spread & np.uint64(255)).astype(np.int64)), 1)
                 sig = np.packbits(parity & 1, axis=1).view(np.int64)
                 order = np.lexsort((values, levels[_counter(values)], owner))
                 ordered = values[order]
@@ -104,11 +106,11 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 take = np.arange(len(ordered)) - np.repeat(bounds[:-1], size) < np.repeat(length, size)
                 cut = np.concatenate([[0], np.cumsum(length)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(size)), pa.array(size, pa.int64()), pa.array(_signed(key1)), pa.array(_signed(key2)), pa.array(sig[:, 0]), pa.array(sig[:, 1]), textops.list_array(_signed(ordered[take]), cut)],
-                    names=["id", "n_shingles", "key1", "key2", "sig1", "sig2", "prefix"],
+                    [batch.column(0).slice(at, len(size)), pa.array(size, pa.int64()), pa.array(_signed(key1)), pa.array(_signed(key2)), *(pa.array(np.ascontiguousarray(sig[:, j])) for j in range(4)), textops.list_array(_signed(ordered[take]), cut)],
+                    names=["id", "n_shingles", "key1", "key2", *SIGS, "prefix"],
                 )
 
-    return docs.mapInArrow(run, "id bigint, n_shingles bigint, key1 bigint, key2 bigint, sig1 bigint, sig2 bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n_shingles bigint, key1 bigint, key2 bigint, " + ", ".join(f"{s} bigint" for s in SIGS) + ", prefix array<bigint>")
 
 
 def whole_sets(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
@@ -152,23 +154,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = real.select("id", *keys, "prefix").join(groups, keys).where("id = item")
     members = heads.select("item", "n_shingles", F.posexplode("prefix").alias("at", "bucket"))
     shared = members.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("bucket")
-    members = stash(members.join(shared, "bucket"), "members")
+    signed = real.select(F.col("id").alias("item"), "n_shingles", *SIGS).dropDuplicates(["item", "n_shingles"])
+    members = stash(members.join(shared, "bucket").join(signed, ["item", "n_shingles"]), "members")
 
     def may_link(x: str, y: str):
+        """Length, positional and suffix filter; the last by parities of the whole sets, which differ in
+        no more places than the sets do."""
         need, at = needed(x, y, percent), [F.col(f"{s}.at") for s in (x, y)]
-        rest = [F.col(f"{s}.n_shingles") - F.col(f"{s}.at") for s in (x, y)]
-        length = F.least(F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")) >= need
-        return length & (F.least(*at) + F.least(*rest) >= need)
+        size = [F.col(f"{s}.n_shingles") for s in (x, y)]
+        apart = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SIGS), F.lit(0))
+        rest = F.least(size[0] - at[0], size[1] - at[1])
+        return (F.least(*size) >= need) & (F.least(*at) + rest >= need) & (apart <= size[0] + size[1] - 2 * need)
 
     def check(pairs: DataFrame) -> DataFrame:
-        """The suffix filter, then the whole sets of what is left."""
-        sig = F.struct("n_shingles", "sig1", "sig2")
-        a, b = real.select(F.col("id").alias("a"), sig.alias("x")), real.select(F.col("id").alias("b"), sig.alias("y"))
-        apart = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in ("sig1", "sig2")), F.lit(0))
-        near = pairs.join(a, "a").join(b, "b").where(apart <= F.col("x.n_shingles") + F.col("y.n_shingles") - 2 * needed("x", "y", percent))
-        near = stash(near.select("a", "b").distinct(), "near")
-        items = near.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-        return exact_check(whole_sets(own, items, n), percent)(near)
+        items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+        return exact_check(whole_sets(own, items, n), percent)(pairs)
 
     found = link(members, check, may_link).toDF("item", "component")
     named = item_of.join(found, "item", "left").groupBy("id").agg(F.min(F.coalesce("component", "item")).alias("component_id"))

@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomveil.llm import chat, decontam, ngram_join, quality, sentences, warc
+import corpus_pipeline
+from loomveil.llm import chat, decontam, ngram_join, packing, quality, sentences, substring_dedup, token_counts, warc
+from loomveil.llm.shared import new_path, stash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.row_digests(packing.write_rows(packing.pack_documents(_table(spark, sf_dir, "documents"))))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), report=True)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.encode_digests(_table(spark, sf_dir, "documents"))
 
@@ -22,6 +32,23 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts all documents, deletes those labelled toxic, and revises those labelled low in quality to
+    their text with runs of white space collapsed; the deletes are committed twice."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    counted = stash(token_counts.count_tokens(docs), "counted")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    low = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    collapsed = docs.join(low, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"\s+", " "))
+    rollup = token_counts.Rollup(spark, new_path(spark, "token-counts"))
+    rollup.commit("0-insert", token_counts.signed(counted, 1))
+    deletes = token_counts.signed(counted.join(toxic, "doc_id", "left_semi"), -1)
+    for _ in range(2):
+        rollup.commit("1-delete", deletes)
+    rollup.commit("2-revise", token_counts.revised(counted.join(low, "doc_id", "left_semi"), token_counts.count_tokens(collapsed)))
+    return rollup.totals()
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -44,12 +71,16 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_packing": op1_token_packing,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc_salvage": op9_warc_salvage,
     "op10_chat_formatting": op10_chat_formatting,
+    "pipeline": corpus_pipeline.run,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{0}')"""

@@ -236,3 +236,11 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def in_scope(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Keys made distinct between owners, so that equal keys count only within one owner."""
     return mix(keys ^ mix(owner.astype(np.uint64) + np.uint64(0x51ED270B7F9A2C35)))
+
+
+def span_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words of each span, in order."""
+    up, down = _power_tables(len(h) + 1)
+    total = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum((h | _ONE) * up[: len(h)], out=total[1:])
+    return mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
