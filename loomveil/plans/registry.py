@@ -1,10 +1,296 @@
-"""Queries of the reference's operators over the given tables, with equivalent SQL."""
+"""Queries of the survey operators over the given tables, with equivalent SQL.
+
+documents stand for answers (source as institution, lang as language), embeddings for the vector
+collection (label as facet; the vectors of ids 0 to 6 as themes), labels for verdicts, events for scores
+by group, conversations for long answers (role as question)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomveil.functions import spans as S
+from loomveil.operators import answers as A
+from loomveil.operators import insights as I
+from loomveil.operators import masking as M
+from loomveil.operators import vectors as V
+from loomveil.sources import tables as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+N_THEMES = 7
+ENTITIES = ["EMAIL_ADDRESS", "PHONE_NUMBER"]
+LABELS = ["tion and the", "Licensed under Apache", "heedes whrere", "reserved rights"]
+EMAIL, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+_MASKED = f"regexp_replace(regexp_replace(text, '{EMAIL}', '[PII]', 'g'), '{PHONE}', '[PII]', 'g')"
+_DIST = "1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _themes(spark: SparkSession, sf_dir: str) -> list[list[float]]:
+    rows = _t(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_THEMES).orderBy("vec_id").collect()  # seven rows
+    return [r.embedding for r in rows]
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.mask_columns(_t(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], entities=ENTITIES)
+
+
+@query(f"SELECT doc_id, {_MASKED} AS text FROM documents")
+def mask_documents(spark, sf_dir):
+    return _masked(spark, sf_dir)
+
+
+@query()
+def mask_documents_all_recognizers(spark, sf_dir):
+    return M.mask_columns(_t(spark, sf_dir, "documents").select("doc_id", "text"), ["text"])
+
+
+@query(f"""WITH m AS (SELECT unnest(regexp_extract_all({_MASKED}, '\\[(NAME|PII|LOCATION|TITLE|HEALTH)\\]', 1)) AS tag FROM documents)
+SELECT t.tag, count(m.tag) AS n FROM (VALUES ('NAME'), ('PII'), ('LOCATION'), ('TITLE'), ('HEALTH')) t(tag) LEFT JOIN m ON m.tag = t.tag GROUP BY t.tag""")
+def tag_counts(spark, sf_dir):
+    return M.tag_counts(_masked(spark, sf_dir), ["text"])
+
+
+@query(f"""WITH m AS (SELECT len(regexp_extract_all({_MASKED}, '\\[(NAME|PII|LOCATION|TITLE|HEALTH)\\]')) AS n FROM documents WHERE trim(text) <> '')
+SELECT count(*) AS cells, count(*) FILTER (n > 0) AS affected, CAST(sum(n) AS BIGINT) AS entities, round(100.0 * count(*) FILTER (n > 0) / count(*), 1) AS percent FROM m""")
+def masking_totals(spark, sf_dir):
+    return M.totals(_masked(spark, sf_dir), ["text"])
+
+
+@query(f"""SELECT doc_id, 'EMAIL_ADDRESS' AS entity, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS INT) AS n, CAST(strpos(text, regexp_extract(text, '{EMAIL}')) - 1 AS INT) AS first
+FROM documents WHERE regexp_matches(text, '{EMAIL}')""")
+def detect_spans(spark, sf_dir):
+    spans = S.detect(F.col("text"), entities=["EMAIL_ADDRESS"])
+    return _t(spark, sf_dir, "documents").withColumn("s", spans).where(F.size("s") > 0).select("doc_id", F.col("s")[0]["entity"].alias("entity"), F.size("s").alias("n"), F.col("s")[0]["start"].alias("first"))
+
+
+@query(f"""SELECT 'PII' AS tag, CAST(0 AS BIGINT) AS missed, CAST(sum(len(regexp_extract_all(text, '{EMAIL}|{PHONE}'))) AS BIGINT) AS removed FROM documents""")
+def verify_masking(spark, sf_dir):
+    return M.verify(_t(spark, sf_dir, "documents"), _masked(spark, sf_dir), "doc_id", "text", ENTITIES)
+
+
+@query(f"SELECT doc_id, text AS before, {_MASKED} AS after FROM documents WHERE text <> {_MASKED}")
+def changed_cells(spark, sf_dir):
+    return M.changed_cells(_t(spark, sf_dir, "documents"), _masked(spark, sf_dir), "doc_id", "text")
+
+
+@query(r"""SELECT doc_id, regexp_replace(text, '(^|[^\p{L}\p{N}_])(license|licensed)([^\p{L}\p{N}_]|$)', '\1[PII]\3', 'gi') AS text FROM documents WHERE regexp_matches(text, 'licens', 'i')""")
+def blocklist_mask(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").where("regexp_like(text, '(?i)licens')")
+    return docs.select("doc_id", S.blocklist(F.col("text"), ["license", "licensed"]).alias("text"))
+
+
+@query("""SELECT lang, count(*) FILTER (toxic = 0) AS tp, count(*) FILTER (toxic = 1) AS fp, round(100.0 * count(*) FILTER (toxic = 1) / count(*), 1) AS fp_rate
+FROM labels JOIN documents USING (doc_id) GROUP BY lang""")
+def detector_review(spark, sf_dir):
+    verdicts = _t(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "FP").otherwise("TP").alias("verdict"))
+    return M.review(verdicts.join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"), ["lang"])
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS word FROM documents),
+s AS (SELECT * FROM (VALUES ('the', 'en'), ('and', 'en'), ('of', 'en'), ('der', 'de'), ('und', 'de'), ('die', 'de'), ('les', 'fr'), ('une', 'fr'), ('que', 'es'), ('los', 'es'), ('del', 'es')) s(word, lang)),
+n AS (SELECT doc_id, s.lang AS lang, count(*) AS n FROM w JOIN s USING (word) GROUP BY 1, 2)
+SELECT doc_id, lang FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) = 1""")
+def language_vote(spark, sf_dir):
+    words = [("the", "en"), ("and", "en"), ("of", "en"), ("der", "de"), ("und", "de"), ("die", "de"), ("les", "fr"), ("une", "fr"), ("que", "es"), ("los", "es"), ("del", "es")]
+    return M.vote_language(_t(spark, sf_dir, "documents"), spark.createDataFrame(words, "word string, lang string"), "doc_id", "text")
+
+
+@query()
+def carry_forward_names(spark, sf_dir):
+    docs = M.batches(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    handles = docs.select("batch_no", F.explode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("name")).distinct()
+    return M.carry_forward(docs, "doc_id", "text", handles).select("doc_id", F.size("spans").alias("n"))
+
+
+@query("SELECT conv_id, turn, 'question_' || role AS question, text AS answer, length(text) AS n_chars FROM conversations WHERE trim(text) <> ''")
+def unpivot_answers(spark, sf_dir):
+    roles = ["user", "assistant", "system"]
+    wide = _t(spark, sf_dir, "conversations").select("conv_id", "turn", *(F.when(F.col("role") == r, F.col("text")).alias(f"question_{r}") for r in roles))
+    return A.unpivot(wide, ["conv_id", "turn"], [f"question_{r}" for r in roles]).select("conv_id", "turn", "question", "answer", F.length("answer").cast("bigint").alias("n_chars"))
+
+
+@query("SELECT c_custkey, coalesce(nullif(trim(c_mktsegment), ''), c_name) AS sector, c_name AS institution FROM customer")
+def canonical_metadata(spark, sf_dir):
+    df = A.canonical(_t(spark, sf_dir, "customer"), {"sector": ["c_mktsegment", "c_name"], "institution": ["missing", "c_name"]})
+    return df.select("c_custkey", "sector", "institution")
+
+
+@query("SELECT DISTINCT 'lang' AS facet, lang AS value FROM documents UNION SELECT DISTINCT 'source', source FROM documents")
+def facets(spark, sf_dir):
+    return A.facets(_t(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+@query("SELECT doc_id, lang, source, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS preview FROM documents WHERE lang = 'en' AND source = 'src0'")
+def filtered_previews(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").where(A.condition({"lang": "en", "source": "src0", "cohort": "All"}))
+    return docs.select("doc_id", "lang", "source", A.preview(F.col("text"), 300).alias("preview"))
+
+
+@query(f"""WITH d AS (SELECT b.vec_id AS vec_id, b.label AS label, {_DIST} AS distance FROM embeddings a, embeddings b WHERE a.vec_id = 3 AND b.label < 5)
+SELECT vec_id, label, round(distance, 6) + 0.0 AS distance FROM d ORDER BY d.distance, vec_id LIMIT 20""")
+def cosine_top_k(spark, sf_dir):
+    items = _t(spark, sf_dir, "embeddings")
+    q = _themes(spark, sf_dir)[3]
+    return V.nearest(items, q, 20, "vec_id", where=F.col("label") < 5).select("vec_id", "label", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
+@query(f"""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {_DIST} AS distance FROM embeddings a, embeddings b WHERE a.vec_id < {N_THEMES})
+SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, round(distance, 6) + 0.0 AS distance FROM d
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10""")
+def batch_search(spark, sf_dir):
+    items = _t(spark, sf_dir, "embeddings")
+    queries = items.where(F.col("vec_id") < N_THEMES).select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.search(items, queries, 10, "vec_id").withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+
+
+_ASSIGNED = f"""d AS (SELECT b.vec_id AS vec_id, b.label AS label, a.vec_id AS theme_idx, {_DIST} AS distance FROM embeddings a, embeddings b WHERE a.vec_id < {N_THEMES}),
+assigned AS (SELECT vec_id, label, CAST(theme_idx AS INT) AS theme_idx, distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, theme_idx) = 1)"""
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.assign_themes(_t(spark, sf_dir, "embeddings"), _themes(spark, sf_dir))
+
+
+@query(f"WITH {_ASSIGNED} SELECT vec_id, theme_idx, round(distance, 6) + 0.0 AS distance FROM assigned")
+def nearest_theme(spark, sf_dir):
+    return _assigned(spark, sf_dir).select("vec_id", "theme_idx", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
+@query(f"""WITH {_ASSIGNED}, c AS (SELECT theme_idx, count(*) AS n FROM assigned GROUP BY 1),
+f AS (SELECT *, CAST(floor(100.0 * n / sum(n) OVER ()) AS BIGINT) AS fl, (100 * n) % CAST(sum(n) OVER () AS BIGINT) AS m FROM c)
+SELECT theme_idx, n, fl + CASE WHEN row_number() OVER (ORDER BY m DESC, n DESC, theme_idx) <= 100 - CAST(sum(fl) OVER () AS BIGINT) THEN 1 ELSE 0 END AS percentage FROM f""")
+def theme_shares(spark, sf_dir):
+    return V.largest_remainder(V.theme_counts(_assigned(spark, sf_dir), N_THEMES))
+
+
+@query(f"WITH {_ASSIGNED} SELECT vec_id, label, round(distance, 6) + 0.0 AS distance, round(greatest(0, 1 - distance), 2) AS similarity FROM assigned WHERE theme_idx = 2")
+def theme_documents(spark, sf_dir):
+    return _assigned(spark, sf_dir).where("theme_idx = 2").orderBy("distance", "vec_id").select("vec_id", "label", (F.round("distance", 6) + F.lit(0.0)).alias("distance"), F.round(F.greatest(F.lit(0.0), 1 - F.col("distance")), 2).alias("similarity"))
+
+
+@query("""WITH n AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rn FROM documents)
+SELECT source, (rn - 1) // 60 AS batch_no, CAST(count(*) AS INT) AS n_docs, sha256('Batch ' || source || ' ' || ((rn - 1) // 60 + 1) || chr(10) || string_agg('- ' || text || chr(10), '' ORDER BY rn)) AS prompt_sha
+FROM n WHERE rn <= 240 GROUP BY 1, 2""")
+def insight_batches(spark, sf_dir):
+    numbered = I.number_batches(_t(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", "text"), "source", ["n_chars", "doc_id"])
+    out = I.batch_prompts(numbered, "source", "text", "Batch {theme_name} {n}\n")
+    return out.select("source", "batch_no", "n_docs", F.sha2("prompt", 256).alias("prompt_sha"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def parse_replies(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").withColumn("reply", F.concat(F.lit("Here: "), "props", F.lit(" done")))
+    return events.select("event_id", I.parse_reply(F.col("reply"), "k int")["k"].alias("k"), "event_type").where("k is not null")
+
+
+@query("""WITH d AS (SELECT lower(text) AS t, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM documents),
+m AS (SELECT count(*) AS n, count(*) FILTER (contains(t, 'tion and the') OR list_has_any(w, ['tion'])) AS a,
+ count(*) FILTER (contains(t, 'licensed under apache') OR list_has_any(w, ['licensed', 'under', 'apache']) OR len(list_filter(w, lambda x: x LIKE 'licens%')) > 0) AS b,
+ count(*) FILTER (contains(t, 'heedes whrere') OR list_has_any(w, ['heedes', 'whrere'])) AS c,
+ count(*) FILTER (contains(t, 'reserved rights') OR list_has_any(w, ['reserved', 'rights']) OR len(list_filter(w, lambda x: x LIKE 'reserv%')) > 0) AS d FROM d),
+l AS (SELECT n, unnest(['tion and the', 'Licensed under Apache', 'heedes whrere', 'reserved rights']) AS subtheme, unnest([a, b, c, d]) AS mentions FROM m)
+SELECT subtheme, mentions, CAST(round_even(100.0 * mentions / n, 0) AS BIGINT) AS doc_percentage, CAST(round_even(100.0 * mentions / sum(mentions) OVER (), 0) AS BIGINT) AS percentage FROM l""")
+def subtheme_mentions(spark, sf_dir):
+    return I.subtheme_mentions(_t(spark, sf_dir, "documents"), "text", LABELS)
+
+
+@query("""SELECT doc_id, lang FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id AND quality = 1)""")
+def cache_misses(spark, sf_dir):
+    wanted = _t(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(1).alias("quality"))
+    return I.split_cache(wanted, _t(spark, sf_dir, "labels"), ["doc_id", "quality"])[1].select("doc_id", "lang")
+
+
+@query("""WITH t AS (SELECT event_type, avg(value) AS mean_score, count(*) AS responses FROM events GROUP BY 1),
+c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS r FROM c QUALIFY r <= 5)
+SELECT t.event_type, round(mean_score, 4) AS mean_score, responses, string_agg(user_id || ':' || n, ',' ORDER BY r) AS top FROM t JOIN r USING (event_type) GROUP BY ALL""")
+def compare_groups(spark, sf_dir):
+    out = I.compare_groups(_t(spark, sf_dir, "events"), "event_type", "value", "user_id")
+    top = F.array_join(F.transform("themes", lambda t: F.concat(t["theme"], F.lit(":"), t["n"].cast("string"))), ",")
+    return out.select("event_type", F.round("mean_score", 4).alias("mean_score"), "responses", top.alias("top"))
+
+
+@query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), s AS (SELECT label, CAST(floor(100.0 * n / sum(n) OVER () + 0.5) AS BIGINT) AS share FROM c)
+SELECT a.label, b.label AS other, abs(a.share - b.share) AS gap, CAST(row_number() OVER (PARTITION BY a.label ORDER BY abs(a.share - b.share), b.label) AS INT) AS r
+FROM s a JOIN s b ON a.label <> b.label QUALIFY r <= 3""")
+def related_themes(spark, sf_dir):
+    counts = _t(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return I.related(I.shares(counts), "label", "share")
+
+
+@query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, label) AS r FROM c), a AS (SELECT r AS ra FROM r WHERE label = 9)
+SELECT label, n, CAST(least(r, 5) AS INT) AS place FROM r, a WHERE label = 9 OR r <= CASE WHEN ra > 5 THEN 4 ELSE 5 END""")
+def trend_selection(spark, sf_dir):
+    counts = _t(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return I.trend_selection(counts, "label", "n", 9)
+
+
+@query("""WITH m AS (SELECT n_nationkey AS k, c_mktsegment AS g, avg(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT CAST(a.k AS BIGINT) AS k, round(abs(a.v - b.v), 4) AS gap, abs(a.v - b.v) >= 0.4 AS significant FROM m a JOIN m b ON a.k = b.k AND a.g = 'BUILDING' AND b.g = 'MACHINERY'""")
+def pair_difference(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("k"), F.col("c_mktsegment").alias("g")).agg(F.avg("c_acctbal").alias("v"))
+    return I.pair_difference(rows, "g", "BUILDING", "MACHINERY", "k", "v").select("k", F.round("gap", 4).alias("gap"), "significant")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal / 100 >= 65 THEN 'positive' WHEN c_acctbal / 100 <= 38 THEN 'critical' ELSE 'neutral' END AS band,
+CASE WHEN c_acctbal / 100 >= 75 THEN 'very positive' WHEN c_acctbal / 100 >= 60 THEN 'positive' WHEN c_acctbal / 100 >= 45 THEN 'neutral' WHEN c_acctbal / 100 >= 30 THEN 'negative' ELSE 'very negative' END AS label FROM customer""")
+def sentiment_bands(spark, sf_dir):
+    score = F.col("c_acctbal") / 100
+    return _t(spark, sf_dir, "customer").select("c_custkey", A.sentiment_band(score).alias("band"), A.sentiment_label(score).alias("label"))
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN l.quality ELSE -1 END AS quality FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id)""")
+def overview_overlay(spark, sf_dir):
+    base = _t(spark, sf_dir, "documents").select("doc_id", F.lit(-1).alias("quality"))
+    live = _t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return I.overlay([base, live], "doc_id")
+
+
+@query("""SELECT coalesce(s.s_suppkey, p.p_partkey) AS key, s.s_name AS card, p.p_name AS live FROM (SELECT * FROM supplier) s FULL JOIN (SELECT * FROM part) p ON s.s_suppkey = p.p_partkey""")
+def merge_cards(spark, sf_dir):
+    cards = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("card"), F.lit(None).cast("string").alias("live"))
+    live = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("live"))
+    return I.merge_cards(cards, live, "key").select("key", "card", "live")
+
+
+@query("SELECT lower(c_mktsegment) AS word, CAST(min(c_custkey) AS BIGINT) AS ord FROM customer GROUP BY 1")
+def distinct_blocklist(spark, sf_dir):
+    words = _t(spark, sf_dir, "customer").select(F.concat(F.lit(" "), F.lower("c_mktsegment")).alias("word"), F.col("c_custkey").cast("bigint").alias("ord"))
+    return R.distinct_words(words)
+
+
+@query("""SELECT name, (contains(lower(name), '?') OR starts_with(lower(name), 'waarom')) AS question FROM (SELECT 'Waarom ' || n_name AS name FROM nation UNION ALL SELECT n_name || '?' FROM nation UNION ALL SELECT 'Label1' FROM region)""")
+def question_columns(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation")
+    names = n.select(F.concat(F.lit("Waarom "), "n_name").alias("name")).unionByName(n.select(F.concat("n_name", F.lit("?")).alias("name"))).unionByName(_t(spark, sf_dir, "region").select(F.lit("Label1").alias("name")))
+    return names.select("name", R.is_question_column(F.col("name")).alias("question"))
+
+
+@query("SELECT count(*) AS total, count(DISTINCT label) AS labels, max(len(embedding)) AS dims FROM embeddings")
+def collection_stats(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("label").alias("labels"), F.max(F.size("embedding")).cast("bigint").alias("dims"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_intersect(['licensed', 'under', 'version'], regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS x FROM documents),
+s AS (SELECT doc_id, len(x) / 3.0 AS score FROM w) SELECT doc_id, round(score, 4) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 10""")
+def rerank_overlap(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("rank"), V.token_overlap("licensed under version", F.col("text")).alias("score"))
+    return docs.orderBy(F.desc("score"), "rank").limit(10).select("doc_id", F.round("score", 4).alias("score"))
