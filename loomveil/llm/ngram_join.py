@@ -96,9 +96,7 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 spread = textops.mix(values)
                 key1, key2 = textops.sums(spread, bounds), textops.sums(textops.mix(spread ^ np.uint64(0xA5A5A5A5)), bounds)
                 owner = np.repeat(np.arange(len(size)), size)
-                parity = np.zeros((len(size), 256), dtype=np.uint8)
-                np.add.at(parity, (owner, (spread & np.uint64(255)).astype(np.int64)), 1)
-                sig = np.packbits(parity & 1, axis=1).view(np.int64)
+                sig = textops.parities(values, bounds)
                 order = np.lexsort((values, levels[_counter(values)], owner))
                 ordered = values[order]
                 # a similar set has at least ceil(percent * size / 100) of these shingles
@@ -143,6 +141,11 @@ def needed(x: str, y: str, percent: int):
     return F.ceil(percent * (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")) / F.lit(100 + percent))
 
 
+def parity_distance(x: str, y: str):
+    """In how many places the parities of two sets differ; the sets differ in as many at least."""
+    return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SIGS), F.lit(0))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """(id, n_shingles, component_id) of each row of docs."""
     own = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
@@ -162,9 +165,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         no more places than the sets do."""
         need, at = needed(x, y, percent), [F.col(f"{s}.at") for s in (x, y)]
         size = [F.col(f"{s}.n_shingles") for s in (x, y)]
-        apart = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SIGS), F.lit(0))
         rest = F.least(size[0] - at[0], size[1] - at[1])
-        return (F.least(*size) >= need) & (F.least(*at) + rest >= need) & (apart <= size[0] + size[1] - 2 * need)
+        return (F.least(*size) >= need) & (F.least(*at) + rest >= need) & (parity_distance(x, y) <= size[0] + size[1] - 2 * need)
 
     def check(pairs: DataFrame) -> DataFrame:
         items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()

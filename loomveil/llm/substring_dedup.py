@@ -13,7 +13,7 @@ Of each cluster, or sentence, the document with the smallest id keeps its text;
 Repeats inside one document stay.
 
 Equal paragraphs are collapsed before the bands meet, buckets are handled by ``linking.link``, and
-whole sets are built only for candidates.  Only documents that lose text are shuffled with their text.
+parities of their sets drop most false candidates before whole sets are built.  Only documents that lose text are shuffled with their text.
 
 Defined cases: null, empty and blank texts have no spans and stay as they are; rows with a null id
 neither lose text nor cause a loss; of rows with one id, each is cut where its own words are the ones
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from loomveil.llm import textops
 from loomveil.llm.linking import IdFilter, link
-from loomveil.llm.ngram_join import exact_check, needed
+from loomveil.llm.ngram_join import SIGS, exact_check, needed, parity_distance
 from loomveil.llm.shared import stash
 
 SHORT = 4
@@ -50,14 +50,13 @@ class Settings:
     min_run: int = 45
 
 
-def tune_bands(threshold: float, recall: float, most: int = 64) -> tuple[int, int]:
+def tune_bands(threshold: float, recall: float, most: int = 48) -> tuple[int, int]:
     """(bands, rows) with the most rows a band, so fewest false candidates, among those that find a
-    pair at the threshold with the recall asked for in at most 16 hashes; else in at most ``most``."""
-    for limit in (16, most):
-        for rows in range(8, 0, -1):
-            for bands in range(1, limit // rows + 1):
-                if 1 - (1 - threshold**rows) ** bands >= recall:
-                    return bands, rows
+    pair at the threshold with the recall asked for in at most ``most`` hashes."""
+    for rows in range(8, 0, -1):
+        for bands in range(1, most // rows + 1):
+            if 1 - (1 - threshold**rows) ** bands >= recall:
+                return bands, rows
     return most, 1
 
 
@@ -128,10 +127,11 @@ def _shingles(h: np.ndarray, spans: Spans, k: int) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), bounds
 
 
-def band_table(docs: DataFrame, s: Settings) -> DataFrame:
-    """(bucket, item, n_shingles): a row for each band of each paragraph."""
+def signature_table(docs: DataFrame, s: Settings) -> DataFrame:
+    """(item, n_shingles, sig1 to sig4, buckets) of each distinct paragraph: a bitmap of parities of its
+    shingles, and the bucket of each of its bands."""
     bands, rows = tune_bands(s.percent / 100, s.recall)
-    seeds = textops.mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    odd = textops.mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,16 +140,22 @@ def band_table(docs: DataFrame, s: Settings) -> DataFrame:
                 if not len(spans):
                     continue
                 h = w.hashes()
-                item = textops.span_hashes(h, spans.first, spans.end).view(np.int64)
-                values, bounds = _shingles(h, spans, s.shingle)
-                least = np.stack([np.minimum.reduceat(textops.mix(values ^ seed), bounds[:-1]) for seed in seeds], axis=1)
+                item, at = np.unique(textops.span_hashes(h, spans.first, spans.end).view(np.int64), return_index=True)
+                values, bounds = _shingles(h, Spans(spans.doc[at], spans.first[at], spans.end[at]), s.shingle)
+                sig = textops.parities(values, bounds)
+                # shingles are mixed already, so an odd factor is a hash of its own
+                least = np.stack([np.minimum.reduceat(values * k, bounds[:-1]) for k in odd], axis=1)
+                buckets = np.empty((len(item), bands), dtype=np.uint64)
                 for b in range(bands):
-                    bucket = np.full(len(spans), b + 1, dtype=np.uint64)
+                    bucket = np.full(len(item), b + 1, dtype=np.uint64)
                     for r in range(rows):
                         bucket = textops.mix(bucket ^ least[:, b * rows + r]) + np.uint64(r)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(item), pa.array(np.diff(bounds))], names=["bucket", "item", "n_shingles"])
+                    buckets[:, b] = bucket
+                listed = textops.list_array(buckets.ravel().view(np.int64), np.arange(len(item) + 1) * bands)
+                yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(np.diff(bounds)), *(pa.array(np.ascontiguousarray(sig[:, j])) for j in range(4)), listed], names=["item", "n_shingles", *SIGS, "buckets"])
 
-    return docs.where("id is not null").mapInArrow(run, "bucket bigint, item bigint, n_shingles bigint")
+    found = docs.where("id is not null").mapInArrow(run, "item bigint, n_shingles bigint, " + ", ".join(f"{x} bigint" for x in SIGS) + ", buckets array<bigint>")
+    return found.dropDuplicates(["item"])
 
 
 def _pair_key(item: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -185,12 +191,16 @@ def duplicate_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     (source) holds: paragraphs in a cluster, and single sentences."""
     lines = stash(span_table(docs, "paragraph", s), "paragraphs")
     firsts = lines.groupBy(F.col("hash").alias("item")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    bands = band_table(docs, s)
+    signed = stash(signature_table(docs, s), "signatures")
+    bands = signed.select("item", F.explode("buckets").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("item").alias("a"), F.max("item").alias("b")).where("a <> b").select("bucket")
-    members = stash(bands.join(shared, "bucket").distinct(), "members")
+    members = stash(bands.join(shared, "bucket").join(signed.drop("buckets"), "item").select("bucket", "item", "n_shingles", *SIGS), "members")
 
     def may_link(x: str, y: str):
-        return F.least(f"{x}.n_shingles", f"{y}.n_shingles") >= needed(x, y, s.percent)
+        """Length filter, and the parities of two sets differ in no more places than the sets do."""
+        need = needed(x, y, s.percent)
+        both = F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")
+        return (F.least(f"{x}.n_shingles", f"{y}.n_shingles") >= need) & (parity_distance(x, y) <= both - 2 * need)
 
     def check(pairs: DataFrame) -> DataFrame:
         items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()

@@ -207,6 +207,14 @@ def sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return total[ptr[1:]] - total[ptr[:-1]]
 
 
+def parities(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """256 bits, as four integers, of each set of hashes: how many fall on each bit, modulo 2."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    odd = np.bincount(owner * 256 + (mix(values) & np.uint64(255)).astype(np.int64), minlength=n * 256) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, 256), axis=1).view(np.int64)
+
+
 def list_array(values: np.ndarray, bounds: np.ndarray, kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, type=kind))
 
