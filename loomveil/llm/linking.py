@@ -4,13 +4,16 @@ Items meet in buckets (a shared prefix shingle, a MinHash band).  Only component
 of items that are in one component already need no check.  Rounds therefore go:
 
 1. Star rounds.  Each bucket that still holds more than one component names a pivot; its other items
-   are paired with the pivot (linear in the bucket), checked exactly, and components grow.
+   are paired with the pivot (linear in the bucket), narrowed by filters on whole items, checked
+   exactly, and components grow.
 2. A last exhaustive round.  In buckets that still hold several components, every pair of different
    components is checked, except pairs inside the largest component.  After it no link between
    components can be missing, so the result is that of all pairs.
 
 A pair is checked once: pairs of earlier rounds are left out of later ones.  Buckets are aggregated
-before they are shuffled, and pairs come from sort-merge joins, whose hot keys Spark splits.
+before they are shuffled, and pairs come from sort-merge joins, whose hot keys Spark splits.  Buckets
+carry no more of an item than the first filters need.  Tables of a round are removed from the shared
+folder when the tables that replace them are written.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomveil.llm.shared import stash
+from loomveil.llm.shared import discard, stash
 from loomveil.llm.textops import mix
 
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 FILTER_BITS = 1 << 26
 _PIECE = 1 << 16
 
@@ -95,11 +98,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")  # repeated edges go in the small-star step
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = stash(small, "edges")
+        old, now = now, stash(small, "edges")
+        discard(old)
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == (seen.n, seen.h):
             break
@@ -108,11 +112,12 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def link(members: DataFrame, check: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def link(members: DataFrame, narrow: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(node, component) of items with links, given members (bucket, item, ...) of buckets.
 
-    check(pairs of a, b) keeps the pairs that are linked; may_link(x, y) is a condition on the columns
-    of two members, given as prefixes, that every linked pair fulfils in every bucket they share."""
+    narrow(pairs of a, b) drops pairs that cannot be linked, and check(pairs) keeps those that are;
+    may_link(x, y) is a condition on the columns of two members, given as prefixes, that every linked
+    pair fulfils in every bucket they share."""
     extra = [c for c in members.columns if c != "bucket"]
     whole = F.struct(*extra)
     found = seen = None
@@ -132,6 +137,7 @@ def link(members: DataFrame, check: Callable[[DataFrame], DataFrame], may_link:
             mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
             named = stash(named.join(mixed, "bucket", "left_semi"), "mixed")
             if named.isEmpty():
+                discard(named)
                 break
         if k < star_rounds:
             best = F.min if k % 2 == 0 else F.max
@@ -143,9 +149,14 @@ def link(members: DataFrame, check: Callable[[DataFrame], DataFrame], may_link:
             few = named.join(main, "bucket").where("comp <> main")
             other = named.select("bucket", F.col("x").alias("y"), F.col("comp").alias("other"))
             new = pairs(few, other, (F.col("comp") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("comp") < F.col("other"))))
-        new = stash(new, "pairs")
+        raw = stash(new, "candidates")
+        new = stash(narrow(raw), "pairs")
         linked = stash(check(new), "links")
+        discard(raw, *([named] if k else []))
         seen = new if seen is None else seen.unionByName(new)
+        if found is not None and linked.isEmpty():
+            discard(linked)
+            continue
         if found is None:
             found = stash(components(linked), "components")
         else:
@@ -154,5 +165,7 @@ def link(members: DataFrame, check: Callable[[DataFrame], DataFrame], may_link:
             merged = components(lifted)
             old = found.join(merged.toDF("component", "now"), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
             fresh = merged.join(found, "node", "left_anti")
-            found = stash(old.unionByName(fresh), "components")
+            before, found = found, stash(old.unionByName(fresh), "components")
+            discard(before)
+        discard(linked)
     return found

@@ -146,6 +146,18 @@ def parity_distance(x: str, y: str):
     return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SIGS), F.lit(0))
 
 
+def parity_filter(signed: DataFrame, percent: int):
+    """Suffix filter: drops pairs (a, b) whose parities differ in more places than linked sets can."""
+
+    def narrow(pairs: DataFrame) -> DataFrame:
+        traits = signed.select("item", "n_shingles", *SIGS)
+        both = pairs.join(traits.alias("x"), F.col("a") == F.col("x.item")).join(traits.alias("y"), F.col("b") == F.col("y.item"))
+        most = F.col("x.n_shingles") + F.col("y.n_shingles") - 2 * needed("x", "y", percent)
+        return both.where(parity_distance("x", "y") <= most).select("a", "b").distinct()
+
+    return narrow
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """(id, n_shingles, component_id) of each row of docs."""
     own = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
@@ -155,24 +167,23 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups = real.groupBy(*keys).agg(F.min("id").alias("item"))
     item_of = stash(real.select("id", *keys).join(groups, keys).select("id", "item").distinct(), "items")
     heads = real.select("id", *keys, "prefix").join(groups, keys).where("id = item")
-    members = heads.select("item", "n_shingles", F.posexplode("prefix").alias("at", "bucket"))
-    shared = members.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("bucket")
-    signed = real.select(F.col("id").alias("item"), "n_shingles", *SIGS).dropDuplicates(["item", "n_shingles"])
-    members = stash(members.join(shared, "bucket").join(signed, ["item", "n_shingles"]), "members")
+    members = heads.select("item", F.col("n_shingles").cast("int").alias("n_shingles"), F.posexplode("prefix").alias("at", "bucket"))
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = stash(members.join(shared, "bucket"), "members")
+    signed = real.select(F.col("id").alias("item"), "n_shingles", *keys[1:], *SIGS).join(groups.select("item", *keys), ["item", *keys]).select("item", "n_shingles", *SIGS).distinct()
 
     def may_link(x: str, y: str):
-        """Length, positional and suffix filter; the last by parities of the whole sets, which differ in
-        no more places than the sets do."""
+        """Length and positional filter."""
         need, at = needed(x, y, percent), [F.col(f"{s}.at") for s in (x, y)]
         size = [F.col(f"{s}.n_shingles") for s in (x, y)]
         rest = F.least(size[0] - at[0], size[1] - at[1])
-        return (F.least(*size) >= need) & (F.least(*at) + rest >= need) & (parity_distance(x, y) <= size[0] + size[1] - 2 * need)
+        return (F.least(*size) >= need) & (F.least(*at) + rest >= need)
 
     def check(pairs: DataFrame) -> DataFrame:
         items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
         return exact_check(whole_sets(own, items, n), percent)(pairs)
 
-    found = link(members, check, may_link).toDF("item", "component")
+    found = link(members, parity_filter(signed, percent), check, may_link).toDF("item", "component")
     named = item_of.join(found, "item", "left").groupBy("id").agg(F.min(F.coalesce("component", "item")).alias("component_id"))
     return table.select("id", "n_shingles").join(named, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 

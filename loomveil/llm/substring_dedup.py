@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from loomveil.llm import textops
 from loomveil.llm.linking import IdFilter, link
-from loomveil.llm.ngram_join import SIGS, exact_check, needed, parity_distance
+from loomveil.llm.ngram_join import SIGS, exact_check, needed, parity_filter
 from loomveil.llm.shared import stash
 
 SHORT = 4
@@ -192,21 +192,19 @@ def duplicate_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     lines = stash(span_table(docs, "paragraph", s), "paragraphs")
     firsts = lines.groupBy(F.col("hash").alias("item")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     signed = stash(signature_table(docs, s), "signatures")
-    bands = signed.select("item", F.explode("buckets").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("item").alias("a"), F.max("item").alias("b")).where("a <> b").select("bucket")
-    members = stash(bands.join(shared, "bucket").join(signed.drop("buckets"), "item").select("bucket", "item", "n_shingles", *SIGS), "members")
+    bands = signed.select("item", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode("buckets").alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = stash(bands.join(shared, "bucket").select("bucket", "item", "n_shingles"), "members")
 
     def may_link(x: str, y: str):
-        """Length filter, and the parities of two sets differ in no more places than the sets do."""
-        need = needed(x, y, s.percent)
-        both = F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")
-        return (F.least(f"{x}.n_shingles", f"{y}.n_shingles") >= need) & (parity_distance(x, y) <= both - 2 * need)
+        """Length filter."""
+        return F.least(f"{x}.n_shingles", f"{y}.n_shingles") >= needed(x, y, s.percent)
 
     def check(pairs: DataFrame) -> DataFrame:
         items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
         return exact_check(paragraph_sets(docs, items, firsts, s), s.percent)(pairs)
 
-    found = link(members, check, may_link).toDF("item", "component")
+    found = link(members, parity_filter(signed, s.percent), check, may_link).toDF("item", "component")
     clustered = firsts.join(found, "item")
     kept = clustered.groupBy("component").agg(F.min("lo").alias("keep"))
     near = clustered.join(kept, "component").select("item", "hi", F.col("keep").alias("source"))
