@@ -112,16 +112,25 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def link(members: DataFrame, narrow: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """(node, component) of items with links, given members (bucket, item, ...) of buckets.
-
-    narrow(pairs of a, b) drops pairs that cannot be linked, and check(pairs) keeps those that are;
-    may_link(x, y) is a condition on the columns of two members, given as prefixes, that every linked
-    pair fulfils in every bucket they share."""
+def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], close: Callable[[str, str], Column], star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """(node, component) of items with links, given members (bucket, item, ...) of buckets and traits
+    (item, ...) of items.
+
+    check(pairs of a, b) keeps the pairs that are linked; may_link(x, y) is a condition on the columns
+    of two members, given as prefixes, that every linked pair fulfils in every bucket they share, and
+    close(x, y) one on their traits.  Star rounds, whose pairs are few, look traits up by pair; the last
+    round has them in the buckets, so that it makes no pairs that they rule out."""
     extra = [c for c in members.columns if c != "bucket"]
     whole = F.struct(*extra)
     found = seen = None
 
+    def with_traits(df: DataFrame, item: str, name: str) -> DataFrame:
+        own = traits.select(F.col("item").alias("__item"), F.struct(*traits.columns).alias(name))
+        return df.join(own, F.col(item) == F.col("__item")).drop("__item")
+
+    def narrow(new: DataFrame) -> DataFrame:
+        return with_traits(with_traits(new, "a", "xt"), "b", "yt").where(close("xt", "yt")).select("a", "b").distinct()
+
     def pairs(left: DataFrame, right: DataFrame, on: Column | None = None) -> DataFrame:
         both = left.join(right, "bucket").where(may_link("x", "y"))
         both = both if on is None else both.where(on)
@@ -135,7 +144,8 @@ def link(members: DataFrame, narrow: Callable[[DataFrame], DataFrame], check: Ca
             named = members.join(found.withColumnRenamed("node", "item"), "item", "left").select("bucket", whole.alias("x"), F.coalesce("component", "item").alias("comp"))
         if k:  # only buckets with several components
             mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-            named = stash(named.join(mixed, "bucket", "left_semi"), "mixed")
+            named = named.join(mixed, "bucket", "left_semi")
+            named = stash(named if k < star_rounds else with_traits(named, "x.item", "xt"), "mixed")
             if named.isEmpty():
                 discard(named)
                 break
@@ -147,12 +157,12 @@ def link(members: DataFrame, narrow: Callable[[DataFrame], DataFrame], check: Ca
             sizes = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
             main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
             few = named.join(main, "bucket").where("comp <> main")
-            other = named.select("bucket", F.col("x").alias("y"), F.col("comp").alias("other"))
-            new = pairs(few, other, (F.col("comp") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("comp") < F.col("other"))))
-        raw = stash(new, "candidates")
-        new = stash(narrow(raw), "pairs")
+            other = named.select("bucket", F.col("x").alias("y"), F.col("xt").alias("yt"), F.col("comp").alias("other"))
+            new = pairs(few, other, close("xt", "yt") & (F.col("comp") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("comp") < F.col("other"))))
+        new = stash(narrow(new) if k < star_rounds else new, "pairs")
         linked = stash(check(new), "links")
-        discard(raw, *([named] if k else []))
+        if k:
+            discard(named)
         seen = new if seen is None else seen.unionByName(new)
         if found is not None and linked.isEmpty():
             discard(linked)

@@ -23,7 +23,7 @@ component; an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,11 +124,12 @@ def whole_sets(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     return docs.where("id is not null").mapInArrow(run, "item bigint, shingles array<bigint>")
 
 
-def exact_check(sets: DataFrame, percent: int):
-    """Keeps pairs (a, b) whose sets have a Jaccard similarity of percent at least."""
+def exact_check(sets: Callable[[DataFrame], DataFrame], percent: int):
+    """Keeps pairs (a, b) whose sets have a Jaccard similarity of percent at least; sets(items) gives
+    (item, shingles) of a column of items, asked for each side by itself: pivots are few."""
 
     def check(pairs: DataFrame) -> DataFrame:
-        left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+        left, right = (sets(pairs.select(F.col(x).alias("item")).distinct()).toDF(x, f"s{x}") for x in ("a", "b"))
         common = F.size(F.array_intersect("sa", "sb"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("s"))
         return both.where(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b").distinct()
@@ -146,16 +147,13 @@ def parity_distance(x: str, y: str):
     return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SIGS), F.lit(0))
 
 
-def parity_filter(signed: DataFrame, percent: int):
-    """Suffix filter: drops pairs (a, b) whose parities differ in more places than linked sets can."""
+def parity_close(percent: int):
+    """Suffix filter: linked sets differ in no more shingles, so in no more parities, than this."""
 
-    def narrow(pairs: DataFrame) -> DataFrame:
-        traits = signed.select("item", "n_shingles", *SIGS)
-        both = pairs.join(traits.alias("x"), F.col("a") == F.col("x.item")).join(traits.alias("y"), F.col("b") == F.col("y.item"))
-        most = F.col("x.n_shingles") + F.col("y.n_shingles") - 2 * needed("x", "y", percent)
-        return both.where(parity_distance("x", "y") <= most).select("a", "b").distinct()
+    def close(x: str, y: str):
+        return parity_distance(x, y) <= F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles") - 2 * needed(x, y, percent)
 
-    return narrow
+    return close
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -179,11 +177,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rest = F.least(size[0] - at[0], size[1] - at[1])
         return (F.least(*size) >= need) & (F.least(*at) + rest >= need)
 
-    def check(pairs: DataFrame) -> DataFrame:
-        items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-        return exact_check(whole_sets(own, items, n), percent)(pairs)
-
-    found = link(members, parity_filter(signed, percent), check, may_link).toDF("item", "component")
+    check = exact_check(lambda items: whole_sets(own, items, n), percent)
+    found = link(members, signed, check, may_link, parity_close(percent)).toDF("item", "component")
     named = item_of.join(found, "item", "left").groupBy("id").agg(F.min(F.coalesce("component", "item")).alias("component_id"))
     return table.select("id", "n_shingles").join(named, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 

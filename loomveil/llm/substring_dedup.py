@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from loomveil.llm import textops
 from loomveil.llm.linking import IdFilter, link
-from loomveil.llm.ngram_join import SIGS, exact_check, needed, parity_filter
+from loomveil.llm.ngram_join import SIGS, exact_check, needed, parity_close
 from loomveil.llm.shared import stash
 
 SHORT = 4
@@ -200,11 +200,8 @@ def duplicate_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         """Length filter."""
         return F.least(f"{x}.n_shingles", f"{y}.n_shingles") >= needed(x, y, s.percent)
 
-    def check(pairs: DataFrame) -> DataFrame:
-        items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-        return exact_check(paragraph_sets(docs, items, firsts, s), s.percent)(pairs)
-
-    found = link(members, parity_filter(signed, s.percent), check, may_link).toDF("item", "component")
+    check = exact_check(lambda items: paragraph_sets(docs, items, firsts, s), s.percent)
+    found = link(members, signed.drop("buckets"), check, may_link, parity_close(s.percent)).toDF("item", "component")
     clustered = firsts.join(found, "item")
     kept = clustered.groupBy("component").agg(F.min("lo").alias("keep"))
     near = clustered.join(kept, "component").select("item", "hi", F.col("keep").alias("source"))
