@@ -49,8 +49,9 @@ class IdFilter:
         return [((h + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64) for i in range(4)]
 
     @classmethod
-    def of(cls, ids: DataFrame) -> IdFilter:
-        """From a one-column table; built in pieces on the executors, put together on the driver."""
+    def of(cls, ids: DataFrame, key: Callable[..., np.ndarray] | None = None) -> IdFilter:
+        """From a one-column table, or from key(columns) of one without nulls; built in pieces on the
+        executors, put together on the driver."""
         n = ids.count()
         size = 1 << 16
         while size < min(12 * n, FILTER_BITS):
@@ -59,7 +60,8 @@ class IdFilter:
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.zeros(size, dtype=bool)
             for batch in batches:
-                for s in cls._slots(batch.column(0).drop_null().to_numpy(zero_copy_only=False), size):
+                columns = [c.drop_null().to_numpy(zero_copy_only=False) for c in batch.columns]
+                for s in cls._slots(key(*columns) if key else columns[0], size):
                     own[s] = True
             yield pieces({i: np.packbits(own[i * _PIECE : (i + 1) * _PIECE]) for i in range(size // _PIECE) if own[i * _PIECE : (i + 1) * _PIECE].any()})
 

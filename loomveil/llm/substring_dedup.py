@@ -85,8 +85,7 @@ def _cut(w: textops.Words, breaks: np.ndarray, least: int) -> Spans:
 
 def _breaks(w: textops.Words) -> np.ndarray:
     """Whether a line or a document ends after each word."""
-    line = np.cumsum(w.data == 10)
-    at = line[w.starts] if len(w.starts) else np.zeros(0, dtype=np.int64)
+    at = np.searchsorted(np.flatnonzero(w.data == 10), w.starts)
     out = np.ones(len(at), dtype=bool)
     out[:-1] = at[1:] != at[:-1]
     last = w.ptr[1:] - 1
@@ -165,11 +164,7 @@ def _pair_key(item: np.ndarray, owner: np.ndarray) -> np.ndarray:
 def paragraph_sets(docs: DataFrame, items: DataFrame, firsts: DataFrame, s: Settings) -> DataFrame:
     """(item, shingles) of paragraphs, each built from the first document that holds it."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_pair_key(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)))], names=["key"])
-
-    wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(firsts.join(items, "item", "left_semi").select("item", "lo").mapInArrow(keyed, "key bigint")))
+    wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(firsts.join(items, "item", "left_semi").select("item", "lo"), _pair_key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
