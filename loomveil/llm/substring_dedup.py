@@ -1,13 +1,18 @@
 """Removal of passages that repeat across documents.
 
-Two kinds of spans are looked for in the words of each line (ASCII lower case):
+Three kinds of spans are looked for in words (ASCII lower case):
 
-* Paragraphs, lines of ``min_words`` words at least, that are near-duplicates: MinHash signatures of
+* Paragraphs that are near-duplicates.  A paragraph is a line of ``min_words`` words at least, or
+  consecutive shorter lines, without a blank line between, that have as many together.  MinHash signatures of
   their five-word shingles are cut into bands, paragraphs that collide in a band are candidates, each
   pair is verified by its exact Jaccard similarity, and the components of the verified links are the
   clusters.  Bands and rows are tuned for recall at the threshold (``tune_bands``).
 * Passages inside lines: runs of whole sentences that each stand in an earlier document too.  A run
   counts from ``min_run`` words on; sentences under four words neither make nor break one.
+* Verbatim passages wherever they start and end: every run of ``min_run`` words, across lines and
+  sentences, that an earlier document holds too.  The least hash of the ``anchor``-word n-grams of a run
+  (winnowing) is the same wherever the run stands, so only runs whose least hash occurs in several
+  documents are shuffled, by their own hash, each with its place; overlapping runs make the exact span.
 
 Of each cluster, or sentence, the document with the smallest id keeps its text; all others lose it.
 Repeats inside one document stay.
@@ -17,7 +22,7 @@ parities of their sets drop most false candidates before whole sets are built.
 
 Defined cases: null, empty and blank texts have no spans and stay as they are; rows with a null id
 neither lose text nor cause a loss; of rows with one id, each is cut where its own words are the ones
-that were found; equal rows under different ids are copies, so the later ones lose their long lines; an
+that were found (verbatim passages: where its whole text is the one); equal rows under different ids are copies, so the later ones lose their long lines; an
 empty table gives no rows; other columns are passed on.
 """
 
@@ -48,6 +53,7 @@ class Settings:
     recall: float = 0.998
     min_words: int = 30
     min_run: int = 45
+    anchor: int = 12
 
 
 def tune_bands(threshold: float, recall: float, most: int = 48) -> tuple[int, int]:
@@ -94,7 +100,14 @@ def _breaks(w: textops.Words) -> np.ndarray:
 
 
 def paragraphs(w: textops.Words, least: int) -> Spans:
-    return _cut(w, _breaks(w), least)
+    breaks = _breaks(w)
+    end = np.flatnonzero(breaks) + 1
+    if len(end) > 1:
+        n, line = np.diff(end, prepend=0), np.searchsorted(np.flatnonzero(w.data == 10), w.starts[end - 1])
+        doc = w.doc_of()[end - 1]
+        joins = (n[:-1] < least) & (n[1:] < least) & (np.diff(line) == 1) & (doc[1:] == doc[:-1])
+        breaks[end[:-1][joins] - 1] = False
+    return _cut(w, breaks, least)
 
 
 def sentences(w: textops.Words) -> Spans:
@@ -181,9 +194,126 @@ def paragraph_sets(docs: DataFrame, items: DataFrame, firsts: DataFrame, s: Sett
     return docs.where("id is not null").mapInArrow(run, "item bigint, shingles array<bigint>")
 
 
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of so many values from each position on; the last width - 1 mean nothing."""
+    out, have = values.copy(), 1
+    while have < width:
+        step = min(have, width - have)
+        out[: len(out) - step] = np.minimum(out[: len(out) - step], out[step:])
+        have += step
+    return out
+
+
+_DEALT = "bucket int, hashes array<bigint>, at array<int>, n array<int>, ids array<bigint>, prints array<bigint>"
+
+
+def _dealt(docs: DataFrame, s: Settings, parts: int, wanted=None) -> DataFrame:
+    """Runs of min_run words whose least anchor is in wanted, or without wanted the least anchors, packed by
+    bucket and dealt out: of each row, hashes and places, and how many of them are of which document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, _, w in _blocks(batch.column(1)):
+                at = textops.gram_positions(w.ptr, s.min_run)
+                if not len(at):
+                    continue
+                h, doc = w.hashes(), w.doc_of()[at]
+                key = _least(textops.grams(h, s.anchor), s.min_run - s.anchor + 1)[at]
+                if wanted is None:
+                    keep = np.ones(len(at), dtype=bool)
+                    keep[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                    key = key[keep]
+                else:
+                    keep = wanted.value(key.view(np.int64))
+                    key = textops.span_hashes(h, at[keep], at[keep] + s.min_run)
+                at, doc = at[keep], doc[keep]
+                if not len(at):
+                    continue
+                bucket = (textops.mix(key) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                key, at, doc, bucket = key[order], at[order], doc[order], bucket[order]
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = bucket[1:] != bucket[:-1]
+                rows, own = np.flatnonzero(new), new.copy()
+                own[1:] |= doc[1:] != doc[:-1]
+                heads = np.flatnonzero(own)
+                owner = doc[heads]
+                bounds, groups = np.append(rows, len(at)), np.append(np.searchsorted(heads, rows), len(heads))
+                prints = textops.span_hashes(h, w.ptr[owner], w.ptr[owner + 1]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[rows].astype(np.int32)), textops.list_array(key.view(np.int64), bounds), textops.list_array((at - w.ptr[doc]).astype(np.int32), bounds), textops.list_array(np.diff(np.append(heads, len(at))).astype(np.int32), groups), textops.list_array(ids[first + owner], groups), textops.list_array(prints, groups)],
+                    names=["bucket", "hashes", "at", "n", "ids", "prints"],
+                )
+
+    return docs.where("id is not null").mapInArrow(run, _DEALT).repartition(parts, "bucket")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """(hash, id, at, print) of the rows of a task of _dealt, ordered by hash and id."""
+    held: list[list[np.ndarray]] = [[], [], [], []]
+    for batch in batches:
+        key, at, n, ids, prints = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("hashes", "at", "n", "ids", "prints"))
+        for part, values in zip(held, (key, np.repeat(ids, n), at, np.repeat(prints, n))):
+            part.append(values.copy())
+    if not held[0]:
+        return [np.zeros(0, dtype=np.int64)] * 4
+    key, ids, at, prints = (np.concatenate(part) for part in held)
+    order = np.lexsort((ids, key))
+    return [key[order], ids[order], at[order], prints[order]]
+
+
+def verbatim_spans(docs: DataFrame, s: Settings) -> DataFrame:
+    """(id, at, n, hash, kind, source) of the spans of rows (id, text) that consist of runs of min_run words
+    that an earlier document holds; hash is that of the whole text."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, _, _ = _gathered(batches)
+        several = (key[1:] == key[:-1]) & (ids[1:] != ids[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[1:][several]))], names=["hash"])
+
+    def losing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, at, prints = _gathered(batches)
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        source = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else ids
+        lost = np.flatnonzero(ids > source)
+        lost = lost[np.lexsort((at[lost], source[lost], prints[lost], ids[lost]))]
+        ids, prints, source, at = ids[lost], prints[lost], source[lost], at[lost]
+        new = np.ones(len(lost), dtype=bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1]) | (source[1:] != source[:-1])
+        rows = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(prints[rows]), pa.array(source[rows]), textops.list_array(at.astype(np.int32), np.append(rows, len(lost)))], names=["id", "hash", "source", "at"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, first, n = [], [], []
+            for k in range(batch.num_rows):
+                at = np.sort(batch.column(3)[k].values.flatten().to_numpy(zero_copy_only=False))
+                # runs that overlap or touch are one span
+                cut = np.flatnonzero(np.diff(at) > s.min_run) + 1
+                lo, hi = at[np.append(0, cut)], at[np.append(cut, len(at)) - 1] + s.min_run
+                row.append(np.full(len(lo), k))
+                first.append(lo)
+                n.append(hi - lo)
+            if row:
+                own = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(np.concatenate(first).astype(np.int32)), pa.array(np.concatenate(n).astype(np.int32)), batch.column(1).take(own), batch.column(2).take(own)], names=["id", "at", "n", "hash", "source"])
+
+    spark = docs.sparkSession
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    anchors = stash(_dealt(docs, s, few).mapInArrow(shared, "hash bigint"), "anchors")
+    # an anchor stands in two documents at least, with about thirty runs in each; a task sorts two million
+    parts = max(few, anchors.count() * 64 // 2_000_000)
+    wanted = spark.sparkContext.broadcast(IdFilter.of(anchors))
+    lost = _dealt(docs, s, parts, wanted).mapInArrow(losing, "id bigint, hash bigint, source bigint, at array<int>")
+    whole = lost.groupBy("id", "hash", "source").agg(F.collect_list("at").alias("at"))
+    return whole.mapInArrow(merged, "id bigint, at int, n int, hash bigint, source bigint").withColumn("kind", F.lit("w"))
+
+
 def duplicate_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(id, at, n, hash, kind, source) of the spans of rows (id, text) whose text an earlier document
-    (source) holds: paragraphs in a cluster, and single sentences."""
+    (source) holds: paragraphs in a cluster, single sentences, and verbatim passages."""
     lines = stash(span_table(docs, "paragraph", s), "paragraphs")
     firsts = lines.groupBy(F.col("hash").alias("item")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     signed = stash(signature_table(docs, s), "signatures")
@@ -207,7 +337,7 @@ def duplicate_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     twice = units.groupBy("hash").agg(F.min("id").alias("source"), F.max("id").alias("hi")).where("source <> hi").drop("hi")
     parts = units.join(twice, "hash").where("id > source").withColumn("kind", F.lit("s"))
     order = ["id", "at", "n", "hash", "kind", "source"]
-    return whole.select(order).unionByName(parts.select(order))
+    return whole.select(order).unionByName(parts.select(order)).unionByName(verbatim_spans(docs, s).select(order))
 
 
 def cut_spans(text: str, found: list[dict], s: Settings) -> tuple[str, int, int, list[int]]:
@@ -218,8 +348,10 @@ def cut_spans(text: str, found: list[dict], s: Settings) -> tuple[str, int, int,
         fits = first + n <= len(h)
         own = np.zeros(len(found), dtype=bool)
         own[fits] = textops.span_hashes(h, first[fits], (first + n)[fits]).view(np.int64) == np.array([f["hash"] for f in found], dtype=np.int64)[fits]
+        own_text = int(textops.span_hashes(h, np.array([0]), np.array([len(h)])).view(np.int64)[0])
+        own |= np.array([f["kind"] == "w" and f["hash"] == own_text for f in found])
         source = set()
-        for f in (f for f, ok in zip(found, own) if ok and f["kind"] == "p"):
+        for f in (f for f, ok in zip(found, own) if ok and f["kind"] in "pw"):
             gone[f["at"] : f["at"] + f["n"]] = True
             source.add(f["source"])
         runs: list[list] = []

@@ -110,6 +110,58 @@ def test_substring_dedup_cuts_later_copies(spark):
     assert [out[k].text for k in (3, 4, 5, 6)] == [own[3], None, "", own[4]]
 
 
+def test_substring_dedup_finds_passages_wherever_they_start(spark):
+    words = [f"p{i}" for i in range(60)]
+    own = [[f"d{k}w{i}" for i in range(40)] for k in range(8)]
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    near = [*words[:30], "q", *words[31:]]
+    texts = [
+        " ".join([*own[0], *words, *own[0]]),
+        " ".join([*own[1], *words[3:55], *own[1][::-1]]),  # in mid-sentence, 52 words
+        wrap([*own[2], *words, "tail"], 7),  # wrapped at other places
+        wrap(near, 8),  # a near copy of the next, in short lines
+        " ".join(near[:50] + ["r"] + near[51:]),
+        " ".join([*own[5], *words[:44], *own[5]]),  # too short
+        " ".join([*own[6], *own[5][-9:], *words[44:], *own[5][:9]]),  # short pieces
+    ]
+    df = docs(spark, texts)
+    out = {r.doc_id: r for r in substring_dedup.dedup_substrings(df, report=True).collect()}
+    assert [out[k].text for k in (0, 5, 6)] == [texts[k] for k in (0, 5, 6)]
+    assert out[1].text.split() == [*own[1], *own[1][::-1]] and out[1].n_removed_words == 52 and out[1].source_ids == [0]
+    assert out[2].text.split() == [*own[2], "tail"] and out[2].n_removed_words == 60
+    assert out[3].text == texts[3] and out[4].text == ""
+
+
+def test_verbatim_spans_against_brute_force(spark):
+    rnd = random.Random(6)
+    pool = [[f"{rnd.choice('abcdef')}{rnd.randint(0, 60)}" for _ in range(120)] for _ in range(3)]
+    rows = []
+    for i in range(40):
+        w = []
+        for _ in range(rnd.randint(0, 3)):
+            a = rnd.randint(0, 70)
+            w += [f"u{rnd.randint(0, 9)}" for _ in range(rnd.randint(0, 5))] + rnd.choice(pool)[a : a + rnd.randint(5, 60)]
+        rows.append((i // 2 if i > 30 else i, rnd.choice([" ", "\n", ". "]).join(w)))
+    df = spark.createDataFrame([*rows, (None, rows[1][1]), (90, None)], "id bigint, text string")
+    size = 20
+    grams = [[tuple(w[k : k + size]) for k in range(len(w) - size + 1)] for w in (WORDS.findall(t) for _, t in rows)]
+    first = {}
+    for (i, _), g in zip(rows, grams):
+        for x in g:
+            first[x] = min(i, first.get(x, i))
+    want = {(i, t): {k + j for k, x in enumerate(g) if first[x] < i for j in range(size)} for (i, t), g in zip(rows, grams)}
+    got = {k: set() for k in want}
+    by_id = {}
+    for r in substring_dedup.verbatim_spans(df, substring_dedup.Settings(min_run=size, anchor=6)).collect():
+        by_id.setdefault(r.id, []).append({"at": r.at, "n": r.n, "hash": r.hash, "kind": r.kind, "source": r.source})
+        assert r.source < r.id
+    for i, t in want:
+        for f in by_id.get(i, []):
+            if substring_dedup.cut_spans(t, [f], substring_dedup.Settings())[1]:
+                got[i, t] |= set(range(f["at"], f["at"] + f["n"]))
+    assert got == want and any(want.values())
+
+
 def test_tuned_bands_reach_the_recall():
     bands, rows = substring_dedup.tune_bands(0.8, 0.998)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.998
