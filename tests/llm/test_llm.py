@@ -8,6 +8,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from loomveil.llm import chat, decontam, lm_score, ngram_join, packing, quality, sentences, substring_dedup, token_counts, warc
 from loomveil.llm.shared import new_path
 
@@ -98,6 +99,12 @@ def test_ngram_join_against_brute_force(spark):
     assert got == brute_components(rows, 3, 90)
 
 
+def test_pipeline_drops_a_near_copy_with_one_edit(spark):
+    words = [f"w{i}" for i in range(50)]
+    df = docs(spark, [" ".join(words), " ".join([*words[:25], "x", *words[26:]]), " ".join(words[:25])])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()) == [0, 2]
+
+
 def test_substring_dedup_cuts_later_copies(spark):
     passage = " ".join(f"p{i}" for i in range(60)) + "."
     near = passage.replace("p30 ", "q30 ")
