@@ -36,19 +36,29 @@ def nearest(items: DataFrame, query: Sequence[float], k: int, key: str, vector:
 def search(items: DataFrame, queries: DataFrame, k: int, key: str, query_key: str = "query_id", vector: str = "embedding", block: int = 256, max_queries: int = 4096) -> DataFrame:
     """(query, item, distance, rank) of the k nearest items of each query.
 
-    Queries are a stated set of bounded size, checked here; each task of items scores them in blocks
-    and keeps its own best k a query, so at most tasks x queries x k rows are shuffled."""
+    The driver reads queries in parts of max_queries at most, one at a time, and each part runs against
+    all items; each task of items scores them in blocks and keeps its own best k a query, so at most
+    tasks x queries x k rows are shuffled."""
+    import itertools
+
+    kinds = {d.name: d.dataType.simpleString() for d in [items.schema[key], queries.schema[query_key]]}
+    rows = queries.select(query_key, "embedding").toLocalIterator()
+    local = _best_of(items, list(itertools.islice(rows, max_queries)), k, key, vector, block, kinds[query_key], kinds[key])
+    while part := list(itertools.islice(rows, max_queries)):
+        local = local.unionByName(_best_of(items, part, k, key, vector, block, kinds[query_key], kinds[key]))
+    rank = Window.partitionBy("q").orderBy("distance", "i")
+    return local.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("i").alias(key), "distance", "rank")
+
+
+def _best_of(items: DataFrame, rows: list, k: int, key: str, vector: str, block: int, query_kind: str, item_kind: str) -> DataFrame:
+    """(q, i, distance) of the k nearest items of each query, in each task of items."""
     import heapq
 
     import numpy as np
     import pyarrow as pa
 
-    rows = queries.select(query_key, "embedding").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: search them in parts")
     names = [r[0] for r in rows]
-    matrix = queries.sparkSession.sparkContext.broadcast(np.array([r[1] for r in rows], dtype=np.float64))
-    kinds = {d.name: d.dataType.simpleString() for d in [items.schema[key], queries.schema[query_key]]}
+    matrix = items.sparkSession.sparkContext.broadcast(np.array([r[1] for r in rows], dtype=np.float64))
 
     def run(batches):
         best = [[] for _ in names]
@@ -68,9 +78,7 @@ def search(items: DataFrame, queries: DataFrame, k: int, key: str, query_key: st
         if flat:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat)], names=["q", "i", "distance"])
 
-    local = items.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"q {kinds[query_key]}, i {kinds[key]}, distance double")
-    rank = Window.partitionBy("q").orderBy("distance", "i")
-    return local.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("i").alias(key), "distance", "rank")
+    return items.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"q {query_kind}, i {item_kind}, distance double")
 
 
 def assign_themes(items: DataFrame, themes: Sequence[Sequence[float]], vector: str = "embedding") -> DataFrame:

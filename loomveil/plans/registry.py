@@ -161,6 +161,16 @@ def batch_search(spark, sf_dir):
     return V.search(items, queries, 10, "vec_id").withColumn("distance", F.round("distance", 6) + F.lit(0.0))
 
 
+@query(f"""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {_DIST} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, round(distance, 6) + 0.0 AS distance FROM d
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10""")
+def batch_search_hundredth(spark, sf_dir):
+    """Every row whose id is divisible by 100 against all rows."""
+    items = _t(spark, sf_dir, "embeddings")
+    queries = items.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.search(items, queries, 10, "vec_id").withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+
+
 _ASSIGNED = f"""d AS (SELECT b.vec_id AS vec_id, b.label AS label, a.vec_id AS theme_idx, {_DIST} AS distance FROM embeddings a, embeddings b WHERE a.vec_id < {N_THEMES}),
 assigned AS (SELECT vec_id, label, CAST(theme_idx AS INT) AS theme_idx, distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, theme_idx) = 1)"""
 
