@@ -170,16 +170,16 @@ def _parse(get, find, end, at: int) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the record at a byte; raises Bad."""
     if get(at, at + 7) != _VERSION:
         raise Bad("version line")
-    stop = find(b"\r\n\r\n", at, at + CHUNK)
-    if stop < 0:
-        raise Bad("header")
-    lines = get(at, stop).decode("utf-8", "replace").split("\r\n")
-    headers = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
+    headers: dict[str, str] = {}
+    stop = find(b"\r\n", at, at + MAX_RECORD)
+    while stop >= 0 and get(stop, stop + 4) != b"\r\n\r\n":
+        a, stop = stop + 2, find(b"\r\n", stop + 2, at + MAX_RECORD)
+        name, colon, value = get(a, max(a, stop)).decode("utf-8", "replace").partition(":")
         if not colon:
             raise Bad("header")
         headers[name.strip().lower()] = value.strip()
+    if stop < 0:
+        raise Bad("header")
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()) or int(length) > MAX_RECORD:
         raise Bad("length")

@@ -253,6 +253,15 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert warc.read_gaps(manifest).count() == 0
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage_reads_a_header_of_any_length(packed):
+    import io
+
+    one = [warc.record_bytes(i, "http://h/" + "u" * n, b"payload", hashlib.sha1(b"payload").digest(), None) for i, n in enumerate([5, 700_000, 5])]
+    found = list(warc.salvage(io.BytesIO(b"".join(warc.member(r) if packed else r for r in one))))
+    assert [f[0] for f in found] == ["record"] * 3 and [warc.page_row(*f[2:])[0] for f in found] == [0, 1, 2]
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage_goes_on_after_damage(packed, tmp_path):
     import io
