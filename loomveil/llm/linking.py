@@ -10,7 +10,8 @@ of items that are in one component already need no check.  Rounds therefore go:
    components is checked, except pairs inside the largest component.  After it no link between
    components can be missing, so the result is that of all pairs.
 
-A pair is checked once: pairs of earlier rounds are left out of later ones.  Buckets are aggregated
+A pair is checked once: pairs of earlier rounds are left out of later ones, and the exhaustive round
+joins a pair only in the first bucket that both lists of buckets have in common.  Buckets are aggregated
 before they are shuffled, and pairs come from sort-merge joins, whose hot keys Spark splits.  Buckets
 carry no more of an item than the first filters need.  Tables of a round are removed from the shared
 folder when the tables that replace them are written.
@@ -30,6 +31,8 @@ from loomveil.llm.textops import mix
 
 STAR_ROUNDS = 2
 FILTER_BITS = 1 << 26
+#: so many ids fit a filter; beyond, callers narrow documents by a shuffled join instead
+FILTER_IDS = FILTER_BITS // 12
 _PIECE = 1 << 16
 
 
@@ -115,23 +118,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], close: Callable[[str, str], Column], star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """(node, component) of items with links, given members (bucket, item, ...) of buckets and traits
-    (item, ...) of items.
+    """(node, component) of items with links, given members (bucket, item, at, ...) of buckets and traits
+    (item, buckets, ...) of items: bucket is the one at place ``at`` of the item's list of buckets.
 
-    check(pairs of a, b) keeps the pairs that are linked; may_link(x, y) is a condition on the columns
-    of two members, given as prefixes, that every linked pair fulfils in every bucket they share, and
-    close(x, y) one on their traits.  Star rounds, whose pairs are few, look traits up by pair; the last
-    round has them in the buckets, so that it makes no pairs that they rule out."""
+    check(pairs of a, b) keeps the pairs that are linked, as a stored table; may_link(x, y) is a condition
+    on the columns of two members, given as prefixes, that every linked pair fulfils in the first bucket
+    they share, and close(x, y) one on their traits.  Star rounds, whose pairs are few, look traits up by
+    pair; the last round has them in the buckets, so that it makes no pairs that they rule out."""
     extra = [c for c in members.columns if c != "bucket"]
     whole = F.struct(*extra)
     found = seen = None
 
-    def with_traits(df: DataFrame, item: str, name: str) -> DataFrame:
-        own = traits.select(F.col("item").alias("__item"), F.struct(*traits.columns).alias(name))
+    def with_traits(df: DataFrame, item: str, name: str, columns: list[str]) -> DataFrame:
+        own = traits.select(F.col("item").alias("__item"), F.struct(*columns).alias(name))
         return df.join(own, F.col(item) == F.col("__item")).drop("__item")
 
     def narrow(new: DataFrame) -> DataFrame:
-        return with_traits(with_traits(new, "a", "xt"), "b", "yt").where(close("xt", "yt")).select("a", "b").distinct()
+        slim = [c for c in traits.columns if c != "buckets"]
+        return with_traits(with_traits(new, "a", "xt", slim), "b", "yt", slim).where(close("xt", "yt")).select("a", "b").distinct()
 
     def pairs(left: DataFrame, right: DataFrame, on: Column | None = None) -> DataFrame:
         both = left.join(right, "bucket").where(may_link("x", "y"))
@@ -147,7 +151,7 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
         if k:  # only buckets with several components
             mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
             named = named.join(mixed, "bucket", "left_semi")
-            named = stash(named if k < star_rounds else with_traits(named, "x.item", "xt"), "mixed")
+            named = stash(named if k < star_rounds else with_traits(named, "x.item", "xt", traits.columns), "mixed")
             if named.isEmpty():
                 discard(named)
                 break
@@ -160,9 +164,10 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
             main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
             few = named.join(main, "bucket").where("comp <> main")
             other = named.select("bucket", F.col("x").alias("y"), F.col("xt").alias("yt"), F.col("comp").alias("other"))
-            new = pairs(few, other, close("xt", "yt") & (F.col("comp") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("comp") < F.col("other"))))
+            earlier = [F.slice(f"{s}t.buckets", F.lit(1), F.col(f"{s}.at")) for s in ("x", "y")]
+            new = pairs(few, other, close("xt", "yt") & (F.col("comp") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("comp") < F.col("other"))) & ~F.arrays_overlap(*earlier))
         new = stash(narrow(new) if k < star_rounds else new, "pairs")
-        linked = stash(check(new), "links")
+        linked = check(new)
         if k:
             discard(named)
         seen = new if seen is None else seen.unionByName(new)

@@ -10,8 +10,11 @@ the whole sets.
   (``COUNTERS``), by eighth powers of two, ties by hash.  Any order gives the same result; counting only
   keeps frequent shingles out of the prefixes.
 * Prefix shingles meet by ``linking.link``: components without all pairs of a bucket.
-* Whole sets are built again only for items that share a bucket, found by a Bloom filter of bounded
-  size.
+* The suffix filter cuts whole sets at fixed places of the hash order into 256 parts and bounds their
+  difference by that of the sizes of the parts, which are kept modulo two (``parity_close``); it takes the
+  place of the recursive search for pivots, which would need whole sets before the join.
+* Whole sets are built again only for items in candidate pairs, found by a Bloom filter of bounded
+  size, or by a shuffled join where ids are too many for it.
 
 Sets are of 64-bit hashes of n-grams of 64-bit word hashes.
 
@@ -31,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomveil.llm import textops
-from loomveil.llm.linking import IdFilter, link
-from loomveil.llm.shared import stash
+from loomveil.llm.linking import FILTER_IDS, IdFilter, link
+from loomveil.llm.shared import discard, stash
 
 COUNTER_BITS = 21
 COUNTERS = 1 << COUNTER_BITS
@@ -112,27 +115,34 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """(item, shingles) of the documents in items (one column), and of a few others; docs are only read."""
-    wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(items))
+    """(item, shingles) of the documents in items (one column), and of a few others; docs are read once."""
+    docs = docs.where("id is not null")
+    fits = items.count() <= FILTER_IDS
+    wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(items)) if fits else None
+    if not fits:
+        docs = docs.join(items.select(F.col("item").alias("id")), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.value(batch.column(0).to_numpy(zero_copy_only=False))))
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted.value(batch.column(0).to_numpy(zero_copy_only=False))))
             for at, values, bounds in _sets(batch.column(1), n):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bounds) - 1), textops.list_array(_signed(values), bounds)], names=["item", "shingles"])
 
-    return docs.where("id is not null").mapInArrow(run, "item bigint, shingles array<bigint>")
+    return docs.mapInArrow(run, "item bigint, shingles array<bigint>")
 
 
 def exact_check(sets: Callable[[DataFrame], DataFrame], percent: int):
     """Keeps pairs (a, b) whose sets have a Jaccard similarity of percent at least; sets(items) gives
-    (item, shingles) of a column of items, asked for each side by itself: pivots are few."""
+    (item, shingles) of a column of items.  Sets are built once for both sides of all pairs."""
 
     def check(pairs: DataFrame) -> DataFrame:
-        left, right = (sets(pairs.select(F.col(x).alias("item")).distinct()).toDF(x, f"s{x}") for x in ("a", "b"))
+        table = stash(sets(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()), "shingles")
         common = F.size(F.array_intersect("sa", "sb"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("s"))
-        return both.where(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b").distinct()
+        both = pairs.join(table.toDF("a", "sa"), "a").join(table.toDF("b", "sb"), "b").select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("s"))
+        linked = stash(both.where(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b").distinct(), "links")
+        discard(table)
+        return linked
 
     return check
 
@@ -163,12 +173,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = ["n_shingles", "key1", "key2"]
     real = table.where("id is not null and n_shingles > 0")
     groups = real.groupBy(*keys).agg(F.min("id").alias("item"))
-    item_of = stash(real.select("id", *keys).join(groups, keys).select("id", "item").distinct(), "items")
-    heads = real.select("id", *keys, "prefix").join(groups, keys).where("id = item")
-    members = heads.select("item", F.col("n_shingles").cast("int").alias("n_shingles"), F.posexplode("prefix").alias("at", "bucket"))
+    own_item = F.when(F.col("id").isNotNull(), F.col("item")).alias("item")
+    rows = stash(table.select("id", *keys).join(groups, keys, "left").select("id", "n_shingles", own_item), "rows")
+    heads = stash(real.join(groups, keys).where("id = item").dropDuplicates(["item", *keys]).select("item", "n_shingles", *SIGS, F.col("prefix").alias("buckets")), "heads")
+    discard(table)
+    members = heads.select("item", F.col("n_shingles").cast("int").alias("n_shingles"), F.posexplode("buckets").alias("at", "bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = stash(members.join(shared, "bucket"), "members")
-    signed = real.select(F.col("id").alias("item"), "n_shingles", *keys[1:], *SIGS).join(groups.select("item", *keys), ["item", *keys]).select("item", "n_shingles", *SIGS).distinct()
 
     def may_link(x: str, y: str):
         """Length and positional filter."""
@@ -178,18 +189,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return (F.least(*size) >= need) & (F.least(*at) + rest >= need)
 
     check = exact_check(lambda items: whole_sets(own, items, n), percent)
-    found = link(members, signed, check, may_link, parity_close(percent)).toDF("item", "component")
-    named = item_of.join(found, "item", "left").groupBy("id").agg(F.min(F.coalesce("component", "item")).alias("component_id"))
-    return table.select("id", "n_shingles").join(named, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    found = link(members, heads, check, may_link, parity_close(percent)).toDF("item", "component")
+    discard(members, heads)
+    named = rows.where("item is not null").join(found, "item", "left").groupBy("id").agg(F.min(F.coalesce("component", "item")).alias("component_id"))
+    return rows.select("id", "n_shingles").join(named, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, one row for an id; rows with a
-    null id stay."""
+    """The rows of docs whose id is the smallest of their component.  Rows with a null id stay; of rows
+    that are equal in every column one stays; rows with one id and other texts or columns all stay."""
     found = similar_documents(docs, id_col, text_col, n, percent)
     gone = found.where(f"`{id_col}` <> component_id").select(id_col).distinct()
     left = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    again = found.where(f"`{id_col}` is not null").groupBy(id_col).count().where("count > 1")
+    again = stash(found.where(f"`{id_col}` is not null").groupBy(id_col).count().where("count > 1").select(id_col), "again")
     if again.isEmpty():
         return left
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+    return left.join(again, id_col, "left_anti").select(docs.columns).unionByName(left.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates())

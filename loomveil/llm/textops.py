@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2_000_000
-PIECE_BYTES = 4_000_000
+BLOCK_BYTES = 500_000
+PIECE_BYTES = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
