@@ -1,20 +1,19 @@
 """Removal of passages that repeat across documents.
 
-Three kinds of spans are looked for in words (ASCII lower case):
+Two kinds of paragraphs are looked for in words (ASCII lower case):
 
-* Paragraphs that are near-duplicates.  A paragraph is a line of ``min_words`` words at least, or
+* Lines that are near-duplicates.  A paragraph is a line of ``min_words`` words at least, or
   consecutive shorter lines, without a blank line between, that have as many together.  MinHash signatures of
   their five-word shingles are cut into bands, paragraphs that collide in a band are candidates, each
   pair is verified by its exact Jaccard similarity, and the components of the verified links are the
   clusters.  Bands and rows are tuned for recall at the threshold (``tune_bands``).
-* Passages inside lines: runs of whole sentences that each stand in an earlier document too.  A run
-  counts from ``min_run`` words on; sentences under four words neither make nor break one.
-* Verbatim passages wherever they start and end: every run of ``min_run`` words, across lines and
-  sentences, that an earlier document holds too.  The least hash of the ``anchor``-word n-grams of a run
-  (winnowing) is the same wherever the run stands, so only runs whose least hash occurs in several
-  documents are shuffled, by their own hash, each with its place; overlapping runs make the exact span.
-
-Of each cluster, or sentence, the document with the smallest id keeps its text; all others lose it.
+* Windows of ``min_run`` words, wherever they start and end, across lines and sentences.  Their MinHash
+  signature is one hash, the least of their ``anchor``-word n-grams, in one band: equal windows always
+  collide.  Only windows whose hash occurs in several documents are shuffled, by all their words, which
+  verifies them (edit distance 0); those of one source that overlap make the exact span.  Words that no
+  single earlier document holds in such a window stay.
+
+Of each cluster, or window, the document with the smallest id keeps its text; all others lose it.
 Repeats inside one document stay.
 
 Equal paragraphs are collapsed before the bands meet, buckets are handled by ``linking.link``, and
@@ -38,12 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomveil.llm import textops
-from loomveil.llm.linking import IdFilter, link
+from loomveil.llm.linking import FILTER_IDS, IdFilter, link
 from loomveil.llm.ngram_join import SIGS, exact_check, needed, parity_close
-from loomveil.llm.shared import stash
-
-SHORT = 4
-_STOPS = np.isin(np.arange(256), np.frombuffer(b".!?", dtype=np.uint8))
+from loomveil.llm.shared import discard, stash
 
 
 @dataclass(frozen=True)
@@ -110,21 +106,17 @@ def paragraphs(w: textops.Words, least: int) -> Spans:
     return _cut(w, breaks, least)
 
 
-def sentences(w: textops.Words) -> Spans:
-    return _cut(w, _breaks(w) | _STOPS[w.data[w.ends - 1]] if len(w.starts) else _breaks(w), SHORT)
-
-
 def _blocks(column):
     yield from textops.word_blocks(column, textops.SPACE_WORDS, lower=True)
 
 
-def span_table(docs: DataFrame, kind: str, s: Settings) -> DataFrame:
-    """(id, at, n, hash) of the paragraphs or sentences of rows (id, text)."""
+def span_table(docs: DataFrame, s: Settings) -> DataFrame:
+    """(id, at, n, hash) of the paragraphs of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, _, w in _blocks(batch.column(1)):
-                spans = paragraphs(w, s.min_words) if kind == "paragraph" else sentences(w)
+                spans = paragraphs(w, s.min_words)
                 key = textops.span_hashes(w.hashes(), spans.first, spans.end).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(spans.doc + at)), pa.array((spans.first - w.ptr[spans.doc]).astype(np.int32)), pa.array((spans.end - spans.first).astype(np.int32)), pa.array(key)], names=["id", "at", "n", "hash"])
 
@@ -175,9 +167,12 @@ def _pair_key(item: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def paragraph_sets(docs: DataFrame, items: DataFrame, firsts: DataFrame, s: Settings) -> DataFrame:
-    """(item, shingles) of paragraphs, each built from the first document that holds it."""
-
-    wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(firsts.join(items, "item", "left_semi").select("item", "lo"), _pair_key))
+    """(item, shingles) of paragraphs, each built from the first document that holds it, and of a few others."""
+    docs, some = docs.where("id is not null"), firsts.join(items, "item", "left_semi").select("item", "lo")
+    fits = items.count() <= FILTER_IDS
+    wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(some, _pair_key)) if fits else None
+    if not fits:
+        docs = docs.join(some.select(F.col("lo").alias("id")), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,12 +181,12 @@ def paragraph_sets(docs: DataFrame, items: DataFrame, firsts: DataFrame, s: Sett
                 spans = paragraphs(w, s.min_words)
                 h = w.hashes()
                 item = textops.span_hashes(h, spans.first, spans.end).view(np.int64)
-                own = np.flatnonzero(wanted.value(_pair_key(item, ids[at + spans.doc])))
+                own = np.flatnonzero(wanted.value(_pair_key(item, ids[at + spans.doc]))) if wanted else np.arange(len(item))
                 spans, item = Spans(spans.doc[own], spans.first[own], spans.end[own]), item[own]
                 values, bounds = _shingles(h, spans, s.shingle)
                 yield pa.RecordBatch.from_arrays([pa.array(item), textops.list_array(values.view(np.int64), bounds)], names=["item", "shingles"])
 
-    return docs.where("id is not null").mapInArrow(run, "item bigint, shingles array<bigint>")
+    return docs.mapInArrow(run, "item bigint, shingles array<bigint>")
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -263,6 +258,13 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
     return [key[order], ids[order], at[order], prints[order]]
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before in any column; the first does."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
+
+
 def verbatim_spans(docs: DataFrame, s: Settings) -> DataFrame:
     """(id, at, n, hash, kind, source) of the spans of rows (id, text) that consist of runs of min_run words
     that an earlier document holds; hash is that of the whole text."""
@@ -278,27 +280,36 @@ def verbatim_spans(docs: DataFrame, s: Settings) -> DataFrame:
         new[1:] = key[1:] != key[:-1]
         source = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else ids
         lost = np.flatnonzero(ids > source)
-        lost = lost[np.lexsort((at[lost], source[lost], prints[lost], ids[lost]))]
         ids, prints, source, at = ids[lost], prints[lost], source[lost], at[lost]
-        new = np.ones(len(lost), dtype=bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1]) | (source[1:] != source[:-1])
-        rows = np.flatnonzero(new)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(prints[rows]), pa.array(source[rows]), textops.list_array(at.astype(np.int32), np.append(rows, len(lost)))], names=["id", "hash", "source", "at"])
+        bucket = (textops.mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((at, source, prints, ids, bucket))
+        bucket, ids, prints, source, at = (x[order] for x in (bucket, ids, prints, source, at))
+        row, own = _changes(bucket), _changes(bucket, ids, prints, source)
+        rows, heads = np.flatnonzero(row), np.flatnonzero(own)
+        bounds, groups = np.append(rows, len(at)), np.append(np.searchsorted(heads, rows), len(heads))
+        # one row for each pair of tasks, whatever the number of places
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[rows].astype(np.int32)), textops.list_array(at.astype(np.int32), bounds), textops.list_array(np.diff(np.append(heads, len(at))).astype(np.int32), groups), *(textops.list_array(x[heads], groups) for x in (ids, prints, source))],
+            names=["bucket", "at", "n", "ids", "prints", "sources"],
+        )
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            row, first, n = [], [], []
-            for k in range(batch.num_rows):
-                at = np.sort(batch.column(3)[k].values.flatten().to_numpy(zero_copy_only=False))
-                # runs that overlap or touch are one span
-                cut = np.flatnonzero(np.diff(at) > s.min_run) + 1
-                lo, hi = at[np.append(0, cut)], at[np.append(cut, len(at)) - 1] + s.min_run
-                row.append(np.full(len(lo), k))
-                first.append(lo)
-                n.append(hi - lo)
-            if row:
-                own = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(np.concatenate(first).astype(np.int32)), pa.array(np.concatenate(n).astype(np.int32)), batch.column(1).take(own), batch.column(2).take(own)], names=["id", "at", "n", "hash", "source"])
+            at, n, *of = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("at", "n", "ids", "prints", "sources"))
+            for part, values in zip(held, (at, *(np.repeat(x, n) for x in of))):
+                part.append(values.copy())
+        if not held[0]:
+            return
+        at, ids, prints, source = (np.concatenate(part) for part in held)
+        order = np.lexsort((at, source, prints, ids))
+        at, ids, prints, source = (x[order] for x in (at, ids, prints, source))
+        # runs of one source that overlap or touch are one span
+        first = _changes(ids, prints, source)
+        first[1:] |= np.diff(at) > s.min_run
+        lo = np.flatnonzero(first)
+        hi = np.append(lo[1:], len(at)) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(ids[lo]), pa.array(at[lo].astype(np.int32)), pa.array((at[hi] - at[lo] + s.min_run).astype(np.int32)), pa.array(prints[lo]), pa.array(source[lo])], names=["id", "at", "n", "hash", "source"])
 
     spark = docs.sparkSession
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -306,41 +317,38 @@ def verbatim_spans(docs: DataFrame, s: Settings) -> DataFrame:
     # an anchor stands in two documents at least, with about thirty runs in each; a task sorts two million
     parts = max(few, anchors.count() * 64 // 2_000_000)
     wanted = spark.sparkContext.broadcast(IdFilter.of(anchors))
-    lost = _dealt(docs, s, parts, wanted).mapInArrow(losing, "id bigint, hash bigint, source bigint, at array<int>")
-    whole = lost.groupBy("id", "hash", "source").agg(F.collect_list("at").alias("at"))
-    return whole.mapInArrow(merged, "id bigint, at int, n int, hash bigint, source bigint").withColumn("kind", F.lit("w"))
+    lost = _dealt(docs, s, parts, wanted).mapInArrow(losing, "bucket int, at array<int>, n array<int>, ids array<bigint>, prints array<bigint>, sources array<bigint>")
+    return lost.repartition(parts, "bucket").mapInArrow(merged, "id bigint, at int, n int, hash bigint, source bigint").withColumn("kind", F.lit("w"))
 
 
 def duplicate_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(id, at, n, hash, kind, source) of the spans of rows (id, text) whose text an earlier document
-    (source) holds: paragraphs in a cluster, single sentences, and verbatim passages."""
-    lines = stash(span_table(docs, "paragraph", s), "paragraphs")
-    firsts = lines.groupBy(F.col("hash").alias("item")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    (source) holds: paragraphs in a cluster, and verbatim passages."""
+    lines = stash(span_table(docs, s), "paragraphs")
+    firsts = stash(lines.groupBy(F.col("hash").alias("item")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "firsts")
     signed = stash(signature_table(docs, s), "signatures")
-    bands = signed.select("item", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode("buckets").alias("bucket"))
+    bands = signed.select("item", F.col("n_shingles").cast("int").alias("n_shingles"), F.posexplode("buckets").alias("at", "bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = stash(bands.join(shared, "bucket").select("bucket", "item", "n_shingles"), "members")
+    members = stash(bands.join(shared, "bucket").select("bucket", "item", "at", "n_shingles"), "members")
 
     def may_link(x: str, y: str):
         """Length filter."""
         return F.least(f"{x}.n_shingles", f"{y}.n_shingles") >= needed(x, y, s.percent)
 
     check = exact_check(lambda items: paragraph_sets(docs, items, firsts, s), s.percent)
-    found = link(members, signed.drop("buckets"), check, may_link, parity_close(s.percent)).toDF("item", "component")
+    found = link(members, signed, check, may_link, parity_close(s.percent)).toDF("item", "component")
+    discard(members, signed)
     clustered = firsts.join(found, "item")
     kept = clustered.groupBy("component").agg(F.min("lo").alias("keep"))
     near = clustered.join(kept, "component").select("item", "hi", F.col("keep").alias("source"))
     alone = firsts.where("lo <> hi").join(found, "item", "left_anti").select("item", "hi", F.col("lo").alias("source"))
     losing = near.unionByName(alone).where("hi > source").select(F.col("item").alias("hash"), "source")
     whole = lines.join(losing, "hash").where("id > source").withColumn("kind", F.lit("p"))
-    units = span_table(docs, "sentence", s)
-    twice = units.groupBy("hash").agg(F.min("id").alias("source"), F.max("id").alias("hi")).where("source <> hi").drop("hi")
-    parts = units.join(twice, "hash").where("id > source").withColumn("kind", F.lit("s"))
     order = ["id", "at", "n", "hash", "kind", "source"]
-    return whole.select(order).unionByName(parts.select(order)).unionByName(verbatim_spans(docs, s).select(order))
+    return whole.select(order).unionByName(verbatim_spans(docs, s).select(order))
 
 
-def cut_spans(text: str, found: list[dict], s: Settings) -> tuple[str, int, int, list[int]]:
+def cut_spans(text: str, found: list[dict]) -> tuple[str, int, int, list[int]]:
     """(text without the spans that count, removed words, removed spans, ids that keep them)."""
     for _, _, w in _blocks(pa.array([text], pa.large_string())):
         h, gone = w.hashes(), np.zeros(len(w.starts) + 1, dtype=bool)
@@ -351,20 +359,9 @@ def cut_spans(text: str, found: list[dict], s: Settings) -> tuple[str, int, int,
         own_text = int(textops.span_hashes(h, np.array([0]), np.array([len(h)])).view(np.int64)[0])
         own |= np.array([f["kind"] == "w" and f["hash"] == own_text for f in found])
         source = set()
-        for f in (f for f, ok in zip(found, own) if ok and f["kind"] in "pw"):
+        for f in (f for f, ok in zip(found, own) if ok):
             gone[f["at"] : f["at"] + f["n"]] = True
             source.add(f["source"])
-        runs: list[list] = []
-        for f in sorted((f for f, ok in zip(found, own) if ok and f["kind"] == "s"), key=lambda f: f["at"]):
-            if runs and f["at"] - runs[-1][1] < SHORT:
-                runs[-1][1] = f["at"] + f["n"]
-                runs[-1][2].add(f["source"])
-            else:
-                runs.append([f["at"], f["at"] + f["n"], {f["source"]}])
-        for a, b, of in runs:
-            if b - a >= s.min_run:
-                gone[a:b] = True
-                source |= of
         edge = np.diff(np.concatenate([[0], gone.astype(np.int8)]))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         data, out, at = text.encode(), [], 0
@@ -380,16 +377,28 @@ def cut_spans(text: str, found: list[dict], s: Settings) -> tuple[str, int, int,
     return text, 0, 0, []
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings(), report: bool = False) -> DataFrame:
-    """docs with repeated passages cut out of their texts, all other columns as they were; with report
-    also n_removed_words, n_removed_spans and source_ids."""
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings(), report: bool = False, chars_col: str | None = None) -> DataFrame:
+    """docs with repeated passages cut out of their texts, all other columns as they were, but that
+    chars_col becomes the length of texts that were cut; with report also n_removed_words,
+    n_removed_spans and source_ids, each with ``_`` added while docs has a column of that name."""
     own = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
     spans = duplicate_spans(own, s)
-    found = stash(spans.groupBy("id").agg(F.collect_list(F.struct("at", "n", "hash", "kind", "source")).alias("__spans")), "spans")
-    wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(found.select("id")))
+    found = stash(spans.groupBy("id").agg(F.collect_list(F.struct("at", "n", "hash", "kind", "source")).alias("spans")), "spans")
+    fits = found.count() <= FILTER_IDS
+    wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(found.select("id"))) if fits else None
+    taken = [c.lower() for c in docs.columns]
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
-    extra = [T.StructField("n_removed_words", T.LongType()), T.StructField("n_removed_spans", T.LongType()), T.StructField("source_ids", T.ArrayType(T.LongType()))]
+    chars_at = docs.columns.index(chars_col) if chars_col else None
+    names = [_free(n, taken) for n in ("n_removed_words", "n_removed_spans", "source_ids")]
+    extra = [T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.LongType(), T.ArrayType(T.LongType())))]
     schema = T.StructType([*docs.schema.fields, *extra])
+    listed = _free("spans", taken)
 
     def picked(passing: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,16 +412,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, more = [], []
-            for text, found in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                text, *rest = cut_spans(text, found, s) if text and found else (text, 0, 0, [])
+            chars = batch.column(chars_at).to_pylist() if chars_col else []
+            for k, (text, found) in enumerate(zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())):
+                text, *rest = cut_spans(text, found) if text and found else (text, 0, 0, [])
                 texts.append(text)
                 more.append(rest)
+                if chars_col and rest[0]:
+                    chars[k] = len(text)
             columns = [*batch.columns[:-1], *(pa.array([m[j] for m in more], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()))))]
             columns[text_at] = pa.array(texts, pa.string())
+            if chars_col:
+                columns[chars_at] = pa.array(chars, columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    hit = picked(True)
-    joined = hit.join(found, hit[id_col].cast("bigint") == found["id"], "left").select(*(hit[c] for c in docs.columns), "__spans")
-    rest = picked(False).withColumns({"n_removed_words": F.lit(0).cast("bigint"), "n_removed_spans": F.lit(0).cast("bigint"), "source_ids": F.array().cast("array<bigint>")})
-    out = joined.mapInArrow(cut, schema).unionByName(rest)
+    hit = picked(True) if fits else docs
+    named = found.toDF("__id", listed)
+    joined = hit.join(named, hit[id_col].cast("bigint") == named["__id"], "left").select(*(hit[c] for c in docs.columns), named[listed])
+    out = joined.mapInArrow(cut, schema)
+    if fits:
+        none = [F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.array().cast("array<bigint>")]
+        out = out.unionByName(picked(False).withColumns(dict(zip(names, none))))
     return out if report else out.select(docs.columns)

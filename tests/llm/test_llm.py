@@ -164,7 +164,7 @@ def test_verbatim_spans_against_brute_force(spark):
         assert r.source < r.id
     for i, t in want:
         for f in by_id.get(i, []):
-            if substring_dedup.cut_spans(t, [f], substring_dedup.Settings())[1]:
+            if substring_dedup.cut_spans(t, [f])[1]:
                 got[i, t] |= set(range(f["at"], f["at"] + f["n"]))
     assert got == want and any(want.values())
 
@@ -293,3 +293,24 @@ def test_chat_parts_and_round_trip(spark):
     got = {r.conv_id: r for r in chat.read_back(chat.format_turns(turns.withColumn("parts", chat.text_parts(F.col("text"))))).collect()}
     assert got[1].turns_sha256 == hashlib.sha256(f"us\ner\n\nassistant\n{said}\n".encode()).hexdigest()
     assert (got[1].loss_chars, got[1].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest()) and len(got) == 3
+
+
+def test_substring_dedup_keeps_text_that_no_earlier_document_holds(spark):
+    own = [" ".join(f"d{k}w{i}" for i in range(24)) + f" end{k}." for k in range(2)]
+    df = docs(spark, [*own, f"{own[0]} Only here now. {own[1]}"])
+    out = {r.doc_id: r for r in substring_dedup.dedup_substrings(df, report=True).collect()}
+    assert out[2].text == f"{own[0]} Only here now. {own[1]}" and out[2].n_removed_words == 0
+
+
+def test_substring_dedup_defined_cases(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage, 7, "x"), (1, passage, 7, "x"), (2, passage, 8, "y"), (None, passage, 9, None), (3, None, None, None), (4, "", 0, ""), (5, "a " * 200_000 + "\n\n" + passage, 1, "z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_removed_words int, spans string")
+    out = substring_dedup.dedup_substrings(df, report=True)
+    assert out.columns == ["doc_id", "text", "n_removed_words", "spans", "n_removed_words_", "n_removed_spans", "source_ids"]
+    got = sorted(out.collect(), key=lambda r: (r.doc_id or 0, r.text or ""))
+    assert [(r.doc_id, (r.text or "").split() == passage.split(), r.n_removed_words) for r in got if r.doc_id in (None, 1)] == [(None, True, 9), (1, True, 7), (1, True, 7)]
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[2].text == "" and by_id[2].n_removed_words_ == 60 and by_id[2].n_removed_words == 8
+    assert by_id[3].text is None and by_id[4].text == "" and by_id[5].text.split() == ["a"] * 200_000
+    assert substring_dedup.dedup_substrings(df.where("false")).collect() == []
