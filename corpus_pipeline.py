@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomveil.llm import decontam, ngram_join, quality, sentences, substring_dedup
 from loomveil.llm.shared import new_path
@@ -23,9 +22,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document holds; n_chars follows the text."""
-    out = substring_dedup.dedup_substrings(docs, report=True)
-    changed = F.when(F.col("n_removed_words") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed).select(docs.columns)
+    return substring_dedup.dedup_substrings(docs, chars_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
