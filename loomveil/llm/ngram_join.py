@@ -175,9 +175,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups = real.groupBy(*keys).agg(F.min("id").alias("item"))
     own_item = F.when(F.col("id").isNotNull(), F.col("item")).alias("item")
     rows = stash(table.select("id", *keys).join(groups, keys, "left").select("id", "n_shingles", own_item), "rows")
-    heads = stash(real.join(groups, keys).where("id = item").dropDuplicates(["item", *keys]).select("item", "n_shingles", *SIGS, F.col("prefix").alias("buckets")), "heads")
+    heads = stash(real.join(groups, keys).where("id = item").dropDuplicates(["item", *keys]).select("item", "n_shingles", *SIGS, "prefix"), "heads")
     discard(table)
-    members = heads.select("item", F.col("n_shingles").cast("int").alias("n_shingles"), F.posexplode("buckets").alias("at", "bucket"))
+    members = heads.select("item", F.col("n_shingles").cast("int").alias("n_shingles"), F.posexplode("prefix").alias("at", "bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = stash(members.join(shared, "bucket"), "members")
 
@@ -189,7 +189,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return (F.least(*size) >= need) & (F.least(*at) + rest >= need)
 
     check = exact_check(lambda items: whole_sets(own, items, n), percent)
-    found = link(members, heads, check, may_link, parity_close(percent)).toDF("item", "component")
+    found = link(members, heads.drop("prefix"), check, may_link, parity_close(percent)).toDF("item", "component")
     discard(members, heads)
     named = rows.where("item is not null").join(found, "item", "left").groupBy("id").agg(F.min(F.coalesce("component", "item")).alias("component_id"))
     return rows.select("id", "n_shingles").join(named, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
