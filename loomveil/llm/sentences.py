@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-TABLE_CHUNKS = 1_000_000
+TABLE_CHUNKS = 250_000
 TEXT_CHARS = 1_000_000
 MARKER = "▁"
 
@@ -77,6 +77,10 @@ class ChunkTable:
             if chunk in old:
                 table[chunk] = old[chunk]
 
+    def forget(self) -> None:
+        """Empties the table: workers outlive their tasks."""
+        self.table, self.old, self.odd = {}, {}, {}
+
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, bytes, str]]:
         """(number of ids, decimal ids joined by commas, decoded text) of each text."""
         if not self.apart:
@@ -96,7 +100,7 @@ class ChunkTable:
             for chunks in pending:
                 new.update(chunks)
             if len(self.odd) > TABLE_CHUNKS:
-                self.table, self.old, self.odd = {}, {}, {}
+                self.forget()
             held = self.table
             missing = [c for c in new if c not in held]
             if len(held) + len(missing) >= TABLE_CHUNKS // 2:
@@ -134,6 +138,7 @@ def encode_ids(docs: DataFrame, model: str | None = None, id_col: str = "doc_id"
                 out = list(table.encode(part.column(1).to_pylist()))
                 ids = [[int(i) for i in joined.split(b",")] if joined else [] for _, joined, _ in out]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.string())], names=schema.names)
+        table.forget()
 
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, schema)
 
@@ -157,5 +162,6 @@ def encode_digests(docs: DataFrame, model: str | None = None, id_col: str = "doc
                     ids.append(digest(joined))
                     back.append(digest(decoded.encode()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=schema.names)
+        table.forget()
 
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, schema)
