@@ -7,7 +7,8 @@ these leaves an attachment record (order, type, reference, expanded token count)
     <|im_start|>ROLE\\nBODY<|im_end|>\\n
 
 and a conversation is its turns one after another.  Control strings start with ``<|``, and no escaped
-text holds ``<|``: a backslash is doubled, and ``<|`` becomes ``<\\|``; both are undone on reading back.
+text holds ``<|``: a backslash is doubled, and ``<|`` becomes ``<\\|``, also where ``<`` ends one text part and
+``|`` starts the next; both are undone on reading back.
 The loss mask covers the text parts of assistant turns.
 
 Turns are formatted where they are read, one row each.  To read conversations back, formatted turns
@@ -74,6 +75,8 @@ class PartVisitor:
     def visit_text(self, part: dict) -> None:
         text = escape(part.get("text") or "")
         if text:
+            if text[0] == "|" and self.out[-1].endswith("<"):
+                text = "\\" + text
             self.texts.append((self.at, self.at + len(text)))
             self._put(text)
 
