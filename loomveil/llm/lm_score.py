@@ -1,23 +1,26 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
 Texts are word tokens and one end.  A token is a string of bits: the path of its code, a Huffman code
-over the ``VOCABULARY`` most frequent training words that occur twice or more, the end and an escape (words
-that occur once stand for words not seen); the escape is followed by
-the bytes of the word, each with a flag that tells whether another follows.  Every bit is predicted by
+over the ``VOCABULARY`` most frequent training words that occur twice or more, the end and an escape for
+all other words, among which a word then has the probability (c+1)/(M+W+1), with c its training count, M
+and W the tokens and the distinct words of training outside the code.  Every bit is predicted by
 
 * the count of training tokens below the node of the code (order 0),
-* three tables of bit counts, hashed by node and context: the last common word, the last word, the
-  last two words; for bytes the last one, two and four bytes of the word,
+* three tables of bit counts, hashed by node and context, at every node and for every word: the last
+  one of the ``COMMON`` most frequent words (it tells languages and styles apart), the last word, the
+  last two words,
 * a match model: what followed the last occurrence of the last two words in the same document.
 
-Their logits are mixed with weights that belong to the document and to a gate (word or byte, how often
-the longest context was seen, state of the match) and that are refined after every ``STEP`` words by
-the gradient of the coding cost.  Each bit is predicted from what stands before it, so the sum of the
-logs is the log probability of the token sequence.
+Their logits are mixed with weights that belong to the document and to a gate (how often the longest
+context was seen, state of the match) and that are refined by the gradient of the coding cost after
+every ``STEP`` words of the document: the gradients of their bits, each taken at the weights before,
+are summed.  (A step a bit would be a loop in Python over all bits of the corpus.)  Each bit is predicted
+from what stands before it, so the sum of the logs is the log probability of the token sequence.
 
 Spark gathers from all training documents: the count of every token (a shuffled aggregation), the code
-from its most frequent entries, and the bit counts, summed piece by piece over tasks.  Model tables
-have a fixed size and are broadcast.  Counts of the other tokens, which have no bound, are never
+from its most frequent entries, and the bit counts, summed piece by piece over tasks; counts that no longer
+fit are halved with their partner, so that their ratio stays.  Model tables have a fixed size
+(``SLOT_BITS``, ``VOCABULARY``) and are broadcast; contexts beyond share slots.  Counts of the other tokens, which have no bound, are never
 broadcast: each document sends its tokens beyond the vocabulary to a join with the token counts.
 Tokens are known by 64-bit hashes.
 
@@ -43,10 +46,7 @@ from loomveil.llm.shared import stash
 
 VOCABULARY = 1 << 18
 SLOT_BITS = 21
-#: a context counts for nodes above a depth and for words of some rank: the last common word, the last
-#: word, the last two words; all others would only fill the tables with noise
-COMMON = (256, 2048, 256)
-DEPTH = (10, 8, 8)
+COMMON = 256
 STEP = 64
 RATE = 0.02
 BLOCK_BYTES = 400_000
@@ -54,8 +54,8 @@ WORDS = 20_000
 _PIECE = 1 << 16
 _TABLES = 3
 BACKOFF = (6.0, 4.0, 2.0)
-_WEIGHTS = np.array([1.0, 0.9, 0.8, 0.8, 0.5], dtype=np.float32)
-_GATES = 24
+_WEIGHTS = np.array([1.0, 0.9, 0.4, 0.3, 0.5], dtype=np.float32)
+_GATES = 12
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 END, ESCAPE = 0, 1
 
@@ -99,6 +99,7 @@ class Code:
         ones[parent[right] - n] = total[right]
         below = total[n:]
         self.logit = np.log((ones + 0.5) / (below - ones + 0.5)).astype(np.float32)
+        self.share = ((ones + 0.5) / (below + 1)).astype(np.float32)
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         """The symbol of each word hash, ESCAPE where the word is not in the code."""
@@ -129,12 +130,10 @@ class Tokens:
         last = np.where(self.at >= 1, np.roll(self.hash, 1), scope)
         before = np.where(self.at >= 2, np.roll(self.hash, 2), scope)
         rank = code.rank[self.symbol]
-        mark = np.where((rank < COMMON[0]) & ~is_end, np.arange(n), -1)
+        mark = np.where((rank < COMMON) & ~is_end, np.arange(n), -1)
         near = np.maximum.accumulate(np.append(-1, mark[:-1])) if n else mark
         frequent = np.where(near >= first, self.hash[np.maximum(near, 0)], scope)
         self.contexts = [textops.mix(frequent + np.uint64(1)), textops.mix(last + np.uint64(2)), textops.mix(textops.mix(last) ^ (before + np.uint64(3)))]
-        one, two = np.roll(rank, 1), np.roll(rank, 2)
-        self.use = [np.where(ok, d, 0) for ok, d in zip((near >= first, (self.at >= 1) & (one < COMMON[1]), (self.at >= 2) & (one < COMMON[2]) & (two < COMMON[2])), DEPTH)]
         key = textops.in_scope(self.contexts[2], self.doc)
         order = np.argsort(key, kind="stable")
         same = np.append(False, key[order][1:] == key[order][:-1]) if n else np.zeros(0, dtype=bool)
@@ -150,53 +149,27 @@ class Bits:
 
     def __init__(self, t: Tokens, code: Code, lo: int, hi: int):
         symbol = t.symbol[lo:hi]
-        size = np.diff(code.ptr)[symbol]
-        token = np.repeat(np.arange(lo, hi), size)
-        depth = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-        where = code.ptr[t.symbol[token]] + depth
-        node, bit = code.nodes[where], code.bits[where]
-        spread = node.astype(np.uint64) * _ODD[3]
-        slots = [np.where(depth < t.use[k][token], self._slot(c[token], spread, k), -1) for k, c in enumerate(t.contexts)]
-        guess = t.match[token]
-        other = t.symbol[np.maximum(guess, 0)]
-        there = code.ptr[other] + depth
-        agree = (guess >= 0) & (there < code.ptr[other + 1])
-        there = np.where(agree, there, 0)
-        agree &= code.nodes[there] == node
-        match = np.where(agree, np.where(code.bits[there] == 1, 1, -1), 0)
-        state = np.where(agree, 1 + t.long[token], 0)
-        base = code.logit[node]
-        # words outside the code, byte by byte
-        odd = np.flatnonzero(symbol == ESCAPE) + lo
-        index = np.searchsorted(t.word, odd)
-        starts, length = t.w.starts[index], t.w.ends[index] - t.w.starts[index]
-        owner = np.repeat(odd, length)
-        j = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
-        pos = np.repeat(starts, length) + j
-        value = t.w.data[pos].astype(np.int64)
-        back = [np.where(j >= d, t.w.data[np.maximum(pos - d, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0)) << np.uint64(9 * (d - 1)) for d in (1, 2, 3, 4)]
-        ctx = [back[0], back[0] + back[1], sum(back[1:], back[0])]
-        m = len(owner)
-        byte_bit, byte_node = np.empty((m, 9), dtype=np.uint8), np.empty((m, 9), dtype=np.uint64)
-        for b in range(8):
-            byte_bit[:, b] = (value >> (7 - b)) & 1
-            byte_node[:, b] = (value >> (8 - b)) + (1 << b)
-        byte_bit[:, 8] = j + 1 < np.repeat(length, length)
-        byte_node[:, 8] = 256 + value
-        flat = byte_node.ravel() * _ODD[3]
-        byte_slots = [self._slot(np.repeat(textops.mix(c + np.uint64((k + 11) << 50)), 9), flat, k) for k, c in enumerate(ctx)]
-        none = np.zeros(9 * m)
-        self.token = np.concatenate([token, np.repeat(owner, 9)])
-        self.bit = np.concatenate([bit, byte_bit.ravel()])
-        self.slots = [np.concatenate(s) for s in zip(slots, byte_slots)]
-        self.base = np.concatenate([base, none]).astype(np.float32)
-        self.match = np.concatenate([match, none]).astype(np.float32)
-        self.state = np.concatenate([state, none]).astype(np.int64)
-        self.kind = np.concatenate([np.zeros(len(token), np.int64), np.full(9 * m, 12, np.int64)])
-
-    @staticmethod
-    def _slot(context: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
-        return (((context ^ node) * _ODD[k]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.size = np.diff(code.ptr)[symbol]
+        before = np.cumsum(self.size) - self.size
+        self.where = np.arange(int(self.size.sum())) + np.repeat(code.ptr[symbol] - before, self.size)
+        self.node, self.bit = code.nodes[self.where], code.bits[self.where]
+        spread = self.node.astype(np.uint64) * _ODD[3]
+        self.slots = [(((np.repeat(c[lo:hi], self.size) ^ spread) * odd) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for c, odd in zip(t.contexts, _ODD)]
+
+    def guess(self, t: Tokens, code: Code, lo: int, hi: int) -> None:
+        """The match model: its vote on each bit (1, -1 or 0), and its state."""
+        match = np.repeat(t.match[lo:hi], self.size)
+        self.match, self.state = np.zeros(len(match), dtype=np.float32), np.zeros(len(match), dtype=np.int64)
+        some = np.flatnonzero(match >= 0)
+        token = np.repeat(np.arange(lo, hi), self.size)[some]
+        other = t.symbol[match[some]]
+        there = self.where[some] - code.ptr[t.symbol[token]] + code.ptr[other]
+        inside = there < code.ptr[other + 1]
+        some, token, there = some[inside], token[inside], there[inside]
+        agree = code.nodes[there] == self.node[some]
+        some = some[agree]
+        self.match[some] = np.where(code.bits[there[agree]] == 1, 1, -1)
+        self.state[some] = 1 + t.long[token[agree]]
 
 
 def _ranges(t: Tokens) -> Iterator[tuple[int, int]]:
@@ -220,21 +193,32 @@ def token_counts(training: DataFrame) -> DataFrame:
     return training.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def count_block(t: Tokens, code: Code, total: np.ndarray) -> None:
+    """Adds the bits of a block to counts of zeros and ones for each table and slot, (tables, 2 x slots)."""
+    for lo, hi in _ranges(t):
+        b = Bits(t, code, lo, hi)
+        for k, slot in enumerate(b.slots):
+            np.add.at(total[k], 2 * slot + b.bit, np.uint32(1))
+
+
+def fitting(x: np.ndarray) -> np.ndarray:
+    """Counts of zeros and ones in turn as 32-bit numbers; pairs too large are halved until they fit."""
+    pair = x.reshape(-1, 2).copy()
+    while (large := (pair > 0xFFFFFFFF).any(axis=1)).any():
+        pair[large] >>= 1
+    return pair.ravel().astype(np.uint32)
+
+
 def bit_counts(training: DataFrame, code) -> np.ndarray:
     """Counts of zeros and ones (last axis) for each table and slot, summed over all training texts."""
     size = _TABLES * 2 << SLOT_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((_TABLES, 2 << SLOT_BITS), dtype=np.int64)
+        total = np.zeros((_TABLES, 2 << SLOT_BITS), dtype=np.uint32)
         for batch in batches:
             for _, _, w in _columns(batch.column(0)):
-                t = Tokens(w, code.value)
-                for lo, hi in _ranges(t):
-                    b = Bits(t, code.value, lo, hi)
-                    for k, slot in enumerate(b.slots):
-                        used = slot >= 0
-                        np.add.at(total[k], 2 * slot[used] + b.bit[used], 1)
-        flat = np.minimum(total, (1 << 32) - 1).astype(np.uint32).reshape(-1, _PIECE)
+                count_block(Tokens(w, code.value), code.value, total)
+        flat = total.reshape(-1, _PIECE)
         for i in range(0, len(flat), 16):
             some = [(j, flat[j].tobytes()) for j in range(i, min(i + 16, len(flat))) if flat[j].any()]
             yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in some], pa.int32()), pa.array([s[1] for s in some], pa.binary())], names=["piece", "data"])
@@ -244,9 +228,8 @@ def bit_counts(training: DataFrame, code) -> np.ndarray:
         for batch in batches:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held[i] = held.get(i, 0) + np.frombuffer(data, dtype=np.uint32).astype(np.int64)
-        # beyond 2**31 only the ratio matters
         for i, x in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.minimum(x, (1 << 31) - 1).astype(np.uint32).tobytes()], pa.binary())], names=["piece", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([fitting(x).tobytes()], pa.binary())], names=["piece", "data"])
 
     schema = "piece int, data binary"
     out = np.zeros(size, dtype=np.uint32)
@@ -255,55 +238,60 @@ def bit_counts(training: DataFrame, code) -> np.ndarray:
     return out.reshape(_TABLES, 1 << SLOT_BITS, 2)
 
 
-def predictions(b: Bits, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of a range of bits, (bits, predictors), and the confidence level of the longest context.
+def predictions(b: Bits, code: Code, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of a range of bits, (predictors, bits), and the confidence level of the longest context.
 
     A context's probability leans on that of the context before it with a weight of ``BACKOFF``
     counts, and its predictor is by how much its logit departs from that one's."""
-    last = b.base.copy()
-    p = 1 / (1 + np.exp(-last))
-    x = np.zeros((len(last), len(b.slots) + 2), dtype=np.float32)
-    x[:, 0], x[:, -1] = last, 2 * b.match
-    level = np.zeros(len(last), dtype=np.int64)
+    x = np.empty((len(b.slots) + 2, len(b.bit)), dtype=np.float32)
+    last, p = code.logit[b.node], code.share[b.node]
+    x[0], x[-1] = last, 2 * b.match
     for k, slot in enumerate(b.slots):
-        used = np.flatnonzero(slot >= 0)
-        both = counts[k].reshape(-1).view(np.uint64)[slot[used]]  # two counts in one look-up
+        both = counts[k].reshape(-1).view(np.uint64)[slot]  # two counts in one look-up
         ones = (both >> np.uint64(32)).astype(np.float32)
         total = (both & np.uint64(0xFFFFFFFF)).astype(np.float32) + ones
-        there = np.clip((ones + BACKOFF[k] * p[used]) / (total + BACKOFF[k]), 1e-6, 1 - 1e-6)
-        now = np.log(there / (1 - there))
-        x[used, k + 1] = now - last[used]
-        p[used], last[used] = there, now
-    level[used] = np.searchsorted([1, 4, 16], total, side="right")
-    return x, level
+        p = np.clip((ones + np.float32(BACKOFF[k]) * p) / (total + np.float32(BACKOFF[k])), np.float32(1e-6), np.float32(1 - 1e-6))
+        now = np.log(p / (1 - p))
+        np.subtract(now, last, out=x[k + 1])
+        last = now
+    return x, (total >= 1).astype(np.int64) + (total >= 4) + (total >= 16)
 
 
 def score_block(t: Tokens, code: Code, counts: np.ndarray) -> np.ndarray:
     """log2 probability of each document of a block."""
     n_docs = len(t.ptr) - 1
-    weights = np.tile(_WEIGHTS, (n_docs * _GATES, 1))
+    weights = np.repeat(_WEIGHTS[:, None], n_docs * _GATES, axis=1)
     score = np.zeros(n_docs)
     for lo, hi in _ranges(t):
         b = Bits(t, code, lo, hi)
-        x, level = predictions(b, counts)
-        doc = t.doc[b.token]
-        row = doc * _GATES + b.kind + 4 * b.state + level
-        step = t.at[b.token] // STEP
-        # short keys are sorted by radix
-        order = np.argsort(step.astype(np.uint16) if len(step) and step.max() < 1 << 16 else step, kind="stable")
-        x, row, doc, sign = x[order], row[order], doc[order], np.where(b.bit[order] == 1, np.float32(1), np.float32(-1))
-        cuts = np.flatnonzero(np.diff(step[order])) + 1
-        for lo_bit, hi_bit in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
-            some = slice(lo_bit, hi_bit)
-            xs, rows = x[some], row[some]
-            z = np.clip(np.einsum("ij,ij->i", xs, weights[rows]), -12, 12)
-            right = 1 / (1 + np.exp(-sign[some] * z))
-            score += np.bincount(doc[some], np.log(right), n_docs)
-            error = sign[some] * (1 - right)
+        b.guess(t, code, lo, hi)
+        x, level = predictions(b, code, counts)
+        doc = np.repeat(t.doc[lo:hi], b.size)
+        row = doc * _GATES + 4 * b.state + level
+        sign = np.where(b.bit == 1, np.float32(1), np.float32(-1))
+        # tokens in order of their step; the bits of a token stay together
+        step = t.at[lo:hi] // STEP
+        turn = np.argsort(step, kind="stable")
+        size = b.size[turn]
+        first = (np.cumsum(b.size) - b.size)[turn]
+        ends = np.cumsum(size)
+        order = np.arange(len(doc)) + np.repeat(first - (ends - size), size)
+        x, row, doc, sign = x[:, order], row[order], doc[order], sign[order]
+        cuts = ends[np.flatnonzero(np.diff(step[turn]))]
+        for from_, to in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
+            xs, rows, signs = x[:, from_:to], row[from_:to], sign[from_:to]
+            base = int(rows.min()) if len(rows) else 0
+            rows = rows - base
+            z = np.zeros(to - from_, dtype=np.float32)
+            for own, of in zip(xs, weights):
+                z += own * of[base:][rows]
+            right = 1 / (1 + np.exp(-signs * np.clip(z, -12, 12)))
+            score += np.bincount(doc[from_:to], np.log(right), n_docs)
+            error = signs * (1 - right)
             seen = np.bincount(rows)
             rate = RATE / np.sqrt(np.maximum(seen, 1))
-            for k in range(x.shape[1]):
-                weights[: len(seen), k] += rate * np.bincount(rows, xs[:, k] * error)
+            for own, of in zip(xs, weights):
+                of[base : base + len(seen)] += rate * np.bincount(rows, own * error)
     return score / math.log(2)
 
 
@@ -327,6 +315,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     code = spark.sparkContext.broadcast(Code(keys, sizes, ends, (known.n or 0) - int(sizes.sum())))
     tables = spark.sparkContext.broadcast(bit_counts(training, code))
     denominator = n_train + distinct + 1
+    outside = (known.n or 0) - int(sizes.sum()) + known.v - len(keys) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, counted = code.value, tables.value
@@ -355,11 +344,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scored = stash(own.mapInArrow(run, f"id {id_type}, held_out boolean, mark bigint, n_tokens bigint, kept bigint, base double, bits double, bytes bigint, rare array<bigint>, times array<int>"), "scored")
     # tokens beyond the vocabulary meet their counts; rows of one id and one text send the same ones
     sent = scored.select("id", "mark", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("id", "mark", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    found = sent.join(counts, "word", "left").groupBy("id", "mark").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(denominator)))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
+    found = sent.join(counts, "word", "left").groupBy("id", "mark").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(denominator)))).alias("more"), F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(outside)))).alias("inner"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
     copies = scored.groupBy(F.col("id").alias("cid"), F.col("mark").alias("cmark")).agg(F.count(F.lit(1)).alias("copies"))
-    rest = found.join(copies, F.col("id").eqNullSafe(F.col("cid")) & (F.col("mark") == F.col("cmark"))).select(F.col("id").alias("rid"), F.col("mark").alias("rmark"), (F.col("more") / F.col("copies")).alias("more"), (F.col("also") / F.col("copies")).cast("bigint").alias("also"))
+    rest = found.join(copies, F.col("id").eqNullSafe(F.col("cid")) & (F.col("mark") == F.col("cmark"))).select(F.col("id").alias("rid"), F.col("mark").alias("rmark"), (F.col("more") / F.col("copies")).alias("more"), (F.col("inner") / F.col("copies")).alias("inner"), (F.col("also") / F.col("copies")).cast("bigint").alias("also"))
     out = scored.drop("rare", "times").join(rest, F.col("id").eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rmark")), "left")
+    score = F.col("bits") * math.log10(2) + F.coalesce("inner", F.lit(0.0))
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("kept") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n_train).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("bits") * math.log10(2)).alias("score"), (-F.col("bits") / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score.alias("score"), (-score / math.log10(2) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )
