@@ -93,6 +93,22 @@ class IdFilter:
         return out
 
 
+def narrow(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is in ids (one column), and a few others; docs are not shuffled unless
+    ids are too many for a filter.  Rows with a null id are left out."""
+    if ids.count() > FILTER_IDS:
+        return docs.join(ids.toDF(id_col), id_col, "left_semi").select(docs.columns)
+    wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(ids))
+    at = docs.columns.index(id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(at).cast(pa.int64())
+            yield batch.filter(pa.array(wanted.value(own.fill_null(0).to_numpy(zero_copy_only=False)) & own.is_valid().to_numpy(zero_copy_only=False)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of (a, b) edges can reach.
 

@@ -9,7 +9,8 @@ position resets (the offsets at which positions start from 0 again).
 
 There is no shuffle, and a lost task packs the same shards again.
 
-Defined cases: null and empty texts have no ids and stand in no row; pieces of equal length are packed
+Defined cases: null and empty texts have no ids and stand in no row; runs of white space may be of any
+length; pieces of equal length are packed
 in the order in which they came; equal rows are packed once each; null ids are kept as such; an empty
 table gives no rows; other columns are not looked at.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,15 +37,39 @@ PAD = 50256
 ROWS = "row_id string, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<bigint>, doc_offsets array<bigint>"
 
 
-@lru_cache(maxsize=2)
-def byte_encoder(path: str | None = None):
+#: white space of the pattern; runs of so many are set apart, as its look-ahead overflows the stack on them
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}")
+
+
+class ByteEncoder:
     """The byte-level BPE of a public vocabulary file."""
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self._texts = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._piece = tiktoken.Encoding("piece", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(self, text: str) -> list[int]:
+        """All ids of a text.  A long run of white space is one piece of the pattern, but for its last
+        character where more follows."""
+        out, at = [], 0
+        for run in _BLANKS.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += self._texts(text[at : run.start()])
+            out += self._piece(text[run.start() : end])
+            at = end
+        return out + self._texts(text[at:]) if at else self._texts(text)
+
+
+@lru_cache(maxsize=2)
+def byte_encoder(path: str | None = None) -> ByteEncoder:
     import public_tokenizers
-    import tiktoken
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return ByteEncoder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 class RoomTree:
@@ -130,7 +156,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = np.array(encoder.encode_ordinary(text), dtype=np.uint16) if text else np.zeros(0, np.uint16)
+                    ids = np.array(encoder.encode(text), dtype=np.uint16) if text else np.zeros(0, np.uint16)
                     for a, b in split(len(ids), row):
                         pieces.append((doc, a, ids[a:b]))
                     held += len(ids)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomveil.llm import chat, decontam, lm_score, ngram_join, packing, quality, sentences, substring_dedup, token_counts, warc
+from loomveil.llm.linking import narrow
 from loomveil.llm.shared import new_path, stash
 
 
@@ -39,13 +40,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stash(token_counts.count_tokens(docs), "counted")
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     low = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
-    collapsed = docs.join(low, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"\s+", " "))
+    collapsed = narrow(docs, low, "doc_id").withColumn("text", F.regexp_replace("text", r"\s+", " "))
     rollup = token_counts.Rollup(spark, new_path(spark, "token-counts"))
     rollup.commit("0-insert", token_counts.signed(counted, 1))
     deletes = token_counts.signed(counted.join(toxic, "doc_id", "left_semi"), -1)
     for _ in range(2):
         rollup.commit("1-delete", deletes)
-    rollup.commit("2-revise", token_counts.revised(counted.join(low, "doc_id", "left_semi"), token_counts.count_tokens(collapsed)))
+    rollup.commit("2-revise", token_counts.revised(counted.join(low, "doc_id", "left_semi"), token_counts.count_tokens(collapsed).join(low, "doc_id", "left_semi")))
     return rollup.totals()
 
 

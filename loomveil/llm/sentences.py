@@ -61,6 +61,7 @@ class ChunkTable:
         self.old: dict[str, bytes] = {}
         #: decoded chunks, where they are not the chunk with spaces for markers
         self.odd: dict[str, str] = {}
+        self.sizes: dict[str, int] = {}
 
     def _learn(self, chunks: list[str]) -> None:
         """Puts chunks into the table: from the older half, or by the library."""
@@ -79,7 +80,23 @@ class ChunkTable:
 
     def forget(self) -> None:
         """Empties the table: workers outlive their tasks."""
-        self.table, self.old, self.odd = {}, {}, {}
+        self.table, self.old, self.odd, self.sizes = {}, {}, {}, {}
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """The number of ids of each text."""
+        if not self.apart:
+            return [len(self.library.encode(t or "")) for t in texts]
+        out = []
+        for text in texts:
+            chunks = self.chunks(MARKER + text.replace(" ", MARKER)) if text else []
+            sizes = self.sizes
+            missing = list({c for c in chunks if c not in sizes})
+            if len(sizes) + len(missing) > TABLE_CHUNKS:
+                sizes, missing = {}, list(set(chunks))
+            sizes.update(zip(missing, map(len, self.plain.encode(missing, num_threads=1))))
+            self.sizes = sizes
+            out.append(sum(map(sizes.__getitem__, chunks)))
+        return out
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, bytes, str]]:
         """(number of ids, decimal ids joined by commas, decoded text) of each text."""
