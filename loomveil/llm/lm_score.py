@@ -231,8 +231,8 @@ def bit_counts(training: DataFrame, code) -> np.ndarray:
         for i, x in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([fitting(x).tobytes()], pa.binary())], names=["piece", "data"])
 
-    # a task sends its whole tables, so there are two tasks a core, not one for each piece of a file
-    training = training.coalesce(2 * training.sparkSession.sparkContext.defaultParallelism)
+    # a task sends its whole tables, so there is one task a core, not one for each piece of a file
+    training = training.coalesce(training.sparkSession.sparkContext.defaultParallelism)
     schema = "piece int, data binary"
     out = np.zeros(size, dtype=np.uint32)
     for r in training.mapInArrow(run, schema).repartition(size // _PIECE, "piece").mapInArrow(add, schema).toLocalIterator():
