@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomveil.functions.recognizers import PARTICLES, PATTERNS, Toggles
+from loomveil.functions.recognizers import CARRY_STOP_WORDS, HONORIFICS, LABEL_TAGS, NAME_STOP_WORDS, NAME_TOKENS, NEVER_MASKED, PARTICLES, PATTERNS, ROLES, TAGS, Toggles
 
 SPAN = "struct<start:int,end:int,tag:string,entity:string,score:double,layer:string,ord:int>"
 
@@ -50,37 +50,54 @@ def covered(text: Column, s: Column) -> Column:
 
 
 def _shape(value: Column) -> dict[str, Column]:
-    one = ~F.trim(value).contains(" ")
+    letters = value.rlike(r"\p{L}")
     return {
-        "one": one,
-        "caps": (F.upper(value) == value) & value.rlike(r"\p{L}"),
-        "lower": (F.lower(value) == value) & value.rlike(r"^\p{L}+$"),
-        "camel": value.rlike(r"\p{Ll}\p{Lu}"),
+        "one": ~value.contains(" "),
+        "caps": (F.upper(value) == value) & letters,
+        "lower": (F.lower(value) == value) & letters,
+        "word": value.rlike(r"^\p{L}+$"),
+        "camel": value.rlike("[a-z][A-Z]"),
         "digits": F.length(F.regexp_replace(value, "[^0-9]", "")),
         "size": F.length(value),
     }
 
 
 def plausible_name(value: Column) -> Column:
-    """Not all capitals up to 5, one token over 12, camel case, all lower, or mostly digits."""
+    """Not all capitals up to 5, one token over 12, one token in camel case, all lower, mostly digits."""
     s = _shape(F.trim(value))
-    return ~((s["caps"] & (s["size"] <= 5)) | (s["one"] & (s["size"] > 12)) | s["camel"] | (F.lower(value) == value) | (2 * s["digits"] > s["size"]))
+    return (s["size"] > 0) & ~((s["caps"] & (s["size"] <= 5)) | (s["one"] & ((s["size"] > 12) | s["camel"])) | s["lower"] | (2 * s["digits"] > s["size"]))
 
 
 def plausible_location(value: Column) -> Column:
+    """Several tokens, or one that is not over 15, in camel case, a lower-case word, up to 5 capitals
+    without a digit, or ends in a digit."""
     s = _shape(F.trim(value))
-    return ~((s["one"] & (s["size"] > 15)) | s["camel"] | s["lower"] | (s["caps"] & (s["size"] <= 5) & (s["digits"] == 0)) | (s["one"] & F.trim(value).rlike("[0-9]$") & F.trim(value).rlike(r"\p{L}")))
+    bad = (s["size"] > 15) | s["camel"] | (s["word"] & s["lower"]) | (s["caps"] & (s["size"] <= 5) & (s["digits"] == 0)) | F.trim(value).rlike("[0-9]$")
+    return (s["size"] > 0) & ~(s["one"] & bad)
 
 
 def plausible_pii(value: Column) -> Column:
+    """Several tokens, or one that is not in camel case, a lower-case word, or up to 4 capitals."""
     s = _shape(F.trim(value))
-    return ~(s["camel"] | s["lower"] | (s["caps"] & (s["size"] <= 4) & (s["digits"] == 0)))
+    bad = s["camel"] | (s["word"] & s["lower"]) | (s["caps"] & (s["size"] <= 4) & (s["digits"] == 0))
+    return (s["size"] > 0) & ~(s["one"] & bad)
 
 
 def canonical_name(value: Column) -> Column:
-    """Without quotes, possessive and a leading role word."""
-    bare = F.regexp_replace(F.trim(value), "^[\"'“”‘’]+|[\"'“”‘’]+$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "['’]s$", ""), "(?i)^(docent|teacher|professor|mentor|meneer|mevrouw)\\s+", ""))
+    """Without quotes, possessives and a leading role word."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(value), '^"+|"+$', ""), r"['’][sS]\b", "")
+    return F.trim(F.regexp_replace(bare, "^(?:" + "|".join(ROLES) + ")", ""))
+
+
+def name_shaped(value: Column) -> Column:
+    """Whether the canonical form is capitalised words, three characters at least, and no stop word."""
+    name = canonical_name(value)
+    return (F.length(name) >= 3) & ~F.lower(name).isin(NAME_STOP_WORDS) & name.rlike(NAME_TOKENS)
+
+
+def carried_name(name: Column) -> Column:
+    """Whether a canonical name is looked for in other texts."""
+    return (F.length(name) >= 3) & ~F.lower(name).isin(CARRY_STOP_WORDS) & name.rlike(NAME_TOKENS)
 
 
 def extend_particles(text: Column, spans: Column) -> Column:
@@ -90,24 +107,37 @@ def extend_particles(text: Column, spans: Column) -> Column:
 
 
 def extend_original(text: Column, spans: Column) -> Column:
-    """Takes quotes around a span and a possessive after it into the span."""
+    """Takes a possessive after a span, then quotes on either side, into the span."""
 
     def grow(s: Column) -> Column:
-        after, before = F.substring(text, s["end"] + 1, 2), F.when(s["start"] > 0, F.substring(text, s["start"], 1)).otherwise("")
-        own = after.isin("'s", "’s")
-        quoted = (before == '"') & F.substring(text, s["end"] + 1, 1).eqNullSafe('"')
-        return s.withField("end", s["end"] + F.when(own, 2).when(quoted, 1).otherwise(0)).withField("start", s["start"] - F.when(quoted & ~own, 1).otherwise(0))
+        own = F.when(F.substring(text, s["end"] + 1, 3).rlike(r"^['’][sS]\b"), 2).otherwise(0)
+        before = F.when((s["start"] > 0) & (F.substring(text, F.greatest(s["start"], F.lit(1)), 1) == '"'), 1).otherwise(0)
+        after = F.when(F.substring(text, s["end"] + own + 1, 1) == '"', 1).otherwise(0)
+        return s.withField("end", s["end"] + own + after).withField("start", s["start"] - before)
 
     return F.transform(spans, grow)
 
 
 def filter_spans(text: Column, spans: Column, toggles: Toggles = Toggles()) -> Column:
-    """Drops bare forms of address and implausible names; cuts a leading form of address."""
-    cut = F.transform(spans, lambda s: s.withField("start", s["start"] + F.when((s["tag"] == "NAME") & F.lower(covered(text, s)).rlike("^(meneer|mevrouw) "), F.when(F.lower(covered(text, s)).startswith("meneer "), 7).otherwise(8)).otherwise(0)))
-    title = lambda s: (s["tag"] == "TITLE") & (F.lower(covered(text, s)).isin("meneer", "mevrouw") | F.lit(not toggles.titles))
-    scored = lambda s: ~s["tag"].isin("NAME", "LOCATION") | (s["score"] >= toggles.min_score)
-    good = lambda s: (s["tag"] != "NAME") | plausible_name(covered(text, s))
-    return F.filter(cut, lambda s: s["tag"].isNotNull() & ~title(s) & scored(s) & good(s))
+    """Drops bare forms of address, low scores and implausible names; cuts a leading form of address."""
+
+    def kept(s: Column) -> Column:
+        value = covered(text, s)
+        word = F.lower(F.regexp_replace(F.trim(value), r"\.+$", ""))
+        gone = word.isin(NEVER_MASKED) | (F.lit(not toggles.titles) & word.isin(HONORIFICS))
+        scored = ~s["tag"].isin("NAME", "LOCATION") | (s["score"] >= toggles.min_score)
+        first = s["layer"] == "layer1"  # shapes of the first layer; outside detections have had their own
+        shape = F.when(s["tag"] == "NAME", name_shaped(value) & (~first | plausible_name(canonical_name(value)))).when((s["tag"] == "LOCATION") & first & (s["entity"] == "LOCATION"), plausible_location(value)).otherwise(True)
+        return s["tag"].isNotNull() & ~gone & scored & shape
+
+    def cut(s: Column) -> Column:
+        value = F.lower(covered(text, s))
+        length = F.lit(0)
+        for word in NEVER_MASKED:
+            length = F.when(value.startswith(word + " "), len(word) + 1).otherwise(length)
+        return s.withField("start", s["start"] + length)
+
+    return F.filter(F.transform(F.filter(spans, kept), cut), lambda s: s["start"] < s["end"])
 
 
 def merge_layers(*layers: Column) -> Column:
@@ -148,7 +178,15 @@ def blocklist(text: Column, words: list[str]) -> Column:
 
 
 def detection_tag(label: Column, value: Column) -> Column:
-    """Tag of an outside label: NAME, LOCATION, HEALTH, PII by substring; number-like HEALTH is PII."""
-    name = F.upper(F.regexp_replace(label, "^[BIESO]-", ""))
-    numeric = F.length(F.regexp_replace(value, "[^0-9]", "")) > 0.6 * F.length(value)
-    return F.when(name.rlike("NAME|PERSON"), "NAME").when(name.rlike("LOC|ADDRESS|CITY"), "LOCATION").when(name.rlike("HEALTH|MEDICAL|DISEASE") & ~numeric, "HEALTH").otherwise("PII")
+    """Tag of an outside label by the words in it; number-like HEALTH and all other labels are PII."""
+    name = F.upper(label)
+    digits, size = F.length(F.regexp_replace(value, "[^0-9]", "")), F.length(F.trim(value))
+    tag = F.lit("PII")
+    for to, words in reversed(LABEL_TAGS):
+        fits = name.rlike("|".join(words))
+        tag = F.when(fits & ~((digits > 0) & (digits > 0.6 * size)) if to == "HEALTH" else fits, to).otherwise(tag)
+    return tag
+
+
+def allowed(tag: Column, toggles: Toggles) -> Column:
+    return tag.isin([t for t in TAGS if toggles.allows(t)])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BATCH_DOCS = 60
 MAX_DOCS = 240
 # Words of a label that count for nothing.
-STOP_WORDS = ["en", "de", "het", "een", "van", "voor", "met", "op", "in", "and", "the", "of", "for", "with"]
+STOP_WORDS = ["and", "the", "for", "with", "from", "that", "this", "over", "into", "aan", "een", "het", "van", "voor", "met", "naar"]
+WORD = "[a-zA-ZÀ-ÿ0-9]+"
 
 
 def number_batches(docs: DataFrame, group: str, order: list, size: int = BATCH_DOCS, cap: int | None = MAX_DOCS) -> DataFrame:
@@ -43,24 +46,29 @@ def _starts(root: str):
 def subtheme_mentions(docs: DataFrame, text: str, labels: list[str]) -> DataFrame:
     """(subtheme, mentions, doc_percentage, percentage): a document mentions a label if it holds it, a
     word of it over three letters, or a word that starts like a long word of it."""
+    labels = [label.strip() for label in labels if label.strip()]
+    schema = "subtheme string, mentions bigint, doc_percentage bigint, percentage bigint"
+    if not labels:
+        return docs.sparkSession.createDataFrame([], schema)
     lower = F.lower(F.col(text))
-    words = F.filter(F.split(lower, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_distinct(F.filter(F.split(lower, "[^a-zA-ZÀ-ÿ0-9]+"), lambda w: F.length(w) > 3))
     base = docs.select(lower.alias("t"), words.alias("w"))
     counts = []
-    for label in labels:
+    for i, label in enumerate(labels):
         low = label.lower()
-        tokens = [w for w in dict.fromkeys(low.replace("/", " ").replace("&", " ").split()) if len(w) > 3 and w not in STOP_WORDS]
+        tokens = [w for w in dict.fromkeys(re.findall(WORD, low)) if len(w) > 3 and w not in STOP_WORDS]
         hit = F.col("t").contains(low)
         if tokens:
             hit = hit | F.arrays_overlap("w", F.array(*map(F.lit, tokens)))
-        for root in [w[:6] for w in tokens if len(w) > 6]:
-            hit = hit | (F.size(F.filter("w", _starts(root))) > 0)
-        counts.append(F.count_if(hit).alias(label))
-    rows = base.agg(F.count(F.lit(1)).alias("__n"), *counts)
-    long = rows.unpivot(["__n"], labels, "subtheme", "mentions")
-    total = F.sum("mentions").over(Window.partitionBy("__n"))
+        for root in dict.fromkeys(w[:6] for w in tokens if len(w) > 6):
+            hit = hit | F.exists("w", _starts(root))
+        counts.append(F.count_if(hit).alias(f"c{i}"))
+    rows = base.agg(F.count(F.lit(1)).alias("n"), *counts)  # one row; labels may hold any character, so they are no columns
+    pairs = F.array(*(F.struct(F.lit(label).alias("subtheme"), F.col(f"c{i}").alias("mentions")) for i, label in enumerate(labels)))
+    total = sum((F.col(f"c{i}") for i in range(len(labels))), F.lit(0))
     share = lambda a, b: F.when(b > 0, F.bround(a / b * 100)).otherwise(0).cast("bigint")
-    return long.select("subtheme", "mentions", share(F.col("mentions"), F.col("__n")).alias("doc_percentage"), share(F.col("mentions"), total).alias("percentage"))
+    long = rows.where("n > 0").select("n", total.alias("total"), F.explode(pairs).alias("p"))
+    return long.select("p.subtheme", "p.mentions", share(F.col("p.mentions"), F.col("n")).alias("doc_percentage"), share(F.col("p.mentions"), F.col("total")).alias("percentage"))
 
 
 def cache_key(theme: Column, filters: Column) -> Column:

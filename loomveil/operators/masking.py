@@ -12,21 +12,64 @@ TAG_PATTERN = r"\[(NAME|PII|LOCATION|TITLE|HEALTH)\]"
 BATCH_ROWS = 512
 
 
+def found_spans(text: Column, toggles: Toggles = Toggles(), entities: list[str] | None = None, detections: Column | None = None) -> Column:
+    """Spans of all layers that pass the filters."""
+    layers = [S.detect(text, toggles, entities)] + ([] if detections is None else [F.coalesce(detections, S.no_spans())])
+    return S.filter_spans(text, S.extend_particles(text, S.merge_layers(*layers)), toggles)
+
+
 def text_spans(text: Column, toggles: Toggles = Toggles(), entities: list[str] | None = None, detections: Column | None = None) -> Column:
-    layers = [S.detect(text, toggles, entities)] + ([] if detections is None else [detections])
-    merged = S.extend_particles(text, S.merge_layers(*layers))
-    return S.extend_original(text, S.filter_spans(text, merged, toggles))
+    return S.extend_original(text, found_spans(text, toggles, entities, detections))
+
+
+def _masked(text: Column, spans: Column, words: list[str] | None) -> Column:
+    masked = S.apply_spans(text, S.resolve(spans))
+    masked = S.blocklist(masked, words) if words else masked
+    return F.when(text.isNull() | (F.trim(text) == ""), text).otherwise(masked)
 
 
 def mask_columns(df: DataFrame, columns: list[str], toggles: Toggles = Toggles(), entities: list[str] | None = None, words: list[str] | None = None) -> DataFrame:
     """Masks columns in one projection; null and blank cells stay."""
-    out = {}
+    return df.withColumns({c: _masked(F.col(c), text_spans(F.col(c), toggles, entities), words) for c in columns})
+
+
+def mask_batches(df: DataFrame, key: str, columns: list[str], toggles: Toggles = Toggles(), entities: list[str] | None = None, words: list[str] | None = None, detections: dict[str, DataFrame] | None = None, size: int = BATCH_ROWS) -> DataFrame:
+    """Masks columns with all layers: recognizers, outside detections (for each column a table of key and
+    spans, as ``detections_to_spans`` gives), and names that other rows of the same batch hold.  Batches
+    are ``size`` rows of a dense numeric key; names of a batch meet its rows in a join by batch number."""
+    out = df
     for c in columns:
-        text = F.col(c)
-        masked = S.apply_spans(text, S.resolve(text_spans(text, toggles, entities)))
-        masked = S.blocklist(masked, words) if words else masked
-        out[c] = F.when(text.isNull() | (F.trim(text) == ""), text).otherwise(masked)
-    return df.withColumns(out)
+        layer = (detections or {}).get(c)
+        rows = out.withColumn("__batch", F.floor(F.col(key) / size))
+        rows = rows.withColumn("__seen", S.no_spans()) if layer is None else rows.join(layer.select(key, F.col("spans").alias("__seen")), key, "left")
+        rows = rows.withColumn("__spans", found_spans(F.col(c), toggles, entities, F.col("__seen")))
+        names = rows.select("__batch", F.explode(_names(F.col(c), F.col("__spans"))).alias("name"))
+        known = names.where(S.carried_name(F.col("name"))).groupBy("__batch").agg(F.collect_set("name").alias("__names"))
+        joined = rows.join(known, "__batch", "left")
+        spans = S.merge_layers(F.col("__spans"), F.coalesce(_carried(F.col(c), F.col("__names"), F.col("__spans")), S.no_spans()))
+        out = joined.withColumn(c, _masked(F.col(c), S.extend_original(F.col(c), spans), words)).select(df.columns)
+    return out
+
+
+def _names(text: Column, spans: Column) -> Column:
+    """Canonical forms of the NAME spans of a text."""
+    return F.transform(F.filter(spans, lambda s: s["tag"] == "NAME"), lambda s: S.canonical_name(S.covered(text, s)))
+
+
+def _literal(value: Column) -> Column:
+    """A pattern that matches the value itself."""
+    return F.regexp_replace(value, r"([^\p{L}\p{N}\s])", r"\\$1")
+
+
+def _carried(text: Column, names: Column, spans: Column) -> Column:
+    """Spans of whole words of names, in any case, longest first, that no span covers at either end."""
+    longest = F.transform(F.array_sort(F.transform(names, lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n")))), lambda x: _literal(x["n"]))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\w)(?:"), F.array_join(longest, "|"), F.lit(r")(?!\w)"))
+    parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    at = lambda i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+    found = F.transform(hits, lambda m, i: S.span(at(i), at(i) + F.length(m), "NAME", "CARRY_FORWARD", 1.0, "carry"))
+    free = lambda s: ~F.exists(spans, lambda o: ((o["start"] <= s["start"]) & (s["start"] < o["end"])) | ((o["start"] < s["end"]) & (s["end"] <= o["end"])))
+    return F.when(F.size(names) > 0, F.filter(found, free))
 
 
 def detections_to_spans(detections: DataFrame, texts: DataFrame, key: str, text: str, toggles: Toggles = Toggles()) -> DataFrame:
@@ -35,7 +78,7 @@ def detections_to_spans(detections: DataFrame, texts: DataFrame, key: str, text:
     value = F.substring("__t", F.col("start") + 1, F.col("end") - F.col("start"))
     tag = S.detection_tag(F.col("label"), value)
     shaped = F.when(tag == "LOCATION", S.plausible_location(value)).when(tag == "PII", S.plausible_pii(value)).otherwise(True)
-    good = rows.where((F.col("score") >= toggles.min_detection_score) & (F.length(F.trim(value)) >= 2) & shaped)
+    good = rows.where((F.col("score") >= toggles.min_detection_score) & (F.trim(value) != "") & (F.length(value) >= 2) & shaped & S.allowed(tag, toggles))
     return good.groupBy(key).agg(F.array_sort(F.collect_list(S.span(F.col("start"), F.col("end"), tag, F.col("label"), F.col("score"), "layer2"))).alias("spans"))
 
 
@@ -52,12 +95,10 @@ def carry_forward(rows: DataFrame, key: str, text: str, names: DataFrame) -> Dat
 
     rows has batch_no; names is (batch_no, name).  Both are bounded by the batch size, so the join of
     a batch's texts with its names stays inside a batch."""
-    known = names.where(F.length("name") >= 3).groupBy("batch_no").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    joined = rows.join(known, "batch_no")
-    quoted = F.concat(F.lit("(?iu)(?<!\\w)("), F.array_join(F.transform("names", lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|"), F.lit(")(?!\\w)"))
-    with_hits = joined.withColumn("__re", quoted).select(key, F.expr(f"split(`{text}`, __re, -1)").alias("p"), F.expr(f"regexp_extract_all(`{text}`, __re, 0)").alias("m")).where(F.size("m") > 0)
-    at = lambda i: F.aggregate(F.slice("p", 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("m", 1, i), F.lit(0), lambda a, x: a + F.length(x))
-    return with_hits.select(key, F.transform("m", lambda m, i: S.span(at(i), at(i) + F.length(m), "NAME", "CARRY_FORWARD", 1.0, "carry")).alias("spans"))
+    named = names.select("batch_no", S.canonical_name(F.col("name")).alias("name")).where("length(name) >= 3")
+    known = named.groupBy("batch_no").agg(F.collect_set("name").alias("__names"))
+    found = rows.join(known, "batch_no").select(key, _carried(F.col(text), F.col("__names"), S.no_spans()).alias("spans"))
+    return found.where(F.size("spans") > 0)
 
 
 def tag_counts(masked: DataFrame, columns: list[str]) -> DataFrame:
@@ -82,7 +123,7 @@ def verify(original: DataFrame, masked: DataFrame, key: str, text: str, entities
     left = original.select(key, F.col(text).alias("before"))
     both = left.join(masked.select(key, F.col(text).alias("after")), key)
     values = both.select("after", F.explode(text_spans(F.col("before"), entities=entities)).alias("s"), "before").withColumn("value", S.covered(F.col("before"), F.col("s"))).where("length(value) >= 3")
-    stands = F.expr(r"regexp_like(after, concat('(?iu)(?<!\\w)\\Q', value, '\\E(?!\\w)'))")
+    stands = F.regexp_like("after", F.concat(F.lit(r"(?iu)(?<!\w)"), _literal(F.col("value")), F.lit(r"(?!\w)")))
     return values.groupBy(F.col("s.tag").alias("tag")).agg(F.count_if(stands).alias("missed"), F.count_if(~stands).alias("removed"))
 
 

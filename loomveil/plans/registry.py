@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomveil.functions import spans as S
+from loomveil.functions.recognizers import PHONE
 from loomveil.operators import answers as A
 from loomveil.operators import insights as I
 from loomveil.operators import masking as M
@@ -24,7 +25,7 @@ ORACLE: dict[str, str] = {}
 N_THEMES = 7
 ENTITIES = ["EMAIL_ADDRESS", "PHONE_NUMBER"]
 LABELS = ["tion and the", "Licensed under Apache", "heedes whrere", "reserved rights"]
-EMAIL, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 _MASKED = f"regexp_replace(regexp_replace(text, '{EMAIL}', '[PII]', 'g'), '{PHONE}', '[PII]', 'g')"
 _DIST = "1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
@@ -62,6 +63,16 @@ def mask_documents_all_recognizers(spark, sf_dir):
     return M.mask_columns(_t(spark, sf_dir, "documents").select("doc_id", "text"), ["text"])
 
 
+@query()
+def mask_documents_in_batches(spark, sf_dir):
+    """All layers: recognizers, outside detections (the labels of toxic documents stand for a model's
+    HEALTH detections of their first word), and names carried forward in batches."""
+    docs, labels = _t(spark, sf_dir, "documents").select("doc_id", "text"), _t(spark, sf_dir, "labels")
+    word = F.regexp_extract("text", r"^\S+", 0)
+    seen = docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.lit(0).alias("start"), F.length(word).alias("end"), F.lit("CONDITION").alias("label"), F.lit(0.9).alias("score"))
+    return M.mask_batches(docs, "doc_id", ["text"], detections={"text": M.detections_to_spans(seen, docs, "doc_id", "text")})
+
+
 @query(f"""WITH m AS (SELECT unnest(regexp_extract_all({_MASKED}, '\\[(NAME|PII|LOCATION|TITLE|HEALTH)\\]', 1)) AS tag FROM documents)
 SELECT t.tag, count(m.tag) AS n FROM (VALUES ('NAME'), ('PII'), ('LOCATION'), ('TITLE'), ('HEALTH')) t(tag) LEFT JOIN m ON m.tag = t.tag GROUP BY t.tag""")
 def tag_counts(spark, sf_dir):
@@ -211,7 +222,7 @@ def parse_replies(spark, sf_dir):
     return events.select("event_id", I.parse_reply(F.col("reply"), "k int")["k"].alias("k"), "event_type").where("k is not null")
 
 
-@query("""WITH d AS (SELECT lower(text) AS t, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM documents),
+@query("""WITH d AS (SELECT lower(text) AS t, regexp_split_to_array(lower(text), '[^a-zA-ZÀ-ÿ0-9]+') AS w FROM documents),
 m AS (SELECT count(*) AS n, count(*) FILTER (contains(t, 'tion and the') OR list_has_any(w, ['tion'])) AS a,
  count(*) FILTER (contains(t, 'licensed under apache') OR list_has_any(w, ['licensed', 'under', 'apache']) OR len(list_filter(w, lambda x: x LIKE 'licens%')) > 0) AS b,
  count(*) FILTER (contains(t, 'heedes whrere') OR list_has_any(w, ['heedes', 'whrere'])) AS c,

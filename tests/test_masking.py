@@ -91,3 +91,48 @@ def test_incremental_runs_once(spark, tmp_path):
     assert run_available(spark, src, "k int, t string", out, mark, lambda d: d) == 1
     assert run_available(spark, src, "k int, t string", out, mark, lambda d: d) == 0
     assert spark.read.parquet(out).count() == 1
+
+
+def masked(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string")
+    return [r.t for r in M.mask_batches(df, "i", ["t"], **more).orderBy("i").collect()]
+
+
+def test_words_before_feedback_are_no_names(spark):
+    texts = ["The feedback was good", "Timely feedback helps", "Our module is fine", "Anna feedback was late"]
+    assert masked(spark, texts) == [*texts[:3], "[NAME] feedback was late"]
+
+
+def test_names_are_carried_forward_in_their_batch_only(spark):
+    texts = ["docent Jansen praat", "ik zag jansen's les", "Jansenius niet", "niets", "jansen"]
+    assert masked(spark, texts, size=4) == ["docent [NAME] praat", "ik zag [NAME] les", "Jansenius niet", "niets", "jansen"]
+
+
+def test_detections_are_masked_with_the_other_layers(spark):
+    texts = ["Ik heb astma en mail a@b.nl", "in HaagCity en 12345", "Piet woont in Den Haag"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string")
+    found = [(0, 7, 12, "B-CONDITION", 0.99), (1, 3, 11, "CITY", 0.99), (1, 15, 20, "LOCATION", 0.99), (2, 0, 4, "FIRSTNAME", 0.5), (2, 14, 22, "STREET", 0.9)]
+    spans = M.detections_to_spans(spark.createDataFrame(found, "i bigint, start int, end int, label string, score double"), df, "i", "t")
+    assert masked(spark, texts, detections={"t": spans}) == ["Ik heb [HEALTH] en mail [PII]", "in HaagCity en [PII]", "Piet woont in [LOCATION]"]
+
+
+def test_shapes_and_tags(spark):
+    rows = [("12345", False, True), ("A B C", True, True), ("in HaagCity", True, True), ("HaagCity", False, False), ("peer", False, False), ("HBO", False, False), ("Utrecht", True, True), ("", False, False)]
+    got = spark.createDataFrame([(r[0],) for r in rows], "v string").select("v", S.plausible_location(F.col("v")).alias("l"), S.plausible_pii(F.col("v")).alias("p")).collect()
+    assert {r.v: (r.l, r.p) for r in got} == {v: (a, b) for v, a, b in rows}
+    tags = [("STREET", "x", "LOCATION"), ("COUNTRY", "x", "LOCATION"), ("DIAGNOSIS", "flu", "HEALTH"), ("MEDICATION", "287066633", "PII"), ("BLOCK", "x", "PII"), ("B-PERSON", "x", "NAME")]
+    got = spark.createDataFrame([t[:2] for t in tags], "l string, v string").select("l", S.detection_tag(F.col("l"), F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == [t[2] for t in tags]
+
+
+def test_phones_of_several_forms(spark):
+    for phone in ("+1 (212) 555-0100", "+44 20 7946 0958", "(0201) 555 0100", "+31 20 123 4567"):
+        assert one(spark, f"call {phone}, please", lambda t: S.apply_spans(t, S.resolve(S.detect(t, entities=["PHONE_NUMBER"])))) == "call [PII], please"
+
+
+def test_subtheme_mentions_follow_the_rules(spark):
+    def count(texts, labels):
+        return [(r.subtheme, r.mentions) for r in I.subtheme_mentions(spark.createDataFrame([(t,) for t in texts], "t string"), "t", labels).collect()]
+
+    assert count(["gaat naar huis", "mijn toets", "a.b c"], ["Kijken naar elkaar", "Toets, rooster", "a.b", " "]) == [("Kijken naar elkaar", 0), ("Toets, rooster", 1), ("a.b", 1)]
+    assert count([], ["x"]) == [] and count(["x"], []) == []
