@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomveil.functions import spans as S
 from loomveil.functions.recognizers import PHONE
 from loomveil.operators import answers as A
+from loomveil.operators import dashboard as D
 from loomveil.operators import insights as I
 from loomveil.operators import masking as M
 from loomveil.operators import vectors as V
@@ -315,3 +316,73 @@ s AS (SELECT doc_id, len(x) / 3.0 AS score FROM w) SELECT doc_id, round(score, 4
 def rerank_overlap(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("rank"), V.token_overlap("licensed under version", F.col("text")).alias("score"))
     return docs.orderBy(F.desc("score"), "rank").limit(10).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query("""WITH d AS (SELECT lower(text) AS t FROM documents WHERE text <> ''),
+m AS (SELECT count(*) AS n, count(*) FILTER (contains(t, 'tion')) AS a, count(*) FILTER (contains(t, 'licens') OR contains(t, 'under') OR contains(t, 'apache')) AS b,
+ count(*) FILTER (contains(t, 'heedes') OR contains(t, 'whrere')) AS c, count(*) FILTER (contains(t, 'reserv') OR contains(t, 'rights')) AS d FROM d),
+l AS (SELECT n, unnest(['tion and the', 'Licensed under Apache', 'heedes whrere', 'reserved rights']) AS subtheme, unnest([a, b, c, d]) AS mentions FROM m)
+SELECT subtheme, mentions, CAST(floor(100.0 * mentions / n + 0.5) AS BIGINT) AS doc_percentage, CAST(floor(100.0 * mentions / sum(mentions) OVER () + 0.5) AS BIGINT) AS percentage FROM l""")
+def fallback_mentions(spark, sf_dir):
+    return D.fallback_mentions(_t(spark, sf_dir, "documents"), "text", LABELS)
+
+
+@query(f"""SELECT b.vec_id, b.label, round({_DIST}, 6) + 0.0 AS distance FROM embeddings a, embeddings b WHERE a.vec_id = 3 AND b.label <> 2 ORDER BY {_DIST}, b.vec_id LIMIT 500""")
+def drill_down(spark, sf_dir):
+    items = _t(spark, sf_dir, "embeddings")
+    return D.drill_down(items, _themes(spark, sf_dir)[3], "vec_id", F.col("label") != 2).select("vec_id", "label", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
+@query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2)
+SELECT source, lang AS subtheme, n AS mentions FROM c ORDER BY n DESC, source, lang LIMIT 5""")
+def popular_subthemes(spark, sf_dir):
+    counts = _t(spark, sf_dir, "documents").groupBy("source", F.col("lang").alias("subtheme")).agg(F.count(F.lit(1)).alias("mentions"))
+    themes = counts.groupBy("source").agg(F.collect_list(F.struct("subtheme", "mentions")).alias("subtheme_mentions"))
+    return D.popular_subthemes(themes, "source")
+
+
+@query("""SELECT c_custkey, CASE c_nationkey WHEN 0 THEN 'Eindhoven' WHEN 2 THEN 'Meijerijstad' WHEN 3 THEN 'Venlo' WHEN 4 THEN 'Sittard-geleen' WHEN 8 THEN 's-Hertogenbosch' WHEN 13 THEN 'Tilburg' WHEN 20 THEN 'Bergen op Zoom'
+ WHEN 23 THEN 'Rotterdam' WHEN 24 THEN 'Utrecht' ELSE CAST(c_nationkey AS VARCHAR) END AS city FROM customer""")
+def customer_cities(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", D.city_of(F.col("c_nationkey").cast("string")).alias("city"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS value FROM documents")
+def metadata_values(spark, sf_dir):
+    meta = F.create_map(F.lit("Label3"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(" "), F.lit("Label5"), F.col("lang"))
+    return _t(spark, sf_dir, "documents").select("doc_id", D.metadata_value(meta, ["sector", "Label3", "Label5"]).alias("value"))
+
+
+@query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
+SELECT source, count(*) AS document_count, coalesce(max(lang) FILTER (r = 1 AND doc_id % 2 = 0), 'Summary could not be parsed.') AS summary,
+ CAST(coalesce(max(least(3, n_words)) FILTER (r = 1 AND doc_id % 2 = 0), 0) AS INT) AS n_positive, CAST(count(DISTINCT lang) AS INT) AS n_mentions
+FROM (SELECT *, len(regexp_split_to_array(text, ' ')) AS n_words FROM d) GROUP BY source""")
+def theme_payloads(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    none = F.array().cast("array<string>")
+    first = docs.groupBy("source").agg(F.min_by(F.struct("doc_id", "lang", "text"), "doc_id").alias("d")).where("d.doc_id % 2 = 0")
+    parsed = first.select("source", F.col("d.lang").alias("summary"), none.alias("sentiments"), F.split("d.text", " ").alias("positive_comments"), none.alias("critical_comments"), none.alias("student_suggestions"), none.alias("subthemes"))
+    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("document_count"))
+    mentions = docs.groupBy("source", F.col("lang").alias("subtheme")).agg(F.count(F.lit(1)).alias("mentions"))
+    out = D.theme_payloads(parsed, counts, mentions, "source")
+    return out.select("source", "document_count", "summary", F.size("positive_comments").alias("n_positive"), F.size("subtheme_mentions").alias("n_mentions"))
+
+
+@query("""SELECT c.name AS "column", c.is_text, c.filled, c.records FROM (
+ SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS name, unnest([false, true, true, true, false]) AS is_text,
+ unnest([count(doc_id), count(*) FILTER (trim(text) <> ''), count(*) FILTER (trim(lang) <> ''), count(*) FILTER (trim(source) <> ''), count(n_chars)]) AS filled, count(*) AS records FROM documents) c""")
+def inspect_output(spark, sf_dir):
+    return D.inspect_output(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+@query("""SELECT i AS doc_id, c AS "column", v AS value FROM (SELECT doc_id AS i, unnest(['lang', 'n_chars', 'source', 'text']) AS c, unnest([lang, CAST(n_chars AS VARCHAR), source, CASE WHEN trim(text) <> '' THEN text END]) AS v
+ FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 3))""")
+def column_preview(spark, sf_dir):
+    return D.column_preview(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), "doc_id")
+
+
+@query("""WITH l AS (SELECT lang, count(*) FILTER (toxic = 0) AS tp, count(*) FILTER (toxic = 1) AS fp FROM labels JOIN documents USING (doc_id) GROUP BY lang)
+SELECT lang || ': ' || fp || ' of ' || (tp + fp) || ' false (' || printf('%.1f', round(100.0 * fp / (tp + fp), 1)) || ' %)' AS line FROM l""")
+def review_report(spark, sf_dir):
+    verdicts = _t(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "FP").otherwise("TP").alias("verdict"))
+    return D.review_report(M.review(verdicts.join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"), ["lang"]), "lang")
