@@ -1,4 +1,10 @@
-"""A corpus pipeline over documents: five stages, each written and read again before the next."""
+"""A corpus pipeline over documents: five stages, each written and read again before the next.
+
+Defined cases: null, empty and wordless texts fail the quality rules and go in the first stage; rows with a
+null id pass the near-duplicate and substring stages as they are; rows that are equal in every column
+become one in the near-duplicate stage; other columns of any name are passed on up to the last stage, which
+returns the digests of the texts alone; an empty table gives no rows; an empty test set drops nothing.
+"""
 
 from __future__ import annotations
 
