@@ -5,7 +5,8 @@ of items that are in one component already need no check.  Rounds therefore go:
 
 1. Star rounds.  Each bucket that still holds more than one component names a pivot; its other items
    are paired with the pivot (linear in the bucket), narrowed by filters on whole items, checked
-   exactly, and components grow.
+   exactly, and components grow.  After ``STAR_ROUNDS`` of them more follow, each with other pivots, while
+   the last round would make many times more pairs than a star round and a tenth of the checked pairs is linked.
 2. A last exhaustive round.  In buckets that still hold several components, every pair of different
    components is checked, except pairs inside the largest component.  After it no link between
    components can be missing, so the result is that of all pairs.
@@ -30,6 +31,9 @@ from loomveil.llm.shared import discard, stash
 from loomveil.llm.textops import mix
 
 STAR_ROUNDS = 2
+#: star rounds go on up to so many, while the last round would make STAR_GAIN times the pairs of one
+MOST_STAR_ROUNDS = 10
+STAR_GAIN = 4
 FILTER_BITS = 1 << 26
 #: so many ids fit a filter; beyond, callers narrow documents by a shuffled join instead
 FILTER_IDS = FILTER_BITS // 12
@@ -159,23 +163,36 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
         new = both.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).where("a <> b").distinct()
         return new if seen is None else new.join(seen, ["a", "b"], "left_anti")
 
-    for k in range(star_rounds + 1):
+    def many_pairs(named: DataFrame) -> bool:
+        """Whether the buckets of named hold STAR_GAIN times as many pairs of different components as rows."""
+        n = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        r = n.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+        return r.pairs > STAR_GAIN * r.rows
+
+    k, star, n_linked, latest = 0, True, 0, None
+    while star:
         if found is None:
             named = members.select("bucket", whole.alias("x"), F.col("item").alias("comp"))
         else:
             named = members.join(found.withColumnRenamed("node", "item"), "item", "left").select("bucket", whole.alias("x"), F.coalesce("component", "item").alias("comp"))
         if k:  # only buckets with several components
             mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-            named = named.join(mixed, "bucket", "left_semi")
-            named = stash(named if k < star_rounds else with_traits(named, "x.item", "xt", traits.columns), "mixed")
+            named = stash(named.join(mixed, "bucket", "left_semi"), "mixed")
             if named.isEmpty():
                 discard(named)
                 break
-        if k < star_rounds:
-            best = F.min if k % 2 == 0 else F.max
-            pivots = named.groupBy("bucket").agg(best(F.struct("comp", "x")).alias("p")).select("bucket", F.col("p.comp").alias("pivot_comp"), F.col("p.x").alias("y"))
+        star = k < star_rounds
+        if not star:
+            star = latest is not None and k < MOST_STAR_ROUNDS and 10 * n_linked >= latest.count() and many_pairs(named)
+        if star:
+            # at first the same few items are pivots of most buckets, then each bucket names its own
+            best = F.struct("comp", "x") if k == 0 else F.struct(F.xxhash64("x.item", "bucket", F.lit(k)).alias("h"), "comp", "x")
+            pivots = named.groupBy("bucket").agg(F.min(best).alias("p")).select("bucket", F.col("p.comp").alias("pivot_comp"), F.col("p.x").alias("y"))
             new = pairs(named, pivots, F.col("comp") != F.col("pivot_comp"))
         else:
+            slim, named = named, stash(with_traits(named, "x.item", "xt", traits.columns), "mixed")
+            if k:
+                discard(slim)
             sizes = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
             main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
             few = named.join(main, "bucket").where("comp <> main")
@@ -184,10 +201,11 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
             if "buckets" in traits.columns:
                 wanted &= ~F.arrays_overlap(*(F.slice(f"{s}t.buckets", F.lit(1), F.col(f"{s}.at")) for s in ("x", "y")))
             new = pairs(few, other, wanted)
-        new = stash(narrow(new) if k < star_rounds else new, "pairs")
+        new = stash(narrow(new) if star else new, "pairs")
         linked = check(new)
-        if k:
+        if k or not star:
             discard(named)
+        k, n_linked, latest = k + 1, linked.count(), new
         seen = new if seen is None else seen.unionByName(new)
         if found is not None and linked.isEmpty():
             discard(linked)
