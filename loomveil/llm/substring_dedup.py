@@ -168,14 +168,17 @@ def _pair_key(item: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 def paragraph_sets(docs: DataFrame, items: DataFrame, firsts: DataFrame, s: Settings) -> DataFrame:
     """(item, shingles) of paragraphs, each built from the first document that holds it, and of a few others."""
-    docs, some = docs.where("id is not null"), firsts.join(items, "item", "left_semi").select("item", "lo")
-    fits = items.count() <= FILTER_IDS
+    docs, some = docs.where("id is not null"), stash(firsts.join(items, "item", "left_semi").select("item", "lo"), "wanted")
+    fits = some.count() <= FILTER_IDS
     wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(some, _pair_key)) if fits else None
+    holding = docs.sparkSession.sparkContext.broadcast(IdFilter.of(some.select("lo").distinct())) if fits else None
     if not fits:
         docs = docs.join(some.select(F.col("lo").alias("id")), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if holding:  # other documents need not be cut into words
+                batch = batch.filter(pa.array(holding.value(batch.column(0).to_numpy(zero_copy_only=False))))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, _, w in _blocks(batch.column(1)):
                 spans = paragraphs(w, s.min_words)
