@@ -32,7 +32,7 @@ from loomveil.llm.textops import mix
 
 STAR_ROUNDS = 2
 #: star rounds go on up to so many, while the last round would make STAR_GAIN times the pairs of one
-MOST_STAR_ROUNDS = 10
+MOST_STAR_ROUNDS = 3
 STAR_GAIN = 4
 FILTER_BITS = 1 << 26
 #: so many ids fit a filter; beyond, callers narrow documents by a shuffled join instead

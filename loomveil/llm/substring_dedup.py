@@ -317,8 +317,8 @@ def verbatim_spans(docs: DataFrame, s: Settings) -> DataFrame:
     spark = docs.sparkSession
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = stash(_dealt(docs, s, few).mapInArrow(shared, "hash bigint"), "anchors")
-    # an anchor stands in two documents at least, with about thirty runs in each; a task sorts two million
-    parts = max(few, anchors.count() * 64 // 2_000_000)
+    # an anchor stands in two documents at least, with about thirty runs in each; a task sorts one million
+    parts = max(few, anchors.count() * 64 // 1_000_000)
     wanted = spark.sparkContext.broadcast(IdFilter.of(anchors))
     lost = _dealt(docs, s, parts, wanted).mapInArrow(losing, "bucket int, at array<int>, n array<int>, ids array<bigint>, prints array<bigint>, sources array<bigint>")
     return lost.repartition(parts, "bucket").mapInArrow(merged, "id bigint, at int, n int, hash bigint, source bigint").withColumn("kind", F.lit("w"))
