@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomveil.llm.shared import discard, stash
+from loomveil.llm.shared import discard, stash, tidy
 from loomveil.llm.textops import mix
 
 STAR_ROUNDS = 2
@@ -64,6 +64,7 @@ class IdFilter:
         while size < min(12 * n, FILTER_BITS):
             size *= 2
 
+        @tidy
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.zeros(size, dtype=bool)
             for batch in batches:
@@ -72,6 +73,7 @@ class IdFilter:
                     own[s] = True
             yield pieces({i: np.packbits(own[i * _PIECE : (i + 1) * _PIECE]) for i in range(size // _PIECE) if own[i * _PIECE : (i + 1) * _PIECE].any()})
 
+        @tidy
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, np.ndarray] = {}
             for batch in batches:
@@ -105,6 +107,7 @@ def narrow(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(ids))
     at = docs.columns.index(id_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(at).cast(pa.int64())

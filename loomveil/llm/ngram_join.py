@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomveil.llm import textops
 from loomveil.llm.linking import FILTER_IDS, IdFilter, link
-from loomveil.llm.shared import discard, stash
+from loomveil.llm.shared import discard, stash, tidy
 
 COUNTER_BITS = 21
 COUNTERS = 1 << COUNTER_BITS
@@ -57,6 +57,7 @@ def _counter(values: np.ndarray) -> np.ndarray:
 def rarity(docs: DataFrame, n: int) -> np.ndarray:
     """A level for each hashed counter: how often its shingles occur in documents."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
@@ -64,6 +65,7 @@ def rarity(docs: DataFrame, n: int) -> np.ndarray:
                 total += np.bincount(_counter(values), minlength=COUNTERS)
         yield pieces(total.reshape(-1, _PIECE))
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -91,6 +93,7 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     bitmap of parities of its shingles, and its prefix in the global order."""
     level = docs.sparkSession.sparkContext.broadcast(rarity(docs.select("text"), n))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = level.value
         for batch in batches:
@@ -122,6 +125,7 @@ def whole_sets(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     if not fits:
         docs = docs.join(items.select(F.col("item").alias("id")), "id", "left_semi")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if wanted is not None:

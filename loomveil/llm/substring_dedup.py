@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from loomveil.llm import textops
 from loomveil.llm.linking import FILTER_IDS, IdFilter, link
 from loomveil.llm.ngram_join import SIGS, exact_check, needed, parity_close
-from loomveil.llm.shared import discard, stash
+from loomveil.llm.shared import discard, stash, tidy
 
 
 @dataclass(frozen=True)
@@ -113,6 +113,7 @@ def _blocks(column):
 def span_table(docs: DataFrame, s: Settings) -> DataFrame:
     """(id, at, n, hash) of the paragraphs of rows (id, text)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, _, w in _blocks(batch.column(1)):
@@ -137,6 +138,7 @@ def signature_table(docs: DataFrame, s: Settings) -> DataFrame:
     bands, rows = tune_bands(s.percent / 100, s.recall)
     odd = textops.mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, w in _blocks(batch.column(1)):
@@ -175,6 +177,7 @@ def paragraph_sets(docs: DataFrame, items: DataFrame, firsts: DataFrame, s: Sett
     if not fits:
         docs = docs.join(some.select(F.col("lo").alias("id")), "id", "left_semi")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if holding:  # other documents need not be cut into words
@@ -209,6 +212,7 @@ def _dealt(docs: DataFrame, s: Settings, parts: int, wanted=None) -> DataFrame:
     """Runs of min_run words whose least anchor is in wanted, or without wanted the least anchors, packed by
     bucket and dealt out: of each row, hashes and places, and how many of them are of which document."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -272,11 +276,13 @@ def verbatim_spans(docs: DataFrame, s: Settings) -> DataFrame:
     """(id, at, n, hash, kind, source) of the spans of rows (id, text) that consist of runs of min_run words
     that an earlier document holds; hash is that of the whole text."""
 
+    @tidy
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, _, _ = _gathered(batches)
         several = (key[1:] == key[:-1]) & (ids[1:] != ids[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[1:][several]))], names=["hash"])
 
+    @tidy
     def losing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, at, prints = _gathered(batches)
         new = np.ones(len(key), dtype=bool)
@@ -296,6 +302,7 @@ def verbatim_spans(docs: DataFrame, s: Settings) -> DataFrame:
             names=["bucket", "at", "n", "ids", "prints", "sources"],
         )
 
+    @tidy
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
@@ -404,6 +411,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     listed = _free("spans", taken)
 
     def picked(passing: bool):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(id_at).cast(pa.int64())
@@ -412,6 +420,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         return docs.mapInArrow(run, docs.schema)
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, more = [], []
