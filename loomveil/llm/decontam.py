@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomveil.llm import textops
+from loomveil.llm.shared import tidy
 
 WINDOW = 10
 BLOCK_CHARS = 32_000_000
@@ -235,6 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ones = [bin(b).count("1") for b in range(256)]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("items", T.ArrayType(T.StringType()))])
 
+    @tidy
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = [sum(ones[b] for b in bits or b"") for bits in batch.column(2).to_pylist()]

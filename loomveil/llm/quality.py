@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loomveil.llm import textops
+from loomveil.llm.shared import tidy
 
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", dtype=np.uint8))
 _NOT_NEWLINE = np.arange(256) != 10
@@ -131,6 +132,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(f, T.LongType()) for f in FIGURES), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
 
+    @tidy
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = figures(batch.column(1), rules)
@@ -143,6 +145,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -
     """The rows of docs whose text is kept, all columns as they were."""
     at = docs.columns.index(text_col)
 
+    @tidy
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(figures(batch.column(at), rules)["kept"]))

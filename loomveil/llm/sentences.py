@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomveil.llm.shared import tidy
+
 TABLE_CHUNKS = 250_000
 TEXT_CHARS = 1_000_000
 MARKER = "▁"
@@ -147,6 +149,7 @@ def encode_ids(docs: DataFrame, model: str | None = None, id_col: str = "doc_id"
     model = model or default_model()
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(model)
         for batch in batches:
@@ -168,6 +171,7 @@ def encode_digests(docs: DataFrame, model: str | None = None, id_col: str = "doc
     def digest(data: bytes) -> str:
         return hashlib.sha256(data).hexdigest()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(model)
         for batch in batches:
