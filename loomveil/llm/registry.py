@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomveil.llm import chat, decontam, lm_score, ngram_join, packing, quality, sentences, substring_dedup, token_counts, warc
+from loomveil.llm import chat, decontam, lm_score, ngram_join, packing, quality, repair, sentences, substring_dedup, token_counts, warc
 from loomveil.llm.linking import narrow
 from loomveil.llm.shared import new_path, stash
 
@@ -75,6 +75,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(both)).drop("n_attachments", "attachment_tokens")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damage(turns), turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_packing": op1_token_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc_salvage": op9_warc_salvage,
     "op10_chat_formatting": op10_chat_formatting,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
