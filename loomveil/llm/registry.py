@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomveil.llm import chat, decontam, lm_score, ngram_join, packing, quality, repair, sentences, spelling, substring_dedup, token_counts, warc
+from loomveil.llm import chat, cutting_stock, decontam, lm_score, ngram_join, packing, quality, repair, sentences, spelling, substring_dedup, token_counts, warc
 from loomveil.llm.linking import narrow
 from loomveil.llm.shared import new_path, stash
 
@@ -75,6 +75,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(both)).drop("n_attachments", "attachment_tokens")
 
 
+def op11_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting_stock.pack(_table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc_salvage": op9_warc_salvage,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_cutting_stock_packing": op11_cutting_stock_packing,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
