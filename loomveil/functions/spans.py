@@ -4,10 +4,12 @@ A span is struct<start,end,tag,entity,score,layer,ord> with half-open code-point
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomveil.functions.recognizers import CARRY_STOP_WORDS, HONORIFICS, LABEL_TAGS, NAME_STOP_WORDS, NAME_TOKENS, NEVER_MASKED, PARTICLES, PATTERNS, ROLES, TAGS, Toggles
+from loomveil.functions.recognizers import CARRY_STOP_WORDS, HONORIFICS, LABEL_TAGS, NAME_STOP_WORDS, NAME_TOKENS, NEEDED, NEVER_MASKED, PARTICLES, PATTERNS, ROLES, TAGS, Toggles
 
 SPAN = "struct<start:int,end:int,tag:string,entity:string,score:double,layer:string,ord:int>"
 
@@ -36,15 +38,22 @@ def regex_spans(text: Column, pattern: str, tag: str | None, entity: str, score:
 
 
 def detect(text: Column, toggles: Toggles = Toggles(), entities: list[str] | None = None, keep: bool = False) -> Column:
-    """Spans of the pattern recognizers; keep also returns entities that the policy leaves alone."""
+    """Spans of the pattern recognizers; keep also returns entities that the policy leaves alone.  Letters,
+    digits and blanks of patterns are those of Unicode; a pattern runs only where the text holds what it needs."""
     out = []
-    for entity, score, pattern in PATTERNS:
+    for (entity, score, pattern), needed in zip(PATTERNS, NEEDED, strict=True):
         tag = toggles.tag_of(entity)
         if (entities is None or entity in entities) and (keep or tag):
-            out.append(regex_spans(text, pattern, tag, entity, score))
+            may = text.rlike(needed) if isinstance(needed, str) else reduce(lambda a, b: a | b, [text.contains(x) for x in needed])
+            out.append(F.when(may, regex_spans(text, f"(?U){pattern}", tag, entity, score)).otherwise(no_spans()))
     return F.concat(*out) if out else no_spans()
 
 
+def may_name(toggles: Toggles, entities: list[str] | None = None) -> bool:
+    """Whether the recognizers can find names at all."""
+    return any(toggles.tag_of(e) == "NAME" for e, _, _ in PATTERNS if entities is None or e in entities)
+
+
 def covered(text: Column, s: Column) -> Column:
     return F.substring(text, s["start"] + 1, s["end"] - s["start"])
 
@@ -85,7 +94,7 @@ def plausible_pii(value: Column) -> Column:
 
 def canonical_name(value: Column) -> Column:
     """Without quotes, possessives and a leading role word."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(value), '^"+|"+$', ""), r"['’][sS]\b", "")
+    bare = F.regexp_replace(F.regexp_replace(F.trim(value), '^"+|"+$', ""), r"(?U)['’][sS]\b", "")
     return F.trim(F.regexp_replace(bare, "^(?:" + "|".join(ROLES) + ")", ""))
 
 
@@ -110,7 +119,7 @@ def extend_original(text: Column, spans: Column) -> Column:
     """Takes a possessive after a span, then quotes on either side, into the span."""
 
     def grow(s: Column) -> Column:
-        own = F.when(F.substring(text, s["end"] + 1, 3).rlike(r"^['’][sS]\b"), 2).otherwise(0)
+        own = F.when(F.substring(text, s["end"] + 1, 3).rlike(r"(?U)^['’][sS]\b"), 2).otherwise(0)
         before = F.when((s["start"] > 0) & (F.substring(text, F.greatest(s["start"], F.lit(1)), 1) == '"'), 1).otherwise(0)
         after = F.when(F.substring(text, s["end"] + own + 1, 1) == '"', 1).otherwise(0)
         return s.withField("end", s["end"] + own + after).withField("start", s["start"] - before)
@@ -145,6 +154,53 @@ def merge_layers(*layers: Column) -> Column:
     return F.transform(F.concat(*layers), lambda s, i: s.withField("ord", i.cast("int")))
 
 
+def names_of(text: Column, spans: Column) -> Column:
+    """Canonical forms of the NAME spans of a text that are looked for in other texts; null if there are none."""
+    names = F.transform(F.filter(spans, lambda s: s["tag"] == "NAME"), lambda s: canonical_name(covered(text, s)))
+    kept = F.array_distinct(F.filter(names, carried_name))
+    return F.when(F.size(kept) > 0, kept)
+
+
+def first_word(name: Column) -> Column:
+    return F.lower(F.regexp_extract(name, r"(?U)^\w+", 0))
+
+
+def names_in(text: Column, names: Column) -> Column:
+    """The names whose first word the text holds, whatever the number of names; null if there are none.  The
+    words of both meet in a hash set; only these names are searched for."""
+    first = F.array_intersect(F.transform(names, first_word), F.split(F.lower(text), r"(?U)\W+"))
+    # bound to a variable: inside the inner lambda the intersection would be computed anew for each name
+    bound = F.array(F.struct(first.alias("first"), names.alias("names")))
+    kept = F.transform(bound, lambda b: F.when(F.size(b["first"]) > 0, F.filter(b["names"], lambda n: F.array_contains(b["first"], first_word(n)))))
+    return F.when(names.isNotNull(), kept[0])
+
+
+def literal_pattern(value: Column) -> Column:
+    """A pattern that matches the value itself."""
+    return F.regexp_replace(value, r"([^\p{L}\p{N}\s])", r"\\$1")
+
+
+def whole_word(pattern: Column) -> Column:
+    """The pattern in any case, with no word character before or after."""
+    return F.concat(F.lit(r"(?iU)(?<!\w)(?:"), pattern, F.lit(r")(?!\w)"))
+
+
+def carried_spans(text: Column, names: Column, spans: Column) -> Column:
+    """Spans of whole words of a few names, in any case, longest first, that no span covers at either end."""
+    longest = F.transform(F.array_sort(F.transform(names, lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n")))), lambda x: literal_pattern(x["n"]))
+    pattern = whole_word(F.array_join(longest, "|"))
+    hits = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda p, m: F.struct(F.length(p).alias("before"), F.length(m).alias("size")))
+    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        first = acc["at"] + x["before"]
+        return F.struct((first + x["size"]).alias("at"), F.array_append(acc["out"], span(first, first + x["size"], "NAME", "CARRY_FORWARD", 1.0, "carry")).alias("out"))
+
+    found = F.aggregate(F.filter(hits, lambda h: h["size"].isNotNull()), start, step, lambda acc: acc["out"])
+    free = lambda s: ~F.exists(spans, lambda o: ((o["start"] <= s["start"]) & (s["start"] < o["end"])) | ((o["start"] < s["end"]) & (s["end"] <= o["end"])))
+    return F.when(names.isNotNull(), F.filter(found, free)).otherwise(no_spans())
+
+
 def resolve(spans: Column) -> Column:
     """Longest first, ties by position in the list; keeps spans that overlap none kept before."""
     keyed = F.transform(spans, lambda s: F.struct((s["start"] - s["end"]).alias("k"), s["ord"].alias("o"), s.alias("s")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomveil.operators import insights as I
 from loomveil.operators import vectors as V
-from loomveil.operators.masking import TAG_PATTERN, tag_counts, totals
+from loomveil.operators.masking import TAG_PATTERN, number_rows, tag_counts, totals
 
 # Filter keys, location codes, dashboard names of filters, words of a label that count for nothing.
 FILTER_KEYS = ["institution", "academic_year", "location", "programme", "study_mode", "cohort", "sector", "language"]
@@ -166,12 +166,7 @@ def inspect_output(df: DataFrame) -> DataFrame:
 def rebuild_collection(answers: DataFrame, path: str, prefix: str = "doc_", metadata: list[str] | None = None) -> DataFrame:
     """Writes the collection anew: (id, document, embedding, metadata) with ids by the order of answer_id,
     a version of its own, and either all metadata or the columns named."""
-    part = Window.partitionBy("__p").orderBy("answer_id")
-    ranged = answers.repartitionByRange("answer_id").withColumn("__p", F.spark_partition_id())
-    sizes = ranged.groupBy("__p").count()
-    before = sizes.select("__p", (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__b"))  # a row a partition
-    numbered = ranged.withColumn("__r", F.row_number().over(part) - 1).join(F.broadcast(before), "__p")
-    out = numbered.withColumn("id", F.concat(F.lit(prefix), (F.col("__b") + F.col("__r")).cast("string"))).drop("__p", "__r", "__b")
+    out = number_rows(answers, ["answer_id"], "__n").withColumn("id", F.concat(F.lit(prefix), F.col("__n").cast("string"))).drop("__n")
     out = out if metadata is None else out.select("id", "answer_id", "answer", "embedding", *metadata)
     out.write.mode("overwrite").parquet(path)
     return answers.sparkSession.read.schema(out.schema).parquet(path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from loomveil.functions import spans as S
@@ -28,48 +30,103 @@ def _masked(text: Column, spans: Column, words: list[str] | None) -> Column:
     return F.when(text.isNull() | (F.trim(text) == ""), text).otherwise(masked)
 
 
-def mask_columns(df: DataFrame, columns: list[str], toggles: Toggles = Toggles(), entities: list[str] | None = None, words: list[str] | None = None) -> DataFrame:
-    """Masks columns in one projection; null and blank cells stay."""
-    return df.withColumns({c: _masked(F.col(c), text_spans(F.col(c), toggles, entities), words) for c in columns})
+def mask_columns(df: DataFrame, columns: list[str], toggles: Toggles = Toggles(), entities: list[str] | None = None, words: list[str] | None = None, checks: str | None = None) -> DataFrame:
+    """Masks columns without a shuffle; names are carried forward inside a cell.  Null and blank cells stay.
+    checks names a column for what verification finds, see checked."""
+    return _finish(_found(df, columns, toggles, entities, None), df, columns, toggles, entities, words, checks, [F.col(f"__names_{i}") for i in range(len(columns))])
 
 
-def mask_batches(df: DataFrame, key: str, columns: list[str], toggles: Toggles = Toggles(), entities: list[str] | None = None, words: list[str] | None = None, detections: dict[str, DataFrame] | None = None, size: int = BATCH_ROWS) -> DataFrame:
+def mask_batches(df: DataFrame, key: str, columns: list[str], toggles: Toggles = Toggles(), entities: list[str] | None = None, words: list[str] | None = None, detections: dict[str, DataFrame] | None = None, size: int = BATCH_ROWS, checks: str | None = None) -> DataFrame:
     """Masks columns with all layers: recognizers, outside detections (for each column a table of key and
-    spans, as ``detections_to_spans`` gives), and names that other rows of the same batch hold.  Batches
-    are ``size`` rows of a dense numeric key; names of a batch meet its rows in a join by batch number."""
-    out = df
-    for c in columns:
-        layer = (detections or {}).get(c)
-        rows = out.withColumn("__batch", F.floor(F.col(key) / size))
-        rows = rows.withColumn("__seen", S.no_spans()) if layer is None else rows.join(layer.select(key, F.col("spans").alias("__seen")), key, "left")
-        rows = rows.withColumn("__spans", found_spans(F.col(c), toggles, entities, F.col("__seen")))
-        names = rows.select("__batch", F.explode(_names(F.col(c), F.col("__spans"))).alias("name"))
-        known = names.where(S.carried_name(F.col("name"))).groupBy("__batch").agg(F.collect_set("name").alias("__names"))
-        joined = rows.join(known, "__batch", "left")
-        spans = S.merge_layers(F.col("__spans"), F.coalesce(_carried(F.col(c), F.col("__names"), F.col("__spans")), S.no_spans()))
-        out = joined.withColumn(c, _masked(F.col(c), S.extend_original(F.col(c), spans), words)).select(df.columns)
-    return out
-
-
-def _names(text: Column, spans: Column) -> Column:
-    """Canonical forms of the NAME spans of a text."""
-    return F.transform(F.filter(spans, lambda s: s["tag"] == "NAME"), lambda s: S.canonical_name(S.covered(text, s)))
-
-
-def _literal(value: Column) -> Column:
-    """A pattern that matches the value itself."""
-    return F.regexp_replace(value, r"([^\p{L}\p{N}\s])", r"\\$1")
-
-
-def _carried(text: Column, names: Column, spans: Column) -> Column:
-    """Spans of whole words of names, in any case, longest first, that no span covers at either end."""
-    longest = F.transform(F.array_sort(F.transform(names, lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n")))), lambda x: _literal(x["n"]))
-    pattern = F.concat(F.lit(r"(?iu)(?<!\w)(?:"), F.array_join(longest, "|"), F.lit(r")(?!\w)"))
-    parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    at = lambda i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-    found = F.transform(hits, lambda m, i: S.span(at(i), at(i) + F.length(m), "NAME", "CARRY_FORWARD", 1.0, "carry"))
-    free = lambda s: ~F.exists(spans, lambda o: ((o["start"] <= s["start"]) & (s["start"] < o["end"])) | ((o["start"] < s["end"]) & (s["end"] <= o["end"])))
-    return F.when(F.size(names) > 0, F.filter(found, free))
+    spans, as ``detections_to_spans`` gives), and names that other rows of the same batch hold in the column.
+
+    Batches are ``size`` rows of a dense row number ``key`` (``number_rows`` gives one); names of rows without a
+    key stay in their row.  Recognizers run once, before the only shuffle of the texts, which brings the rows of
+    a batch together for all columns at once; outside detections of all columns come by one join before it.
+    A text meets the names of its batch by their first words, in a hash set, and is searched for those alone.
+    """
+    layers = [d.select(F.col(key), F.lit(c).alias("c"), F.col("spans").alias("s")) for c, d in (detections or {}).items()]
+    rows = df
+    if layers:
+        together = reduce(DataFrame.unionByName, layers).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("c", "s"))).alias("__seen"))
+        rows = df.join(together, key, "left")
+    found = _found(rows, columns, toggles, entities, F.col("__seen") if layers else None)
+    own = [F.col(f"__names_{i}") for i in range(len(columns))]
+    if not (layers or S.may_name(toggles, entities)):
+        return _finish(found, df, columns, toggles, entities, words, checks, own)
+    batch = Window.partitionBy("__batch")
+    keyed = found.where(F.col(key).isNotNull()).withColumn("__batch", F.floor(F.col(key) / size))
+    known = keyed.withColumns({f"__names_{i}": F.array_distinct(F.flatten(F.collect_set(f"__names_{i}").over(batch))) for i in range(len(columns))})
+    loose = found.where(F.col(key).isNull())
+    return _finish(known, df, columns, toggles, entities, words, checks, own).unionByName(_finish(loose, df, columns, toggles, entities, words, checks, own))
+
+
+def _found(rows: DataFrame, columns: list[str], toggles: Toggles, entities: list[str] | None, seen: Column | None) -> DataFrame:
+    """Adds the spans of each column, as they are before names are carried forward, and its names."""
+    spans = rows.withColumns({f"__spans_{i}": found_spans(F.col(c), toggles, entities, None if seen is None else F.try_element_at(seen, F.lit(c))) for i, c in enumerate(columns)})
+    names = S.names_of if seen is not None or S.may_name(toggles, entities) else lambda text, spans: F.lit(None).cast("array<string>")
+    return spans.withColumns({f"__names_{i}": names(F.col(c), F.col(f"__spans_{i}")) for i, c in enumerate(columns)})
+
+
+def _finish(found: DataFrame, df: DataFrame, columns: list[str], toggles: Toggles, entities: list[str] | None, words: list[str] | None, checks: str | None, known: list[Column]) -> DataFrame:
+    """Masks by spans and known names."""
+    near = found.withColumns({f"__near_{i}": S.names_in(F.col(c), n) for i, (c, n) in enumerate(zip(columns, known))})
+    new = {}
+    for i, c in enumerate(columns):
+        spans = F.col(f"__spans_{i}")
+        new[f"__masked_{i}"] = _masked(F.col(c), S.extend_original(F.col(c), S.merge_layers(spans, S.carried_spans(F.col(c), F.col(f"__near_{i}"), spans))), words)
+    masked = near.withColumns(new)
+    out = [F.col(f"__masked_{columns.index(c)}").alias(c) if c in columns else F.col(c) for c in df.columns]
+    if checks:
+        seen = lambda c: [F.coalesce(F.try_element_at("__seen", F.lit(c)), S.no_spans())] if "__seen" in found.columns else []
+        again = [checked(c, F.col(c), S.filter_spans(F.col(c), S.merge_layers(S.detect(F.col(c), toggles, entities), *seen(c)), toggles), F.col(f"__masked_{i}")) for i, c in enumerate(columns)]
+        # in a step of its own: a select would take the masked column for the original inside lambdas
+        masked = masked.withColumn("__checks", F.concat(*again))
+        out.append(F.col("__checks").alias(checks))
+    return masked.select(out)
+
+
+def checked(column: str, before: Column, spans: Column, after: Column) -> Column:
+    """array<struct<column,tag,value,stands>>: values of the spans of three characters at least, and whether the
+    masked text still holds them as whole words in any case."""
+    values = F.filter(F.transform(spans, lambda s: F.struct(s["tag"].alias("tag"), S.covered(before, s).alias("value"))), lambda v: F.length(F.trim(v["value"])) >= 3)
+    return F.transform(values, lambda v: F.struct(F.lit(column).alias("column"), v["tag"].alias("tag"), v["value"].alias("value"), F.coalesce(F.regexp_like(after, S.whole_word(S.literal_pattern(v["value"]))), F.lit(False)).alias("stands")))
+
+
+def report(df: DataFrame, columns: list[str], path: str, mask=mask_columns, **options) -> DataFrame:
+    """(tag, n, missed, removed, missed_samples, removed_samples, cells, affected, entities, percent), a row a tag.
+
+    One pass detects, masks, checks and writes the masked table to ``path`` with a column ``checks``; totals and
+    counts by tag are observed as it is written.  Samples come from that column of the written table alone.
+    mask is mask_columns, or mask_batches with its options."""
+    spark, seen = df.sparkSession, Observation()
+    hits = F.concat(*(F.coalesce(F.regexp_extract_all(F.col(c), F.lit(TAG_PATTERN), F.lit(1)), F.array().cast("array<string>")) for c in columns))
+    filled = sum(((F.col(c).isNotNull() & (F.trim(c) != "")).cast("int") for c in columns), F.lit(0))
+    touched = sum((F.coalesce(F.col(c).rlike(TAG_PATTERN), F.lit(False)).cast("int") for c in columns), F.lit(0))
+    of_tag = lambda t: F.sum(F.size(F.filter(hits, lambda h: h == t))).alias(t)
+    stood = lambda t, stands: F.sum(F.size(F.filter("checks", lambda v: (v["tag"] == t) & (v["stands"] == F.lit(stands)))))
+    counts = [of_tag(t) for t in TAGS] + [stood(t, x).alias(f"{t}_{k}") for t in TAGS for k, x in (("missed", True), ("removed", False))]
+    masked = mask(df, columns=columns, checks="checks", **options)
+    masked.observe(seen, F.sum(filled).alias("cells"), F.sum(touched).alias("affected"), *counts).write.parquet(path)
+    got = {k: v or 0 for k, v in seen.get.items()}
+    entities = sum(got[t] for t in TAGS)
+    percent = round(100 * got["affected"] / got["cells"], 1) if got["cells"] else 0.0
+    rows = [(t, got[t], got[f"{t}_missed"], got[f"{t}_removed"], got["cells"], got["affected"], entities, percent) for t in TAGS]
+    table = spark.createDataFrame(rows, "tag string, n bigint, missed bigint, removed bigint, cells bigint, affected bigint, entities bigint, percent double")
+    samples = check_samples(spark.read.schema(masked.schema).parquet(path).select("checks"), "checks")
+    none = F.array().cast("array<string>")
+    return table.join(samples, "tag", "left").withColumns({c: F.coalesce(c, none) for c in ("missed_samples", "removed_samples")})
+
+
+def number_rows(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
+    """Adds dense row numbers from 0 in an order, by ranges and the counts of the ranges before: no task
+    holds more than its range."""
+    part = Window.partitionBy("__p").orderBy(*order)
+    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    sizes = ranged.groupBy("__p").count()
+    before = sizes.select("__p", (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__b"))  # a row a partition
+    numbered = ranged.withColumn("__r", F.row_number().over(part) - 1).join(F.broadcast(before), "__p")
+    return numbered.withColumn(name, F.col("__b") + F.col("__r")).drop("__p", "__b", "__r")
 
 
 def detections_to_spans(detections: DataFrame, texts: DataFrame, key: str, text: str, toggles: Toggles = Toggles()) -> DataFrame:
@@ -97,7 +154,8 @@ def carry_forward(rows: DataFrame, key: str, text: str, names: DataFrame) -> Dat
     a batch's texts with its names stays inside a batch."""
     named = names.select("batch_no", S.canonical_name(F.col("name")).alias("name")).where("length(name) >= 3")
     known = named.groupBy("batch_no").agg(F.collect_set("name").alias("__names"))
-    found = rows.join(known, "batch_no").select(key, _carried(F.col(text), F.col("__names"), S.no_spans()).alias("spans"))
+    near = rows.join(known, "batch_no").withColumn("__near", S.names_in(F.col(text), F.col("__names")))
+    found = near.select(key, S.carried_spans(F.col(text), F.col("__near"), S.no_spans()).alias("spans"))
     return found.where(F.size("spans") > 0)
 
 
@@ -117,14 +175,27 @@ def totals(masked: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("percent", F.coalesce(F.round(100 * F.col("affected") / F.nullif("cells", F.lit(0)), 1), F.lit(0.0)))
 
 
-def verify(original: DataFrame, masked: DataFrame, key: str, text: str, entities: list[str] | None = None) -> DataFrame:
-    """(tag, missed, removed): detected values of at least 3 characters that stand, or no longer stand,
-    as whole words in the masked text."""
-    left = original.select(key, F.col(text).alias("before"))
-    both = left.join(masked.select(key, F.col(text).alias("after")), key)
-    values = both.select("after", F.explode(text_spans(F.col("before"), entities=entities)).alias("s"), "before").withColumn("value", S.covered(F.col("before"), F.col("s"))).where("length(value) >= 3")
-    stands = F.regexp_like("after", F.concat(F.lit(r"(?iu)(?<!\w)"), _literal(F.col("value")), F.lit(r"(?!\w)")))
-    return values.groupBy(F.col("s.tag").alias("tag")).agg(F.count_if(stands).alias("missed"), F.count_if(~stands).alias("removed"))
+def verify(original: DataFrame, masked: DataFrame, key: str, text: str, toggles: Toggles = Toggles(), entities: list[str] | None = None) -> DataFrame:
+    """(tag, missed, removed) of two tables that were written apart: one shuffle by key."""
+    both = original.select(key, F.col(text).alias("before")).join(masked.select(key, F.col(text).alias("after")), key)
+    spans = S.filter_spans(F.col("before"), S.merge_layers(S.detect(F.col("before"), toggles, entities)), toggles)
+    return check_counts(both.select(checked(text, F.col("before"), spans, F.col("after")).alias("checks")), "checks")
+
+
+def check_counts(table: DataFrame, checks: str) -> DataFrame:
+    """(tag, missed, removed): checked values that stand, or no longer stand, in the masked texts."""
+    values = table.select(F.explode(checks).alias("v"))
+    return values.groupBy(F.col("v.tag").alias("tag")).agg(F.count_if("v.stands").alias("missed"), F.count_if(~F.col("v.stands")).alias("removed"))
+
+
+def check_samples(table: DataFrame, checks: str) -> DataFrame:
+    """(tag, missed_samples, removed_samples): of the distinct values of each kind, the one with the least MD5
+    digest for each first digit of it, 16 at most.  Minima merge, so tasks shuffle a few rows each."""
+    digest = F.md5(F.col("v.value").cast("binary"))
+    values = table.select(F.explode(checks).alias("v")).select("v.tag", "v.stands", F.substring(digest, 1, 1).alias("digit"), F.struct(digest.alias("d"), F.col("v.value").alias("value")).alias("s"))
+    least = values.groupBy("tag", "stands", "digit").agg(F.min("s").alias("s"))
+    kept = lambda stands: F.array_sort(F.collect_list(F.when(F.col("stands") == F.lit(stands), F.col("s.value"))))
+    return least.groupBy("tag").agg(kept(True).alias("missed_samples"), kept(False).alias("removed_samples"))
 
 
 def changed_cells(original: DataFrame, masked: DataFrame, key: str, text: str) -> DataFrame:

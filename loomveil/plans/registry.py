@@ -19,6 +19,7 @@ from loomveil.operators import insights as I
 from loomveil.operators import masking as M
 from loomveil.operators import vectors as V
 from loomveil.sources import tables as R
+from loomveil.sources.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,7 +62,29 @@ def mask_documents(spark, sf_dir):
 
 @query()
 def mask_documents_all_recognizers(spark, sf_dir):
-    return M.mask_columns(_t(spark, sf_dir, "documents").select("doc_id", "text"), ["text"])
+    """All recognizers, with names carried forward in batches; tests hold it against the patterns in Python."""
+    return M.mask_batches(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["text"])
+
+
+@query()
+def recognizer_spans(spark, sf_dir):
+    """Every span of every recognizer in all documents; tests hold it against the patterns in Python."""
+    found = _t(spark, sf_dir, "documents").select("doc_id", "text", F.explode(S.detect(F.col("text"), keep=True)).alias("s"))
+    return found.select("doc_id", "s.entity", "s.start", "s.end", S.covered(F.col("text"), F.col("s")).alias("value"), "s.score")
+
+
+@query()
+def mask_two_questions(spark, sf_dir):
+    """Answers to two questions, masked by all recognizers; the first word of each opening turn stands for a
+    model's detection of a name, and is carried forward to the same column of its batch."""
+    turns = _t(spark, sf_dir, "conversations")
+    asked = lambda r: F.when(F.col("role") == r, F.col("text")).alias(f"question_{r}")
+    wide = M.number_rows(turns.select("conv_id", "turn", asked("user"), asked("assistant")), ["conv_id", "turn"])
+    word = lambda c: F.regexp_extract(c, r"^\S+", 0)
+    first = wide.where("turn = 0")
+    named = {c: first.where(F.col(c).isNotNull()).select("row_no", F.lit(0).alias("start"), F.length(word(c)).alias("end"), F.lit("FIRSTNAME").alias("label"), F.lit(0.9).alias("score")) for c in ("question_user", "question_assistant")}
+    detections = {c: M.detections_to_spans(d, first, "row_no", c) for c, d in named.items()}
+    return M.mask_batches(wide, "row_no", ["question_user", "question_assistant"], detections=detections).drop("row_no")
 
 
 @query()
@@ -93,14 +116,36 @@ def detect_spans(spark, sf_dir):
     return _t(spark, sf_dir, "documents").withColumn("s", spans).where(F.size("s") > 0).select("doc_id", F.col("s")[0]["entity"].alias("entity"), F.size("s").alias("n"), F.col("s")[0]["start"].alias("first"))
 
 
-@query(f"""SELECT 'PII' AS tag, CAST(0 AS BIGINT) AS missed, CAST(sum(len(regexp_extract_all(text, '{EMAIL}|{PHONE}'))) AS BIGINT) AS removed FROM documents""")
+_VALUES = f"""b AS (SELECT doc_id, text, {_MASKED} AS after FROM documents),
+v AS (SELECT after, unnest(regexp_extract_all(text, '{EMAIL}') || regexp_extract_all(text, '{PHONE}')) AS value FROM b),
+c AS (SELECT value, regexp_matches(after, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(value) || '($|[^\\p{{L}}\\p{{N}}_])', 'i') AS stands FROM v WHERE length(trim(value)) >= 3)"""
+
+
+@query(f"WITH {_VALUES} SELECT 'PII' AS tag, count(*) FILTER (stands) AS missed, count(*) FILTER (NOT stands) AS removed FROM c HAVING count(*) > 0")
 def verify_masking(spark, sf_dir):
-    return M.verify(_t(spark, sf_dir, "documents"), _masked(spark, sf_dir), "doc_id", "text", ENTITIES)
+    """Masked and checked in one projection: no join of texts."""
+    docs = _t(spark, sf_dir, "documents").select("text")
+    return M.check_counts(M.mask_columns(docs, ["text"], entities=ENTITIES, checks="checks").select("checks"), "checks")
+
+
+@query(f"""WITH {_VALUES}, t AS (SELECT count(*) AS cells, count(*) FILTER (n > 0) AS affected, CAST(coalesce(sum(n), 0) AS BIGINT) AS entities FROM (SELECT len(regexp_extract_all(after, '\\[PII\\]')) AS n FROM b WHERE trim(text) <> '')),
+s AS (SELECT stands, min_by(value, md5(value)) AS value FROM c GROUP BY stands, substr(md5(value), 1, 1)),
+n AS (SELECT count(*) FILTER (stands) AS missed, count(*) FILTER (NOT stands) AS removed FROM c)
+SELECT tag, CASE WHEN tag = 'PII' THEN entities ELSE 0 END AS n, CASE WHEN tag = 'PII' THEN missed ELSE 0 END AS missed, CASE WHEN tag = 'PII' THEN removed ELSE 0 END AS removed,
+ CASE WHEN tag = 'PII' THEN coalesce((SELECT string_agg(value, chr(10) ORDER BY value) FROM s WHERE stands), '') ELSE '' END AS missed_samples,
+ CASE WHEN tag = 'PII' THEN coalesce((SELECT string_agg(value, chr(10) ORDER BY value) FROM s WHERE NOT stands), '') ELSE '' END AS removed_samples,
+ cells, affected, entities, round(100.0 * affected / cells, 1) AS percent FROM (VALUES ('NAME'), ('PII'), ('LOCATION'), ('TITLE'), ('HEALTH')) g(tag), t, n""")
+def masking_report(spark, sf_dir):
+    """Counts are observed while the masked table is written; samples are read from its column of checks."""
+    out = M.report(_t(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], shared_path(spark, "masked"), entities=ENTITIES)
+    return out.withColumns({c: F.array_join(c, "\n") for c in ("missed_samples", "removed_samples")})
 
 
 @query(f"SELECT doc_id, text AS before, {_MASKED} AS after FROM documents WHERE text <> {_MASKED}")
 def changed_cells(spark, sf_dir):
-    return M.changed_cells(_t(spark, sf_dir, "documents"), _masked(spark, sf_dir), "doc_id", "text")
+    """Before and after stand in one row, so no text is shuffled."""
+    both = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("before"), F.col("text").alias("after"))
+    return M.mask_columns(both, ["after"], entities=ENTITIES).where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 @query(r"""SELECT doc_id, regexp_replace(text, '(^|[^\p{L}\p{N}_])(license|licensed)([^\p{L}\p{N}_]|$)', '\1[PII]\3', 'gi') AS text FROM documents WHERE regexp_matches(text, 'licens', 'i')""")
