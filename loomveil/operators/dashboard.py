@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from loomveil.operators import insights as I
 from loomveil.operators import vectors as V
 from loomveil.operators.masking import TAG_PATTERN, number_rows, tag_counts, totals
+from loomveil.sources.snapshots import SnapshotTable
 
 # Filter keys, location codes, dashboard names of filters, words of a label that count for nothing.
 FILTER_KEYS = ["institution", "academic_year", "location", "programme", "study_mode", "cohort", "sector", "language"]
@@ -104,32 +106,37 @@ def versioned_key(theme: Column, filters: Column, version: Column) -> Column:
     return F.concat(I.cache_key(theme, filters), F.lit("::vectors="), version.cast("string"))
 
 
+# Fields that a cached insight must have to be shown.
+REQUIRED_FIELDS = ["frequency", "vector_relevant_count", "llm_document_count", "summary", "sentiments", "positive_comments", "critical_comments", "student_suggestions", "subthemes", "subtheme_mentions", "quotes"]
+CACHE_SETTINGS = ["cache_version", "llm_context_documents", "hierarchical_batch_documents", "reranker"]
+
+
+def valid_insight(settings: dict, optional: dict | None = None, required: list[str] | None = None) -> Column:
+    """Whether a cached row can be shown: it was made with the settings (all of CACHE_SETTINGS), and, of
+    optional ones such as llm_provider, llm_model and llm_generation_settings, with those that are not None, and
+    has all required fields.  Settings are compared null-safely; a struct of settings is a dict here."""
+    if set(settings) != set(CACHE_SETTINGS):
+        raise ValueError(f"settings are {CACHE_SETTINGS}")
+    lit = lambda v: F.struct(*(F.lit(x).alias(k) for k, x in v.items())) if isinstance(v, dict) else F.lit(v)
+    same = [F.col(k).eqNullSafe(lit(v)) for k, v in {**settings, **{k: v for k, v in (optional or {}).items() if v is not None}}.items()]
+    return reduce(lambda a, b: a & b, same + [F.col(c).isNotNull() for c in (REQUIRED_FIELDS if required is None else required)])
+
+
 class InsightCache:
-    """Insights in a table of (key, ...) rows; saving replaces rows with the same key."""
+    """Insights in a table of (key, ...) rows; saving replaces rows with the same key.  A save that stops half
+    way leaves the table as it was."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _fs(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+        self.table = SnapshotTable(spark, path, schema)
 
     def load(self) -> DataFrame:
-        fs, at = self._fs(self.path)
-        return self.spark.read.schema(self.schema).parquet(self.path) if fs.exists(at) else self.spark.createDataFrame([], self.schema)
+        return self.table.load()
 
     def save(self, rows: DataFrame) -> None:
-        """Written beside the table first, then put in its place."""
-        fresh = f"{self.path}-new"
-        names = self.load().columns
-        I.overlay([self.load(), rows.select(names)], "key").select(names).write.mode("overwrite").parquet(fresh)
-        fs, at = self._fs(self.path)
-        fs.delete(at, True)
-        fs.rename(self._fs(fresh)[1], at)
+        self.table.commit(lambda now: I.overlay([now, rows.select(now.columns)], "key"), "save")
 
     def clear(self) -> None:
-        fs, at = self._fs(self.path)
-        fs.delete(at, True)
+        self.table.commit(lambda now: now.limit(0), "clear")
 
 
 def masking_report(masked: DataFrame, checked: DataFrame, columns: list[str], key: str, samples: int = 5) -> DataFrame:

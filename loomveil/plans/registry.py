@@ -413,6 +413,21 @@ def theme_payloads(spark, sf_dir):
     return out.select("source", "document_count", "summary", F.size("positive_comments").alias("n_positive"), F.size("subtheme_mentions").alias("n_mentions"))
 
 
+@query("""WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1)
+SELECT doc_id AS key, (source = 'src0') IS TRUE AND lang = 'en' AND quality IS NOT NULL AS valid FROM documents LEFT JOIN l USING (doc_id)""")
+def cache_validity(spark, sf_dir):
+    """Cached insights, saved twice: first without the fields that labels give, then replaced where labels are
+    known.  source stands for the reranker, lang for the provider."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.lit(3).alias("cache_version"), F.lit(240).alias("llm_context_documents"), F.lit(60).alias("hierarchical_batch_documents"), F.col("source").alias("reranker"), F.col("lang").alias("llm_provider"))
+    quality = _t(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("key")).agg(F.max("quality").cast("string").alias("value"))
+    schema = ", ".join(["key bigint, cache_version int, llm_context_documents int, hierarchical_batch_documents int, reranker string, llm_provider string", *(f"{c} string" for c in D.REQUIRED_FIELDS)])
+    cache = D.InsightCache(spark, shared_path(spark, "insights"), schema)
+    cache.save(docs.select("*", *(F.lit(None).cast("string").alias(c) for c in D.REQUIRED_FIELDS)))
+    cache.save(docs.join(quality, "key").select(docs.columns + [F.col("value").alias(c) for c in D.REQUIRED_FIELDS]))
+    settings = {"cache_version": 3, "llm_context_documents": 240, "hierarchical_batch_documents": 60, "reranker": "src0"}
+    return cache.load().select("key", D.valid_insight(settings, {"llm_provider": "en", "llm_model": None}).alias("valid"))
+
+
 @query("""SELECT c.name AS "column", c.is_text, c.filled, c.records FROM (
  SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS name, unnest([false, true, true, true, false]) AS is_text,
  unnest([count(doc_id), count(*) FILTER (trim(text) <> ''), count(*) FILTER (trim(lang) <> ''), count(*) FILTER (trim(source) <> ''), count(n_chars)]) AS filled, count(*) AS records FROM documents) c""")
