@@ -33,52 +33,116 @@ def nearest(items: DataFrame, query: Sequence[float], k: int, key: str, vector:
     return kept.withColumn("distance", distance(F.col(vector), literal(query))).orderBy("distance", key).limit(k)
 
 
-def search(items: DataFrame, queries: DataFrame, k: int, key: str, query_key: str = "query_id", vector: str = "embedding", block: int = 256, max_queries: int = 4096) -> DataFrame:
-    """(query, item, distance, rank) of the k nearest items of each query.
-
-    The driver reads queries in parts of max_queries at most, one at a time, and each part runs against
-    all items; each task of items scores them in blocks and keeps its own best k a query, so at most
-    tasks x queries x k rows are shuffled."""
-    import itertools
-
-    kinds = {d.name: d.dataType.simpleString() for d in [items.schema[key], queries.schema[query_key]]}
-    rows = queries.select(query_key, "embedding").toLocalIterator()
-    local = _best_of(items, list(itertools.islice(rows, max_queries)), k, key, vector, block, kinds[query_key], kinds[key])
-    while part := list(itertools.islice(rows, max_queries)):
-        local = local.unionByName(_best_of(items, part, k, key, vector, block, kinds[query_key], kinds[key]))
+#: vectors of a block, and query blocks that meet an item block in one task
+BLOCK_ROWS = 2048
+GROUP_BLOCKS = 8
+
+
+def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(block, ids, data): vectors of BLOCK_ROWS rows at most as one matrix, made where the rows are read."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for n, batch in enumerate(batches):
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                ids = part.column(0)
+                data = np.array(part.column(1).to_pylist(), dtype=np.float64).tobytes()
+                listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                yield pa.RecordBatch.from_arrays([listed, pa.array([data], pa.binary())], names=["ids", "data"])
+
+    packed = rows.select(key, vector).where(F.col(vector).isNotNull() & F.col(key).isNotNull()).mapInArrow(run, f"ids array<{kind}>, data binary")
+    return packed.withColumn("block", F.xxhash64(F.col("ids")[0], F.size("ids")))
+
+
+def search(items: DataFrame, queries: DataFrame, k: int, key: str, query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
+    """(query, item, distance, rank) of the k nearest items of each query, ties by item.
+
+    Queries and items are packed to blocks of vectors, and blocks are dealt to the cells of a grid: a query
+    block goes to its row, an item block to its column, so each pair of blocks meets in one cell, by an
+    equi-join of cells.  A row of the grid holds some GROUP_BLOCKS query blocks, so items are copied once a row
+    and queries once a column, and neither is read by the driver.  A task scores pairs of blocks as they come
+    and keeps the best k a query of its cells; these are merged by query.  The plan is the same at every size."""
+    kinds = {c: d.schema[c].dataType.simpleString() for c, d in ((key, items), (query_key, queries))}
+    asked = _blocks(queries, query_key, "embedding" if "embedding" in queries.columns else vector)
+    rows = max(1, -(-asked.count() // GROUP_BLOCKS))
+    columns = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")) // rows)
+    left = asked.select(F.pmod("block", F.lit(rows)).alias("r"), F.col("ids").alias("q"), F.col("data").alias("qv")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    right = _blocks(items, key, vector).select(F.pmod("block", F.lit(columns)).alias("c"), F.col("ids").alias("i"), F.col("data").alias("iv")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    cell = (F.col("r") * columns + F.col("c")).cast("bigint").alias("cell")
+    met = left.select(cell, "q", "qv").join(right.select(cell, "i", "iv"), "cell").select("q", "qv", "i", "iv")
+    best = met.mapInArrow(_scorer(k), f"q {kinds[query_key]}, i {kinds[key]}, distance double")
     rank = Window.partitionBy("q").orderBy("distance", "i")
-    return local.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("i").alias(key), "distance", "rank")
+    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("i").alias(key), "distance", "rank")
 
 
-def _best_of(items: DataFrame, rows: list, k: int, key: str, vector: str, block: int, query_kind: str, item_kind: str) -> DataFrame:
-    """(q, i, distance) of the k nearest items of each query, in each task of items."""
+def _scorer(k: int):
     import heapq
 
     import numpy as np
     import pyarrow as pa
 
-    names = [r[0] for r in rows]
-    matrix = items.sparkSession.sparkContext.broadcast(np.array([r[1] for r in rows], dtype=np.float64))
-
     def run(batches):
-        best = [[] for _ in names]
+        best: dict = {}
+        kinds = None
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            if not len(x):
-                continue
-            for at in range(0, len(names), block):
-                d = 1.0 - x @ matrix.value[at : at + block].T
-                part = np.argpartition(d, min(k, len(x)) - 1, axis=0)[:k]
-                for j in range(d.shape[1]):
-                    edge = d[part[:, j], j].max()
-                    own = np.flatnonzero(d[:, j] <= edge)
-                    best[at + j] = heapq.nsmallest(k, best[at + j] + [(d[i, j], ids[i]) for i in own])
-        flat = [(names[q], i, v) for q, some in enumerate(best) for v, i in some]
-        if flat:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat)], names=["q", "i", "distance"])
-
-    return items.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"q {query_kind}, i {item_kind}, distance double")
+            kinds = [batch.schema.field(c).type.value_type for c in ("q", "i")]
+            for n in range(batch.num_rows):
+                q, i = batch.column(0)[n].as_py(), batch.column(2)[n].as_py()
+                a = np.frombuffer(batch.column(1)[n].as_py()).reshape(len(q), -1)
+                b = np.frombuffer(batch.column(3)[n].as_py()).reshape(len(i), -1)
+                for at in range(0, len(q), 256):
+                    d = 1.0 - a[at : at + 256] @ b.T
+                    part = np.partition(d, min(k, len(i)) - 1, axis=1)[:, min(k, len(i)) - 1]
+                    for j, edge in enumerate(part):
+                        own = [(d[j, x], i[x]) for x in np.flatnonzero(d[j] <= edge)]
+                        best[q[at + j]] = heapq.nsmallest(k, best.get(q[at + j], []) + own)
+        flat = [(q, i, v) for q, some in best.items() for v, i in some]
+        for at in range(0, len(flat), 1 << 16):
+            q, i, v = zip(*flat[at : at + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(q, kinds[0]), pa.array(i, kinds[1]), pa.array(v, pa.float64())], names=["q", "i", "distance"])
+
+    return run
+
+
+def postings(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(key, term, n, words, df): how often documents hold the terms (one column), their lengths, and in how
+    many documents each term stands.  Only postings of the terms are shuffled."""
+    split = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = docs.select(key, split.alias("w")).select(key, F.size("w").alias("words"), F.explode("w").alias("term"))
+    held = words.join(terms.toDF("term").distinct(), "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
+    return held.join(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+
+
+def bm25(candidates: DataFrame, docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str = "query_id", query_text: str = "query_text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, key, score) of candidate pairs: Okapi BM25 with statistics of all documents.  Pairs without a
+    common term are left out; a term counts once in a query, null texts have no words."""
+    split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    asked = queries.select(query_key, F.explode(F.array_distinct(split(F.col(query_text)))).alias("term"))
+    size = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.coalesce(F.size(split(F.col(text))), F.lit(0))).alias("mean"))  # one row
+    found = candidates.select(query_key, key).join(postings(docs, key, text, asked.select("term")), key).join(asked, [query_key, "term"])
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("words") / F.col("mean")))
+    return found.join(F.broadcast(size)).groupBy(query_key, key).agg(F.round(F.sum(weight), 9).alias("score"))
+
+
+def two_stage_search(docs: DataFrame, queries: DataFrame, k: int, key: str, text: str, vector: str = "embedding", query_key: str = "query_id", query_text: str = "query_text", reranker: bool = True) -> DataFrame:
+    """(query, id, key, preview, similarity, percentage, reranker_score, count, candidate_count) of each query
+    (query_key, query_text, embedding): the nearest candidates, five times k of them and 240 at most, ordered
+    anew by BM25, then by distance; k are kept.  Without a reranker they stay in order of distance."""
+    n = candidate_size(k, docs.count())
+    near = search(docs, queries, n, key, query_key, vector)
+    if reranker:
+        near = near.join(bm25(near, docs, queries, key, text, query_key, query_text), [query_key, key], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    else:
+        near = near.withColumn("score", F.lit(None).cast("double"))
+    own = Window.partitionBy(query_key)  # n rows at most
+    placed = near.withColumns({"id": F.row_number().over(own.orderBy(F.col("score").desc_nulls_last(), "rank")), "candidate_count": F.count(F.lit(1)).over(own)}).where(F.col("id") <= k)
+    shown = placed.join(docs.select(key, F.when(F.length(text) > 300, F.concat(F.substring(text, 1, 300), F.lit("..."))).otherwise(F.col(text)).alias("preview")), key)
+    return shown.select(query_key, "id", key, "preview", similarity(F.col("distance")).alias("similarity"), percentage(F.col("distance")).alias("percentage"), F.col("score").alias("reranker_score"), F.least("candidate_count", F.lit(k)).alias("count"), "candidate_count")
 
 
 def assign_themes(items: DataFrame, themes: Sequence[Sequence[float]], vector: str = "embedding") -> DataFrame:
@@ -109,6 +173,10 @@ def similarity(d: Column) -> Column:
     return F.bround(F.greatest(F.lit(0.0), 1 - d), 3)
 
 
+def percentage(d: Column) -> Column:
+    return F.bround(100 * F.greatest(F.lit(0.0), 1 - d), 1)
+
+
 def rerank(candidates: DataFrame, scores: DataFrame, on: list[str], n: int, query_key: str | None = None) -> DataFrame:
     """The best n candidates by an outside score, then by rank."""
     joined = candidates.join(scores, on, "left")

@@ -228,6 +228,28 @@ def batch_search_hundredth(spark, sf_dir):
     return V.search(items, queries, 10, "vec_id").withColumn("distance", F.round("distance", 6) + F.lit(0.0))
 
 
+_SPLIT = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH c AS (SELECT vec_id, embedding, text FROM embeddings JOIN documents ON vec_id = doc_id),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {_DIST} AS distance FROM c a, c b WHERE a.vec_id % 100 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p QUALIFY rank <= 25),
+w AS (SELECT vec_id, len({_SPLIT.format('text')}) AS words, unnest({_SPLIT.format('text')}) AS term FROM c),
+n AS (SELECT vec_id, term, words, count(*) AS n FROM w GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM n GROUP BY 1),
+s AS (SELECT count(*) AS docs, avg(len({_SPLIT.format('text')})) AS mean FROM c),
+q AS (SELECT vec_id AS query_id, unnest(list_distinct({_SPLIT.format('text')})) AS term FROM c WHERE vec_id % 100 = 0),
+r AS (SELECT k.query_id, k.vec_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * words / mean))), 9) AS score
+ FROM k JOIN n USING (vec_id) JOIN q ON q.query_id = k.query_id AND q.term = n.term JOIN f ON f.term = n.term, s GROUP BY 1, 2),
+o AS (SELECT query_id, vec_id, distance, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, rank) AS id, count(*) OVER (PARTITION BY query_id) AS candidate_count FROM k LEFT JOIN r USING (query_id, vec_id))
+SELECT query_id, CAST(id AS INT) AS id, vec_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS preview, round_even(greatest(0, 1 - distance), 3) AS similarity,
+ round_even(100 * greatest(0, 1 - distance), 1) AS percentage, round(score, 6) AS reranker_score, least(candidate_count, 5) AS count, candidate_count FROM o JOIN c USING (vec_id) WHERE id <= 5""")
+def two_stage_search(spark, sf_dir):
+    """Every item whose id is divisible by 100 as a query, with its whole text, against all items with a text."""
+    docs = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    queries = docs.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("text").alias("query_text"), "embedding")
+    return V.two_stage_search(docs, queries, 5, "vec_id", "text").withColumn("reranker_score", F.round("reranker_score", 6))
+
+
 _ASSIGNED = f"""d AS (SELECT b.vec_id AS vec_id, b.label AS label, a.vec_id AS theme_idx, {_DIST} AS distance FROM embeddings a, embeddings b WHERE a.vec_id < {N_THEMES}),
 assigned AS (SELECT vec_id, label, CAST(theme_idx AS INT) AS theme_idx, distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, theme_idx) = 1)"""
 
