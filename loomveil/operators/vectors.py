@@ -33,9 +33,8 @@ def nearest(items: DataFrame, query: Sequence[float], k: int, key: str, vector:
     return kept.withColumn("distance", distance(F.col(vector), literal(query))).orderBy("distance", key).limit(k)
 
 
-#: vectors of a block, and query blocks that meet an item block in one task
+#: vectors of a block at most
 BLOCK_ROWS = 2048
-GROUP_BLOCKS = 8
 
 
 def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -58,17 +57,17 @@ def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return packed.withColumn("block", F.xxhash64(F.col("ids")[0], F.size("ids")))
 
 
-def search(items: DataFrame, queries: DataFrame, k: int, key: str, query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
+def search(items: DataFrame, queries: DataFrame, k: int, key: str, query_key: str = "query_id", vector: str = "embedding", max_queries: int = 8 * BLOCK_ROWS) -> DataFrame:
     """(query, item, distance, rank) of the k nearest items of each query, ties by item.
 
     Queries and items are packed to blocks of vectors, and blocks are dealt to the cells of a grid: a query
     block goes to its row, an item block to its column, so each pair of blocks meets in one cell, by an
-    equi-join of cells.  A row of the grid holds some GROUP_BLOCKS query blocks, so items are copied once a row
+    equi-join of cells.  A row of the grid holds about max_queries queries, so items are copied once a row
     and queries once a column, and neither is read by the driver.  A task scores pairs of blocks as they come
     and keeps the best k a query of its cells; these are merged by query.  The plan is the same at every size."""
     kinds = {c: d.schema[c].dataType.simpleString() for c, d in ((key, items), (query_key, queries))}
     asked = _blocks(queries, query_key, "embedding" if "embedding" in queries.columns else vector)
-    rows = max(1, -(-asked.count() // GROUP_BLOCKS))
+    rows = max(1, -(-(asked.agg(F.sum(F.size("ids"))).first()[0] or 0) // max_queries))
     columns = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")) // rows)
     left = asked.select(F.pmod("block", F.lit(rows)).alias("r"), F.col("ids").alias("q"), F.col("data").alias("qv")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
     right = _blocks(items, key, vector).select(F.pmod("block", F.lit(columns)).alias("c"), F.col("ids").alias("i"), F.col("data").alias("iv")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
