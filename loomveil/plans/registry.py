@@ -16,6 +16,8 @@ from loomveil.functions.recognizers import PHONE
 from loomveil.operators import answers as A
 from loomveil.operators import dashboard as D
 from loomveil.operators import insights as I
+from loomveil.operators import layers as L
+from loomveil.operators import ledger as G
 from loomveil.operators import masking as M
 from loomveil.operators import vectors as V
 from loomveil.sources import tables as R
@@ -170,6 +172,44 @@ def language_vote(spark, sf_dir):
     return M.vote_language(_t(spark, sf_dir, "documents"), spark.createDataFrame(words, "word string, lang string"), "doc_id", "text")
 
 
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}''-]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+m AS (SELECT doc_id, i, CASE WHEN a = 'licensed' AND b = 'under' AND c = 'apache' THEN 'LICENSE' WHEN a = 'all' AND b = 'rights' AND c = 'reserved' THEN 'RIGHTS' WHEN a = 'licensed' THEN 'LICENSED' WHEN a = 'rights' THEN 'RIGHT' END AS entity FROM g),
+k AS (SELECT *, lag(CASE WHEN entity = 'RIGHTS' THEN i + 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS skip FROM m)
+SELECT doc_id, entity, count(*) AS n FROM k WHERE entity IS NOT NULL AND skip IS DISTINCT FROM i GROUP BY ALL""")
+def phrase_detections(spark, sf_dir):
+    """Phrases of a lexicon in all documents, the leftmost and longest of those that overlap."""
+    lexicon = spark.createDataFrame([("Licensed under Apache", "LICENSE", "PII"), ("All rights reserved", "RIGHTS", "PII"), ("licensed", "LICENSED", "PII"), ("rights", "RIGHT", "PII")], "term string, entity string, tag string")
+    spans = L.phrase_spans(_t(spark, sf_dir, "documents"), lexicon, "doc_id", "text")
+    return spans.select("doc_id", F.explode("spans.entity").alias("entity")).groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def detect_languages(spark, sf_dir):
+    """Languages by profiles of all documents; lang is what they are labelled as."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return docs.select("doc_id", F.col("lang").alias("labelled")).join(L.languages(docs, L.language_profiles(docs, "text", "lang"), "doc_id", "text"), "doc_id")
+
+
+@query(f"SELECT doc_id, CASE WHEN lang = 'en' THEN NULL ELSE {_MASKED} END AS text FROM documents")
+def mask_by_language(spark, sf_dir):
+    """Recognizers by the language of the row; of English rows, whose patterns SQL cannot follow, tests tell."""
+    out = L.mask_by_language(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["text"], "lang")
+    return out.select("doc_id", F.when(F.col("lang") != "en", F.col("text")).alias("text"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, text, regexp_extract(text, '^\S+') AS word FROM documents)
+SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND length(word) >= 2 AND NOT regexp_matches(word, '[0-9]')
+ THEN regexp_replace(text, '(?i)' || regexp_escape(word), '[HEALTH]', 'g') ELSE text END AS text FROM d""")
+def replace_detections(spark, sf_dir):
+    """Direct masking: the first word of toxic documents, which stands for a model's HEALTH detection, wherever it stands."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    toxic = _t(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit(True))
+    first = F.regexp_extract("text", r"^\S+", 0)
+    seen = F.when(F.col("toxic") & ~first.rlike("[0-9]"), F.array(F.struct(F.lit(0).alias("start"), F.length(first).alias("end"), F.lit("CONDITION").alias("label"))))
+    return docs.join(toxic, "doc_id", "left").select("doc_id", L.replace_direct(F.col("text"), seen).alias("text"))
+
+
 @query()
 def carry_forward_names(spark, sf_dir):
     docs = M.batches(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -284,6 +324,17 @@ def insight_batches(spark, sf_dir):
     return out.select("source", "batch_no", "n_docs", F.sha2("prompt", 256).alias("prompt_sha"))
 
 
+@query("""SELECT source AS theme, CAST(least(count(*), 240) AS BIGINT) AS n_docs, CAST(ceil(least(count(*), 240) / 60.0) AS BIGINT) AS n_batches, CAST(NULL AS VARCHAR) AS error FROM documents GROUP BY source""")
+def reduced_summaries(spark, sf_dir):
+    """A ledger of prompts for the documents of each source; the model's stand-in counts batches and adds counts up."""
+    ledger = G.Ledger(spark, shared_path(spark, "ledger"))
+    ledger.plan(_t(spark, sf_dir, "documents").select(F.col("source").alias("theme"), "doc_id", "n_chars", "text"), ["n_chars", "doc_id"])
+    total = F.aggregate(F.from_json(F.regexp_extract("prompt", r"(?s)\[.*\]", 0), "array<struct<n:bigint>>"), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    one = F.when(F.col("level") == 0, F.lit(1).cast("bigint")).otherwise(total)
+    ledger.run(lambda prompts: prompts.select("prompt_id", F.to_json(F.struct(one.alias("n"))).alias("reply"), F.lit(None).cast("string").alias("error")))
+    return ledger.results("n bigint").select("theme", "n_docs", F.col("parsed.n").alias("n_batches"), "error")
+
+
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
 def parse_replies(spark, sf_dir):
     events = _t(spark, sf_dir, "events").withColumn("reply", F.concat(F.lit("Here: "), "props", F.lit(" done")))
