@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomveil.llm import textops
-from loomveil.llm.shared import tidy
+from loomveil.llm.shared import free, tidy
 
 WINDOW = 10
 BLOCK_CHARS = 32_000_000
@@ -165,8 +165,12 @@ def judge_column(column, tests: TestSet, window: int = WINDOW):
         pairs = [np.zeros(0, dtype=np.int64)]
         for m, at in by_length.items():
             found = search_shard(words, w.ptr, tests, m, at)
-            np.add.at(edge, found.order, 1)
-            np.add.at(edge, found.order + m, -1)
+            inside = np.zeros(len(found.order) + 1, dtype=np.int64)
+            np.add.at(inside, found.lo, 1)
+            np.add.at(inside, found.hi, -1)
+            matched = found.order[np.cumsum(inside[:-1]) > 0]  # suffixes in the range of a test window
+            np.add.at(edge, matched, 1)
+            np.add.at(edge, matched + m, -1)
             for item, lo, hi in zip(item_of[found.at].tolist(), found.lo.tolist(), found.hi.tolist()):
                 pairs.append(np.unique(docs[found.order[lo:hi]]) * len(tests.ids) + item)
         hit = np.cumsum(edge[:-1]) > 0
@@ -195,17 +199,25 @@ def test_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     return blocks
 
 
-_PASS = [T.StructField("__words", T.LongType()), T.StructField("__hits", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))]
+_PASS = (("__words", T.LongType()), ("__hits", T.BinaryType()), ("__items", T.ArrayType(T.StringType())))
+
+
+def _pass_names(docs: DataFrame) -> list[str]:
+    """Names of what with_hits adds, none of them a column of docs."""
+    taken = [c.lower() for c in docs.columns]
+    return [free(name, taken) for name, _ in _PASS]
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with __words (number), __hits (a bit per word, or null) and __items (sorted item ids)."""
+    """docs with __words (number), __hits (a bit per word, or null) and __items (sorted item ids), each with
+    ``_`` added while docs has a column of that name."""
+    more = [T.StructField(name, kind) for name, (_, kind) in zip(_pass_names(docs), _PASS)]
     at = docs.columns.index(text_col)
     out = docs
     for block in test_blocks(benchmark, block_chars=block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)
         first = out is docs
-        schema = T.StructType([*docs.schema.fields, *_PASS])
+        schema = T.StructType([*docs.schema.fields, *more])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, schema=schema) -> Iterator[pa.RecordBatch]:
             tests = TestSet.of(shared.value)
@@ -249,7 +261,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of docs without a hit word, all columns as they were."""
-    return with_hits(docs, benchmark, text_col, window).where("__hits is null").drop("__words", "__hits", "__items")
+    names = _pass_names(docs)
+    return with_hits(docs, benchmark, text_col, window).where(F.col(names[1]).isNull()).drop(*names)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

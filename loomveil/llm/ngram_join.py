@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomveil.llm import textops
 from loomveil.llm.linking import FILTER_IDS, IdFilter, link
-from loomveil.llm.shared import discard, stash, tidy
+from loomveil.llm.shared import discard, free, stash, tidy
 
 COUNTER_BITS = 21
 COUNTERS = 1 << COUNTER_BITS
@@ -208,4 +208,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     again = stash(found.where(f"`{id_col}` is not null").groupBy(id_col).count().where("count > 1").select(id_col), "again")
     if again.isEmpty():
         return left
-    return left.join(again, id_col, "left_anti").select(docs.columns).unionByName(left.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates())
+    return left.join(again, id_col, "left_anti").select(docs.columns).unionByName(_distinct(left.join(again, id_col, "left_semi").select(docs.columns)))
+
+
+def _distinct(rows: DataFrame) -> DataFrame:
+    """Rows that are equal in every column once; columns with maps are compared by their JSON."""
+    maps = [f.name for f in rows.schema if "map<" in f.dataType.simpleString()]
+    if not maps:
+        return rows.dropDuplicates()
+    key = free("__maps", [c.lower() for c in rows.columns])
+    return rows.withColumn(key, F.to_json(F.struct(*maps))).dropDuplicates([c for c in rows.columns if c not in maps] + [key]).drop(key)

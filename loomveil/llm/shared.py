@@ -33,6 +33,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, with ``_`` added while it is taken (lower-case names)."""
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it: cuts the lineage, and lost
     executors cost no recomputation beyond it."""

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from loomveil.llm import textops
 from loomveil.llm.linking import FILTER_IDS, IdFilter, link
 from loomveil.llm.ngram_join import SIGS, exact_check, needed, parity_close
-from loomveil.llm.shared import discard, stash, tidy
+from loomveil.llm.shared import discard, free, stash, tidy
 
 
 @dataclass(frozen=True)
@@ -387,12 +387,6 @@ def cut_spans(text: str, found: list[dict]) -> tuple[str, int, int, list[int]]:
     return text, 0, 0, []
 
 
-def _free(name: str, taken: list[str]) -> str:
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings(), report: bool = False, chars_col: str | None = None) -> DataFrame:
     """docs with repeated passages cut out of their texts, all other columns as they were, but that
     chars_col becomes the length of texts that were cut; with report also n_removed_words,
@@ -405,10 +399,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     taken = [c.lower() for c in docs.columns]
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     chars_at = docs.columns.index(chars_col) if chars_col else None
-    names = [_free(n, taken) for n in ("n_removed_words", "n_removed_spans", "source_ids")]
+    names = [free(n, taken) for n in ("n_removed_words", "n_removed_spans", "source_ids")]
     extra = [T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.LongType(), T.ArrayType(T.LongType())))]
     schema = T.StructType([*docs.schema.fields, *extra])
-    listed = _free("spans", taken)
+    listed = free("spans", taken)
 
     def picked(passing: bool):
         @tidy
