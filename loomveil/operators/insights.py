@@ -132,6 +132,12 @@ def pair_difference(rows: DataFrame, group: str, left, right, key: str, value: s
     return a.join(b, key).withColumns({"gap": gap, "significant": gap >= least})
 
 
+def pair_comparison(rows: DataFrame, group: str, left, right, key: str, value: str, least: float = 0.4) -> DataFrame:
+    """pair_difference with the place of each metric by its gap, and whether it is the largest; few metrics."""
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("gap"), key))
+    return pair_difference(rows, group, left, right, key, value, least).withColumn("place", place).withColumn("largest", F.col("place") == 1)
+
+
 def merge_cards(cards: DataFrame, live: DataFrame, key: str) -> DataFrame:
     """Cards with live values over their own, and live rows without a card."""
     both = [c for c in live.columns if c != key and c in cards.columns]

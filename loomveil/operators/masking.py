@@ -204,6 +204,16 @@ def changed_cells(original: DataFrame, masked: DataFrame, key: str, text: str) -
     return both.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def change_summary(before_after: DataFrame, key: str, first: int = 30) -> DataFrame:
+    """One row: cells, changed_cells, rows, changed_rows and the first changes by key, of (key, column, before,
+    after); the first ones are the feature.  Keys name rows, not cells."""
+    changed = ~F.col("before").eqNullSafe(F.col("after"))
+    by_row = before_after.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(changed).alias("c"))
+    counts = by_row.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells"), F.coalesce(F.sum("c"), F.lit(0)).alias("changed_cells"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("c") > 0).alias("changed_rows"))
+    shown = before_after.where(changed).orderBy(key, "column").limit(first).agg(F.array_sort(F.collect_list(F.struct(key, "column", "before", "after"))).alias("first"))
+    return counts.join(F.broadcast(shown))  # one row each
+
+
 def sample_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Exactly n rows (or all), the same for a seed; the sampling is the feature."""
     return df.orderBy(F.rand(seed)).limit(n)

@@ -193,3 +193,16 @@ def token_overlap(query: str, text: Column) -> Column:
 
 def theme_query_text(theme: Column, definition: Column) -> Column:
     return F.concat_ws(". ", theme, definition)
+
+
+def theme_documents(assigned: DataFrame, theme: int, n_themes: int, key: str) -> DataFrame:
+    """(rank, key, ..., distance, similarity, percentage, frequency, share, total) of the documents of a theme, the nearest first:
+    frequency and share (whole percents that sum to 100 over themes) are the theme's, total is that of all themes.
+
+    Ranks are dense row numbers by ranges, so a theme of any size is sorted by many tasks."""
+    from loomveil.operators.masking import number_rows
+
+    counts = largest_remainder(theme_counts(assigned, n_themes))
+    own = counts.select("theme_idx", F.col("n").alias("frequency"), F.col("percentage").alias("share"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total")).where(F.col("theme_idx") == theme)
+    ranked = number_rows(assigned.where(F.col("theme_idx") == theme), ["distance", key], "rank").withColumn("rank", F.col("rank") + 1)
+    return ranked.join(F.broadcast(own), "theme_idx").withColumns({"similarity": similarity(F.col("distance")), "percentage": percentage(F.col("distance"))})  # one row

@@ -390,6 +390,35 @@ def pair_difference(spark, sf_dir):
     return I.pair_difference(rows, "g", "BUILDING", "MACHINERY", "k", "v").select("k", F.round("gap", 4).alias("gap"), "significant")
 
 
+@query("""WITH m AS (SELECT n_nationkey AS k, c_mktsegment AS g, avg(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+d AS (SELECT CAST(a.k AS BIGINT) AS k, abs(a.v - b.v) AS gap FROM m a JOIN m b ON a.k = b.k AND a.g = 'BUILDING' AND b.g = 'MACHINERY')
+SELECT k, round(gap, 4) AS gap, CAST(row_number() OVER (ORDER BY gap DESC, k) AS INT) AS place, row_number() OVER (ORDER BY gap DESC, k) = 1 AS largest FROM d""")
+def pair_comparison(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("k"), F.col("c_mktsegment").alias("g")).agg(F.avg("c_acctbal").alias("v"))
+    return I.pair_comparison(rows, "g", "BUILDING", "MACHINERY", "k", "v").select("k", F.round("gap", 4).alias("gap"), "place", "largest")
+
+
+@query(f"""WITH {_ASSIGNED}, c AS (SELECT t.i AS theme_idx, count(vec_id) AS n FROM range({N_THEMES}) t(i) LEFT JOIN assigned ON theme_idx = t.i GROUP BY 1),
+f AS (SELECT *, CAST(sum(n) OVER () AS BIGINT) AS total, CAST(floor(100.0 * n / sum(n) OVER ()) AS BIGINT) AS fl, (100 * n) % CAST(sum(n) OVER () AS BIGINT) AS m FROM c),
+s AS (SELECT theme_idx, n AS frequency, total, fl + CASE WHEN row_number() OVER (ORDER BY m DESC, n DESC, theme_idx) <= 100 - CAST(sum(fl) OVER () AS BIGINT) THEN 1 ELSE 0 END AS share FROM f)
+SELECT row_number() OVER (ORDER BY distance, vec_id) AS rank, vec_id, round_even(greatest(0, 1 - distance), 3) AS similarity, round_even(100 * greatest(0, 1 - distance), 1) AS percentage, frequency, share, total
+FROM assigned JOIN s ON s.theme_idx = assigned.theme_idx WHERE assigned.theme_idx = 2""")
+def theme_report(spark, sf_dir):
+    out = V.theme_documents(_assigned(spark, sf_dir), 2, N_THEMES, "vec_id")
+    return out.select("rank", "vec_id", "similarity", "percentage", "frequency", "share", "total")
+
+
+@query(f"""WITH b AS (SELECT doc_id, 'text' AS "column", text AS before, {_MASKED} AS after FROM documents UNION ALL SELECT doc_id, 'source', source, source FROM documents),
+f AS (SELECT string_agg(doc_id || ':' || "column", ',' ORDER BY doc_id, "column") AS first FROM (SELECT * FROM b WHERE before <> after ORDER BY doc_id, "column" LIMIT 30))
+SELECT count(*) AS cells, count(*) FILTER (before <> after) AS changed_cells, count(DISTINCT doc_id) AS rows, count(DISTINCT doc_id) FILTER (before <> after) AS changed_rows, coalesce(any_value(first), '') AS first FROM b, f""")
+def change_summary(spark, sf_dir):
+    both = _t(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("before"), F.col("text").alias("after"))
+    masked = M.mask_columns(both, ["after"], entities=ENTITIES)
+    cells = F.array(F.struct(F.lit("text").alias("column"), "before", "after"), F.struct(F.lit("source").alias("column"), F.col("source").alias("before"), F.col("source").alias("after")))
+    out = M.change_summary(masked.select("doc_id", F.explode(cells).alias("c")).select("doc_id", "c.*"), "doc_id")
+    return out.withColumn("first", F.array_join(F.transform("first", lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["column"])), ","))
+
+
 @query("""SELECT c_custkey, CASE WHEN c_acctbal / 100 >= 65 THEN 'positive' WHEN c_acctbal / 100 <= 38 THEN 'critical' ELSE 'neutral' END AS band,
 CASE WHEN c_acctbal / 100 >= 75 THEN 'very positive' WHEN c_acctbal / 100 >= 60 THEN 'positive' WHEN c_acctbal / 100 >= 45 THEN 'neutral' WHEN c_acctbal / 100 >= 30 THEN 'negative' ELSE 'very negative' END AS label FROM customer""")
 def sentiment_bands(spark, sf_dir):
