@@ -94,6 +94,35 @@ def theme_payloads(parsed: DataFrame, counts: DataFrame, mentions: DataFrame, th
     )
 
 
+#: fixed values: summaries of themes without documents, and without a reply that could be read
+NO_DOCUMENTS, NO_REPLY = "No responses were semantically assigned to this theme.", "Summary could not be parsed."
+
+
+def insight_payloads(selected: DataFrame, parsed: DataFrame, mentions: DataFrame, quotes: DataFrame, theme: str, settings: dict, filters: dict[str, str]) -> DataFrame:
+    """One row a theme with all that a dashboard shows and a cache needs.
+
+    selected is (theme, frequency, document_count, vector_relevant_count, total_filtered_documents,
+    llm_document_count); parsed is (theme, summary, sentiments, positive_comments, critical_comments,
+    student_suggestions, subthemes); mentions is (theme, subtheme, mentions, doc_percentage, percentage) and
+    comes out in the order of subthemes; quotes is (theme, rn, text) of the documents that were read, whose
+    number number_batches bounds.  Themes without documents have empty lists."""
+    none = F.array().cast("array<string>")
+    three = lambda c: F.slice(F.coalesce(c, none), 1, PAYLOAD_ITEMS).alias(c)
+    row = F.struct("subtheme", "mentions", "doc_percentage", "percentage")
+    by_label = mentions.groupBy(theme).agg(F.map_from_entries(F.collect_list(F.struct("subtheme", row.alias("row")))).alias("__rows"))
+    read = quotes.groupBy(theme).agg(F.array_sort(F.collect_list(F.struct("rn", "text"))).alias("__read"))
+    out = selected.join(parsed, theme, "left").join(by_label, theme, "left").join(read, theme, "left")
+    listed = F.transform(F.filter("subthemes", lambda x: F.map_contains_key("__rows", x)), lambda x: F.try_element_at("__rows", x))
+    empty = F.array().cast(f"array<{by_label.schema['__rows'].dataType.valueType.simpleString()}>")
+    filled = F.create_map(*(F.lit(x) for kv in sorted(filters.items()) for x in kv)) if filters else F.create_map().cast("map<string,string>")
+    return out.select(
+        *selected.columns, F.col("llm_document_count").alias("hierarchical_document_count"), F.when(F.col("document_count") == 0, NO_DOCUMENTS).otherwise(F.coalesce("summary", F.lit(NO_REPLY))).alias("summary"),
+        F.coalesce("sentiments", F.array().cast(parsed.schema["sentiments"].dataType)).alias("sentiments"), three("positive_comments"), three("critical_comments"), three("student_suggestions"),
+        F.coalesce("subthemes", none).alias("subthemes"), F.coalesce(listed, empty).alias("subtheme_mentions"), F.coalesce(F.transform("__read", lambda q: q["text"]), none).alias("quotes"),
+        filled.alias("filters_applied"), *(F.lit(v).alias(k) for k, v in settings.items()),
+    )
+
+
 def theme_prompts(assigned: DataFrame, theme: str, key: str, text: str, head: str, cached: DataFrame | None = None, size: int = I.BATCH_DOCS, cap: int | None = I.MAX_DOCS) -> DataFrame:
     """Prompts of the batches of all themes that are not cached, nearest documents first.  A theme that
     fails later is a row without a reply and stops no other."""
@@ -154,6 +183,25 @@ def review_report(reviewed: DataFrame, by: str) -> DataFrame:
     return reviewed.orderBy(F.desc("fp_rate"), by).select(F.format_string("%s: %d of %d false (%.1f %%)", F.col(by), "fp", F.col("tp") + F.col("fp"), "fp_rate").alias("line"))
 
 
+def review_summary(results: DataFrame, rows: int) -> DataFrame:
+    """One row of a review's results (row, column, text, entity, verdict: TP, FP or null for a reply that could
+    not be read) over so many sampled rows."""
+    tp, fp = F.count_if(F.col("verdict") == "TP"), F.count_if(F.col("verdict") == "FP")
+    cells = results.groupBy("row", "column").agg(tp.alias("tp"), fp.alias("fp"), F.count_if(F.col("verdict").isNull()).alias("errors"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = cells.agg(F.count(F.lit(1)).alias("cells_with_entities"), total("tp").alias("true_positives"), total("fp").alias("false_positives"), total("errors").alias("parse_errors"))
+    checked = F.col("true_positives") + F.col("false_positives")
+    rate = F.coalesce(F.round(100 * F.col("false_positives") / F.nullif(checked, F.lit(0)), 1), F.lit(0.0))
+    return out.withColumns({"rows_sampled": F.lit(rows), "false_positive_rate_pct": rate})
+
+
+def review_details(results: DataFrame) -> DataFrame:
+    """(row, column, text_snippet, entities_detected, results): a row a cell, entities in their order."""
+    one = F.struct("entity", "verdict")
+    cells = results.groupBy("row", "column").agg(F.first(F.substring("text", 1, 120)).alias("text_snippet"), F.count(F.lit(1)).alias("entities_detected"), F.array_sort(F.collect_list(one)).alias("results"))
+    return cells.select("row", "column", "text_snippet", "entities_detected", "results")
+
+
 def column_preview(df: DataFrame, order: str, rows: int = 3) -> DataFrame:
     """(row, column, value) of the first rows, blanks and NaN as null."""
     columns = [c for c in df.columns if c != order]

@@ -548,3 +548,48 @@ SELECT lang || ': ' || fp || ' of ' || (tp + fp) || ' false (' || printf('%.1f',
 def review_report(spark, sf_dir):
     verdicts = _t(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "FP").otherwise("TP").alias("verdict"))
     return D.review_report(M.review(verdicts.join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"), ["lang"]), "lang")
+
+
+_RESULTS = """r AS (SELECT doc_id AS "row", text, unnest(['quality', 'toxic']) AS entity, unnest([CASE quality WHEN 1 THEN 'TP' WHEN 0 THEN 'FP' END, CASE toxic WHEN 0 THEN 'TP' ELSE NULL END]) AS verdict FROM labels JOIN documents USING (doc_id))"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as a review of documents: quality 0 is a false positive, and toxic 1 a reply that cannot be read."""
+    both = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    of = lambda name, verdict: F.struct(F.lit(name).alias("entity"), verdict.alias("verdict"))
+    pair = F.array(of("quality", F.when(F.col("quality") == 1, "TP").when(F.col("quality") == 0, "FP")), of("toxic", F.when(F.col("toxic") == 0, "TP")))
+    return both.select(F.col("doc_id").alias("row"), F.lit("text").alias("column"), "text", F.explode(pair).alias("p")).select("row", "column", "text", "p.entity", "p.verdict")
+
+
+@query(f"""WITH {_RESULTS} SELECT count(DISTINCT "row") AS cells_with_entities, count(*) FILTER (verdict = 'TP') AS true_positives, count(*) FILTER (verdict = 'FP') AS false_positives, count(*) FILTER (verdict IS NULL) AS parse_errors,
+ CAST((SELECT count(*) FROM labels) AS INT) AS rows_sampled, round(100.0 * count(*) FILTER (verdict = 'FP') / count(*) FILTER (verdict IS NOT NULL), 1) AS false_positive_rate_pct FROM r""")
+def review_summary(spark, sf_dir):
+    return D.review_summary(_results(spark, sf_dir), _t(spark, sf_dir, "labels").count())
+
+
+@query(f"""WITH {_RESULTS} SELECT "row", 'text' AS "column", any_value(substr(text, 1, 120)) AS text_snippet, count(*) AS entities_detected, string_agg(entity || ':' || coalesce(verdict, '?'), ',' ORDER BY entity, verdict NULLS FIRST) AS results FROM r GROUP BY "row" """)
+def review_details(spark, sf_dir):
+    return D.review_details(_results(spark, sf_dir)).withColumn("results", F.array_join(F.transform("results", lambda r: F.concat(r["entity"], F.lit(":"), F.coalesce(r["verdict"], F.lit("?")))), ","))
+
+
+@query("""WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), p AS (SELECT source, arg_min(lang, doc_id) AS lang, arg_min(text, doc_id) AS text, min(doc_id) AS first FROM documents GROUP BY 1),
+m AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2),
+q AS (SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY n_chars, doc_id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rn FROM documents) WHERE rn <= 240 GROUP BY 1)
+SELECT source AS theme, s.n AS document_count, least(s.n, 240) AS llm_document_count, CASE WHEN first % 2 = 0 THEN p.lang ELSE 'Summary could not be parsed.' END AS summary,
+ CASE WHEN first % 2 = 0 THEN array_to_string(string_split(p.text, ' ')[1:3], ' ') ELSE '' END AS positive,
+ CASE WHEN first % 2 = 0 THEN (SELECT string_agg(m.lang || ':' || m.n, ',' ORDER BY m.lang DESC) FROM m WHERE m.source = s.source) ELSE '' END AS mentions, ids AS quotes, 'lang' AS filter, 3 AS cache_version
+FROM s JOIN p USING (source) JOIN q USING (source)""")
+def insight_payloads(spark, sf_dir):
+    """Payloads of sources as themes; the first document stands for a reply, languages for subthemes, ids for quotes."""
+    docs = _t(spark, sf_dir, "documents").withColumnRenamed("source", "theme")
+    n = F.count(F.lit(1))
+    selected = docs.groupBy("theme").agg(n.alias("frequency"), n.alias("document_count"), n.alias("vector_relevant_count"), n.alias("total_filtered_documents"), F.least(n, F.lit(240)).alias("llm_document_count"))
+    none = F.array().cast("array<string>")
+    labels = docs.groupBy("theme").agg(F.reverse(F.array_sort(F.collect_set("lang"))).alias("subthemes"))
+    first = docs.groupBy("theme").agg(F.min_by(F.struct("doc_id", "lang", "text"), "doc_id").alias("d")).where("d.doc_id % 2 = 0").join(labels, "theme")
+    parsed = first.select("theme", F.col("d.lang").alias("summary"), none.alias("sentiments"), F.split("d.text", " ").alias("positive_comments"), none.alias("critical_comments"), none.alias("student_suggestions"), "subthemes")
+    mentions = docs.groupBy("theme", F.col("lang").alias("subtheme")).agg(n.alias("mentions"), F.lit(0).alias("doc_percentage"), F.lit(0).alias("percentage"))
+    quotes = I.number_batches(docs.select("theme", "doc_id", "n_chars"), "theme", ["n_chars", "doc_id"]).select("theme", "rn", F.col("doc_id").cast("string").alias("text"))
+    out = D.insight_payloads(selected, parsed, mentions, quotes, "theme", {"cache_version": 3}, {"language": "lang"})
+    said = F.array_join(F.transform("subtheme_mentions", lambda m: F.concat(m["subtheme"], F.lit(":"), m["mentions"].cast("string"))), ",")
+    return out.select("theme", "document_count", "llm_document_count", "summary", F.array_join("positive_comments", " ").alias("positive"), said.alias("mentions"), F.array_join("quotes", ",").alias("quotes"), F.col("filters_applied")["language"].alias("filter"), "cache_version")
