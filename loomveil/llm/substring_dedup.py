@@ -14,6 +14,8 @@ Two kinds of paragraphs are looked for in words (ASCII lower case):
   single earlier document holds in such a window stay.
 
 Of each cluster, or window, the document with the smallest id keeps its text; all others lose it.
+Clusters come first: a paragraph that goes as a near copy may have words of its own, so a window that
+touches it is no source, and documents that quote such words keep them.
 Repeats inside one document stay.
 
 Equal paragraphs are collapsed before the bands meet, buckets are handled by ``linking.link``, and
@@ -32,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +53,11 @@ class Settings:
     min_words: int = 30
     min_run: int = 45
     anchor: int = 12
+    #: runs whose anchor stands in more places than this are joined by salted keys
+    hot: int = 10_000
+
+
+_SALTS = 32
 
 
 def tune_bands(threshold: float, recall: float, most: int = 48) -> tuple[int, int]:
@@ -205,102 +213,188 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-_DEALT = "bucket int, hashes array<bigint>, at array<int>, n array<int>, ids array<bigint>, prints array<bigint>"
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before in any column; the first does."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
+
+
+def _runs(w: textops.Words, h: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of min_run words start, and the least anchor of each."""
+    at = textops.gram_positions(w.ptr, s.min_run)
+    return at, _least(textops.grams(h, s.anchor), s.min_run - s.anchor + 1)[at] if len(at) else np.zeros(0, dtype=np.uint64)
 
 
-def _dealt(docs: DataFrame, s: Settings, parts: int, wanted=None) -> DataFrame:
-    """Runs of min_run words whose least anchor is in wanted, or without wanted the least anchors, packed by
-    bucket and dealt out: of each row, hashes and places, and how many of them are of which document."""
+def anchor_table(docs: DataFrame, s: Settings) -> DataFrame:
+    """(hash, id) of the least anchors of the runs of rows (id, text), once for neighbouring runs."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, _, w in _blocks(batch.column(1)):
-                at = textops.gram_positions(w.ptr, s.min_run)
-                if not len(at):
-                    continue
-                h, doc = w.hashes(), w.doc_of()[at]
-                key = _least(textops.grams(h, s.anchor), s.min_run - s.anchor + 1)[at]
-                if wanted is None:
-                    keep = np.ones(len(at), dtype=bool)
-                    keep[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                    key = key[keep]
-                else:
-                    keep = wanted.value(key.view(np.int64))
-                    key = textops.span_hashes(h, at[keep], at[keep] + s.min_run)
-                at, doc = at[keep], doc[keep]
-                if not len(at):
-                    continue
+                at, key = _runs(w, w.hashes(), s)
+                if len(at):
+                    doc = w.doc_of()[at]
+                    new = _changes(key, doc)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), batch.column(0).take(pa.array(doc[new] + first))], names=["hash", "id"])
+
+    return docs.select("id", "text").mapInArrow(run, "hash bigint, id bigint")
+
+
+def _rows_of(docs: DataFrame, id_at: int, wanted, passing: bool) -> DataFrame:
+    """The rows whose id passes the filter, or all others."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(id_at).cast(pa.int64())
+            may = wanted.value(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(may if passing else ~may))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+_GONE = "array<struct<at: int, n: int, hash: bigint>>"
+
+
+def _with_gone(docs: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """Rows (id, text) with the list that gone (id, gone) has for them; texts without one are not shuffled,
+    unless ids are too many for a filter."""
+    none = F.lit(None).cast(_GONE).alias("gone")
+    n = gone.count() if gone is not None else 0
+    if not n:
+        return docs.select("id", "text", none)
+    if n > FILTER_IDS:
+        return docs.join(gone, "id", "left").select("id", "text", "gone")
+    wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(gone.select("id")))
+    hit = _rows_of(docs, 0, wanted, True).join(gone, "id", "left").select("id", "text", "gone")
+    return hit.unionByName(_rows_of(docs, 0, wanted, False).select("id", "text", none))
+
+
+def _sound(w: textops.Words, h: np.ndarray, at: np.ndarray, gone: pa.Array, s: Settings) -> np.ndarray:
+    """Whether runs keep clear of the spans of gone that are found in their texts."""
+    own, n = gone.flatten(), pc.fill_null(pc.list_value_length(gone), 0).to_numpy()
+    start = np.repeat(w.ptr[:-1], n) + own.field(0).to_numpy(zero_copy_only=False)
+    end = start + own.field(1).to_numpy(zero_copy_only=False)
+    fits = end <= np.repeat(w.ptr[1:], n)
+    start, end = start[fits], end[fits]
+    same = textops.span_hashes(h, start, end).view(np.int64) == own.field(2).to_numpy(zero_copy_only=False)[fits]
+    edge = np.zeros(len(h) + 1, dtype=np.int64)
+    np.add.at(edge, start[same], 1)
+    np.add.at(edge, end[same], -1)
+    lost = np.append(0, np.cumsum(np.cumsum(edge[:-1]) > 0))
+    return lost[at + s.min_run] == lost[at]
+
+
+def _places(batch: pa.RecordBatch, s: Settings, passes) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, document, place, sound) of the runs of a batch (id, text, gone) whose least anchor passes,
+    with (id, print) of its documents."""
+    ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+    for first, _, w in _blocks(batch.column(1)):
+        h = w.hashes()
+        at, key = _runs(w, h, s)
+        at = at[passes(key.view(np.int64))]
+        if len(at):
+            docs = np.arange(len(w.ptr) - 1)
+            prints = textops.span_hashes(h, w.ptr[:-1], w.ptr[1:]).view(np.int64)
+            doc = w.doc_of()[at]
+            sound = _sound(w, h, at, lists.slice(first, len(docs)), s)
+            yield textops.span_hashes(h, at, at + s.min_run), doc, (at - w.ptr[doc]).astype(np.int32), sound, ids[first + docs], prints
+
+
+_DEALT = "bucket int, hashes array<bigint>, at array<int>, sound array<tinyint>, n array<int>, ids array<bigint>, prints array<bigint>"
+_LOST = "bucket int, at array<int>, n array<int>, ids array<bigint>, prints array<bigint>, sources array<bigint>"
+
+
+def _bounds(bucket: np.ndarray, *owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of places in order of bucket and owner: first place of each bucket, of each owner, and the bounds
+    of the lists of places and of owners."""
+    rows, heads = np.flatnonzero(_changes(bucket)), np.flatnonzero(_changes(bucket, *owner))
+    return rows, heads, np.append(rows, len(bucket)), np.append(np.searchsorted(heads, rows), len(heads))
+
+
+def _dealt(docs: DataFrame, s: Settings, parts: int, wanted, hot) -> DataFrame:
+    """Runs of min_run words whose least anchor is in wanted and not in hot, packed by bucket and dealt out:
+    of each row, hashes and places, and how many of them are of which document."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = (lambda key: wanted.value(key) & ~hot.value(key)) if hot else wanted.value
+        for batch in batches:
+            for key, doc, at, sound, ids, prints in _places(batch, s, passes):
                 bucket = (textops.mix(key) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                key, at, doc, bucket = key[order], at[order], doc[order], bucket[order]
-                new = np.ones(len(at), dtype=bool)
-                new[1:] = bucket[1:] != bucket[:-1]
-                rows, own = np.flatnonzero(new), new.copy()
-                own[1:] |= doc[1:] != doc[:-1]
-                heads = np.flatnonzero(own)
+                key, doc, at, sound, bucket = (x[order] for x in (key, doc, at, sound, bucket))
+                rows, heads, bounds, groups = _bounds(bucket, doc)
                 owner = doc[heads]
-                bounds, groups = np.append(rows, len(at)), np.append(np.searchsorted(heads, rows), len(heads))
-                prints = textops.span_hashes(h, w.ptr[owner], w.ptr[owner + 1]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[rows].astype(np.int32)), textops.list_array(key.view(np.int64), bounds), textops.list_array((at - w.ptr[doc]).astype(np.int32), bounds), textops.list_array(np.diff(np.append(heads, len(at))).astype(np.int32), groups), textops.list_array(ids[first + owner], groups), textops.list_array(prints, groups)],
-                    names=["bucket", "hashes", "at", "n", "ids", "prints"],
+                    [pa.array(bucket[rows].astype(np.int32)), textops.list_array(key.view(np.int64), bounds), textops.list_array(at, bounds), textops.list_array(sound.astype(np.int8), bounds), textops.list_array(np.diff(np.append(heads, len(at))).astype(np.int32), groups), textops.list_array(ids[owner], groups), textops.list_array(prints[owner], groups)],
+                    names=["bucket", "hashes", "at", "sound", "n", "ids", "prints"],
                 )
 
-    return docs.where("id is not null").mapInArrow(run, _DEALT).repartition(parts, "bucket")
+    return docs.mapInArrow(run, _DEALT).repartition(parts, "bucket")
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-    """(hash, id, at, print) of the rows of a task of _dealt, ordered by hash and id."""
-    held: list[list[np.ndarray]] = [[], [], [], []]
-    for batch in batches:
-        key, at, n, ids, prints = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("hashes", "at", "n", "ids", "prints"))
-        for part, values in zip(held, (key, np.repeat(ids, n), at, np.repeat(prints, n))):
-            part.append(values.copy())
-    if not held[0]:
-        return [np.zeros(0, dtype=np.int64)] * 4
-    key, ids, at, prints = (np.concatenate(part) for part in held)
-    order = np.lexsort((ids, key))
-    return [key[order], ids[order], at[order], prints[order]]
+def _packed(ids: np.ndarray, prints: np.ndarray, source: np.ndarray, at: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Lost places as rows of _LOST: one for each bucket of documents, whatever the number of places."""
+    bucket = (textops.mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((at, source, prints, ids, bucket))
+    bucket, ids, prints, source, at = (x[order] for x in (bucket, ids, prints, source, at))
+    rows, heads, bounds, groups = _bounds(bucket, ids, prints, source)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[rows].astype(np.int32)), textops.list_array(at.astype(np.int32), bounds), textops.list_array(np.diff(np.append(heads, len(at))).astype(np.int32), groups), *(textops.list_array(x[heads], groups) for x in (ids, prints, source))],
+        names=["bucket", "at", "n", "ids", "prints", "sources"],
+    )
 
 
-def _changes(*columns: np.ndarray) -> np.ndarray:
-    """Whether a row differs from the one before in any column; the first does."""
-    out = np.ones(len(columns[0]), dtype=bool)
-    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    return out
+def _hot_losses(docs: DataFrame, s: Settings, parts: int, hot) -> DataFrame:
+    """Lost places of the runs whose least anchor is in hot: sources come from a partial aggregation, and
+    places meet them in a salted join, so that a run that all documents hold is no task's burden."""
 
-
-def verbatim_spans(docs: DataFrame, s: Settings) -> DataFrame:
-    """(id, at, n, hash, kind, source) of the spans of rows (id, text) that consist of runs of min_run words
-    that an earlier document holds; hash is that of the whole text."""
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, doc, at, sound, ids, prints in _places(batch, s, hot.value):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(prints[doc]), pa.array(at), pa.array(sound)], names=["hash", "id", "print", "at", "sound"])
 
     @tidy
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, _, _ = _gathered(batches)
-        several = (key[1:] == key[:-1]) & (ids[1:] != ids[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[1:][several]))], names=["hash"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _packed(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "print", "source", "at")), parts)
+
+    places = stash(docs.mapInArrow(run, "hash bigint, id bigint, print bigint, at int, sound boolean"), "hot_places")
+    sources = places.groupBy("hash").agg(F.min(F.when(F.col("sound"), F.col("id"))).alias("source"), F.max("id").alias("hi")).where("hi > source")
+    salted = sources.select("hash", "source", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    lost = places.withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.lit(_SALTS)).cast("int")).join(salted, ["hash", "salt"]).where("id > source")
+    return lost.select("id", "print", "source", "at").mapInArrow(pack, _LOST)
+
+
+def verbatim_spans(docs: DataFrame, s: Settings, gone: DataFrame | None = None) -> DataFrame:
+    """(id, at, n, hash, kind, source) of the spans of rows (id, text) that consist of runs of min_run words
+    that an earlier document holds and keeps; hash is that of the whole text.  gone (id, gone) lists spans that
+    documents lose and that stand nowhere else word for word: a run that touches one is nobody's source."""
 
     @tidy
     def losing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, at, prints = _gathered(batches)
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = key[1:] != key[:-1]
-        source = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else ids
+        held: list[list[np.ndarray]] = [[], [], [], [], []]
+        for batch in batches:
+            key, at, sound, n, ids, prints = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("hashes", "at", "sound", "n", "ids", "prints"))
+            for part, values in zip(held, (key, np.repeat(ids, n), at, np.repeat(prints, n), sound == 0)):
+                part.append(values.copy())
+        if not held[0]:
+            return
+        key, ids, at, prints, unsound = (np.concatenate(part) for part in held)
+        held.clear()
+        order = np.lexsort((ids, unsound, key))
+        key, ids, at, prints, unsound = (x[order] for x in (key, ids, at, prints, unsound))
+        new = _changes(key)
+        least = np.where(unsound[new], np.iinfo(np.int64).max, ids[new])
+        source = least[np.cumsum(new) - 1]
         lost = np.flatnonzero(ids > source)
-        ids, prints, source, at = ids[lost], prints[lost], source[lost], at[lost]
-        bucket = (textops.mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((at, source, prints, ids, bucket))
-        bucket, ids, prints, source, at = (x[order] for x in (bucket, ids, prints, source, at))
-        row, own = _changes(bucket), _changes(bucket, ids, prints, source)
-        rows, heads = np.flatnonzero(row), np.flatnonzero(own)
-        bounds, groups = np.append(rows, len(at)), np.append(np.searchsorted(heads, rows), len(heads))
-        # one row for each pair of tasks, whatever the number of places
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[rows].astype(np.int32)), textops.list_array(at.astype(np.int32), bounds), textops.list_array(np.diff(np.append(heads, len(at))).astype(np.int32), groups), *(textops.list_array(x[heads], groups) for x in (ids, prints, source))],
-            names=["bucket", "at", "n", "ids", "prints", "sources"],
-        )
+        if len(lost):
+            yield _packed(ids[lost], prints[lost], source[lost], at[lost], parts)
 
     @tidy
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,13 +415,20 @@ def verbatim_spans(docs: DataFrame, s: Settings) -> DataFrame:
         hi = np.append(lo[1:], len(at)) - 1
         yield pa.RecordBatch.from_arrays([pa.array(ids[lo]), pa.array(at[lo].astype(np.int32)), pa.array((at[hi] - at[lo] + s.min_run).astype(np.int32)), pa.array(prints[lo]), pa.array(source[lo])], names=["id", "at", "n", "hash", "source"])
 
-    spark = docs.sparkSession
-    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = stash(_dealt(docs, s, few).mapInArrow(shared, "hash bigint"), "anchors")
-    # an anchor stands in two documents at least, with about thirty runs in each; a task sorts one million
-    parts = max(few, anchors.count() * 64 // 1_000_000)
-    wanted = spark.sparkContext.broadcast(IdFilter.of(anchors))
-    lost = _dealt(docs, s, parts, wanted).mapInArrow(losing, "bucket int, at array<int>, n array<int>, ids array<bigint>, prints array<bigint>, sources array<bigint>")
+    spark, docs = docs.sparkSession, docs.where("id is not null").select("id", "text")
+    found = anchor_table(docs, s).groupBy("hash").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    anchors = stash(found.select("hash", "n"), "anchors")
+    often = anchors.where(F.col("n") > s.hot).select("hash")
+    hot = spark.sparkContext.broadcast(IdFilter.of(often)) if often.take(1) else None
+    wanted = spark.sparkContext.broadcast(IdFilter.of(anchors.select("hash")))
+    # so many runs have an anchor in common at most; a task sorts one million of them
+    runs = (anchors.agg(F.sum(F.least("n", F.lit(s.hot)))).first()[0] or 0) * (s.min_run - s.anchor + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), runs // 1_000_000)
+    discard(anchors)
+    docs = _with_gone(docs, gone)
+    lost = _dealt(docs, s, parts, wanted, hot).mapInArrow(losing, _LOST)
+    if hot:
+        lost = lost.unionByName(_hot_losses(docs, s, parts, hot))
     return lost.repartition(parts, "bucket").mapInArrow(merged, "id bigint, at int, n int, hash bigint, source bigint").withColumn("kind", F.lit("w"))
 
 
@@ -350,12 +451,13 @@ def duplicate_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     discard(members, signed)
     clustered = firsts.join(found, "item")
     kept = clustered.groupBy("component").agg(F.min("lo").alias("keep"))
-    near = clustered.join(kept, "component").select("item", "hi", F.col("keep").alias("source"))
-    alone = firsts.where("lo <> hi").join(found, "item", "left_anti").select("item", "hi", F.col("lo").alias("source"))
-    losing = near.unionByName(alone).where("hi > source").select(F.col("item").alias("hash"), "source")
-    whole = lines.join(losing, "hash").where("id > source").withColumn("kind", F.lit("p"))
+    near = clustered.join(kept, "component").select("item", "hi", F.col("keep").alias("source"), (F.col("lo") != F.col("keep")).alias("differs"))
+    alone = firsts.where("lo <> hi").join(found, "item", "left_anti").select("item", "hi", F.col("lo").alias("source"), F.lit(False).alias("differs"))
+    losing = near.unionByName(alone).where("hi > source").select(F.col("item").alias("hash"), "source", "differs")
+    whole = stash(lines.join(losing, "hash").where("id > source").withColumn("kind", F.lit("p")), "whole")
+    gone = whole.where("differs").groupBy("id").agg(F.collect_list(F.struct("at", "n", "hash")).alias("gone"))
     order = ["id", "at", "n", "hash", "kind", "source"]
-    return whole.select(order).unionByName(verbatim_spans(docs, s).select(order))
+    return whole.select(order).unionByName(verbatim_spans(docs, s, gone).select(order))
 
 
 def cut_spans(text: str, found: list[dict]) -> tuple[str, int, int, list[int]]:
@@ -404,16 +506,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     schema = T.StructType([*docs.schema.fields, *extra])
     listed = free("spans", taken)
 
-    def picked(passing: bool):
-        @tidy
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(id_at).cast(pa.int64())
-                may = wanted.value(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(may if passing else ~may))
-
-        return docs.mapInArrow(run, docs.schema)
-
     @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -431,11 +523,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 columns[chars_at] = pa.array(chars, columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    hit = picked(True) if fits else docs
+    hit = _rows_of(docs, id_at, wanted, True) if fits else docs
     named = found.toDF("__id", listed)
     joined = hit.join(named, hit[id_col].cast("bigint") == named["__id"], "left").select(*(hit[c] for c in docs.columns), named[listed])
     out = joined.mapInArrow(cut, schema)
     if fits:
         none = [F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.array().cast("array<bigint>")]
-        out = out.unionByName(picked(False).withColumns(dict(zip(names, none))))
+        out = out.unionByName(_rows_of(docs, id_at, wanted, False).withColumns(dict(zip(names, none))))
     return out if report else out.select(docs.columns)
