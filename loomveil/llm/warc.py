@@ -9,7 +9,9 @@ that succeeded, so that files of failed or repeated attempts are never read.
 Reading: archives are dealt out by the manifest and read as streams through a bounded window.  After
 a failed check (bad gzip data, version line, header, length, or digest) the reader looks for the next
 member or version line that starts a valid record, goes on from there, and logs the bytes between as a
-quarantined gap.
+quarantined gap; a record whose digest alone fails is passed over to its declared end.  Members are
+inflated as streams, and sound records around damage inside one are given.  The window keeps the
+compressed bytes of a member until its end, as a search may have to start over behind its first byte.
 
 Defined cases: a null payload is empty; payloads under ``least_bytes`` always make response records;
 among equal payloads every row with the largest page_id is a response; control characters in a URL
@@ -33,7 +35,8 @@ from loomveil.llm.shared import new_path
 
 LEAST_BYTES = 1000
 ARCHIVE_BYTES = 64_000_000
-MAX_RECORD = 1 << 30
+#: more than the writer makes of a row, which Spark holds to under 2 GiB, with every character of its URL escaped
+MAX_RECORD = 1 << 33
 CHUNK = 1 << 18
 DATE = "2026-01-01T00:00:00Z"
 _GZIP = b"\x1f\x8b\x08"
@@ -163,7 +166,11 @@ class Window:
 
 
 class Bad(Exception):
-    """A failed check."""
+    """A failed check; end is where the record was declared to end, if it does end there."""
+
+    def __init__(self, reason: str, end: int | None = None):
+        super().__init__(reason)
+        self.end = end
 
 
 def _parse(get, find, end, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -191,41 +198,31 @@ def _parse(get, find, end, at: int) -> tuple[dict[str, str], bytes, int]:
     block = get(first, last)
     said = headers.get("warc-block-digest", "")
     if said.lower().startswith("sha1:") and said[5:] != base64.b32encode(hashlib.sha1(block).digest()).decode():
-        raise Bad("block digest")
+        raise Bad("block digest", last + 4)
     return headers, block, last + 4
 
 
-def _inflate(view: Window, at: int) -> tuple[bytes, int]:
-    """(data, end) of the gzip member at a byte; raises Bad."""
-    unpack, parts, to, size = zlib.decompressobj(31), [], at, 0
-    while not unpack.eof:
-        chunk = view.get(to, to + CHUNK)
-        if not chunk:
-            raise Bad("truncated member")
-        try:
-            parts.append(unpack.decompress(chunk))
-        except zlib.error as e:
-            raise Bad("gzip data") from e
-        size += len(parts[-1])
-        if size > MAX_RECORD:
-            raise Bad("length")
-        to += len(chunk) - len(unpack.unused_data)
-    return b"".join(parts), to
-
-
-def _records_at(view: Window, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The record at a byte, or those of the gzip member there, and the end; raises Bad."""
-    if view.get(at, at + 3) != _GZIP:
-        headers, block, to = _parse(view.get, view.find, view.end, at)
-        return [(headers, block)], to
-    data, to = _inflate(view, at)
-    inner, found, pos = lambda a, b: data[a:b], [], 0
-    while pos < len(data):
-        headers, block, pos = _parse(inner, lambda what, a, limit: data.find(what, a, limit), lambda _: len(data), pos)
-        found.append((headers, block))
-    if not found:
-        raise Bad("empty member")
-    return found, to
+class Member:
+    """The data of the gzip member at a byte of a window, as a stream; ``to`` is the end of what was read,
+    ``failed`` says why the data ends early."""
+
+    def __init__(self, view: Window, at: int):
+        self.view, self.to, self.failed, self.unpack = view, at, "", zlib.decompressobj(31)
+
+    def read(self, size: int) -> bytes:
+        while not self.unpack.eof and not self.failed:
+            chunk = self.view.get(self.to, self.to + CHUNK)
+            try:
+                data = self.unpack.decompress(chunk, size)
+            except zlib.error:
+                self.failed = "gzip data"
+                break
+            self.to += len(chunk) - len(self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail)
+            if data:
+                return data
+            if not chunk:
+                self.failed = "truncated member"
+        return b""
 
 
 def _next_start(view: Window, at: int) -> int:
@@ -240,24 +237,81 @@ def _next_start(view: Window, at: int) -> int:
         at = max(at + 1, end - 6)
 
 
+def _plain(view: Window, at: int) -> tuple[dict[str, str], bytes, int]:
+    return _parse(view.get, view.find, view.end, at)
+
+
+def _of_member(view: Window, at: int, expected: bool) -> Iterator[tuple]:
+    """Records of the gzip member at a byte, and a gap of the whole member for each run of bytes inside it that
+    holds none; last ("end", the byte after the member).  Raises Bad where it is damaged itself, after
+    the records that have more data behind them.  A member that was only searched for must start with a version line."""
+    member = Member(view, at)
+    data = Window(member)
+    if data.get(0, len(_VERSION)) != _VERSION and not (expected and data.end(1)):
+        raise Bad(member.failed or "version line")
+    pos, reason, held = 0, "", None
+    while data.end(pos + 1) > pos:
+        if held:
+            yield "record", *held
+            held = None
+        try:
+            *held, pos = _plain(data, pos)
+        except Bad as e:
+            reason = reason or str(e)
+            pos = e.end or data.find(_VERSION, pos + 1)
+            if pos < 0:
+                break
+        else:
+            if reason and not member.failed:
+                yield "gap", reason
+            reason = ""
+        data.forget(pos)
+    if member.failed:
+        raise Bad(member.failed)
+    if held:
+        yield "record", *held
+    if reason:
+        yield "gap", reason
+    yield "end", member.to
+
+
 def salvage(stream) -> Iterator[tuple]:
-    """("record", first byte, headers, block) and ("gap", first byte, end byte, reason), in order."""
+    """("record", first byte, headers, block) and ("gap", first byte, end byte, reason), in order.
+
+    A record that fails its digest but ends where it should is passed over whole, so that its payload is
+    never read as records.  Of a gzip member with many records all sound ones are given; the gaps between
+    them have the bounds of the member."""
     view, at, gap, reason = Window(stream), 0, None, ""
     while view.end(at + 1) > at:
+        missing: list[str] = []
         try:
-            found, to = _records_at(view, at)
+            if view.get(at, at + 3) == _GZIP:
+                for what, *rest in _of_member(view, at, gap is None):
+                    if what == "end":
+                        to = rest[0]
+                        continue
+                    if gap is not None:
+                        yield "gap", gap, at, reason
+                        gap = None
+                    if what == "gap":
+                        missing.append(rest[0])
+                    else:
+                        yield "record", at, *rest
+            else:
+                headers, block, to = _plain(view, at)
+                if gap is not None:
+                    yield "gap", gap, at, reason
+                    gap = None
+                yield "record", at, headers, block
         except Bad as e:
             if gap is None:
                 gap, reason = at, str(e)
-            at = _next_start(view, at + 1)
+            at = e.end or _next_start(view, at + 1)
             if at < 0:
                 break
         else:
-            if gap is not None:
-                yield "gap", gap, at, reason
-                gap = None
-            for headers, block in found:
-                yield "record", at, headers, block
+            for why in missing:
+                yield "gap", at, to, why
             at = to
         view.forget(at if gap is None else at - 1)
     if gap is not None:
