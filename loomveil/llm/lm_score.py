@@ -1,9 +1,11 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
 Texts are word tokens and one end.  A token is a string of bits: the path of its code, a Huffman code
-over the ``VOCABULARY`` most frequent training words that occur twice or more, the end and an escape for
-all other words, among which a word then has the probability (c+1)/(M+W+1), with c its training count, M
-and W the tokens and the distinct words of training outside the code.  Every bit is predicted by
+over the ``VOCABULARY`` most frequent training words that occur twice or more, the end, and classes of
+all other words.  A class is a hash of the word; there are so many that ``CLASS_WORDS`` words of training
+share one (at most ``CLASSES``), and a word has the probability (c+1)/(M+W+1) in its class, with c its
+training count, M and W the tokens and the distinct words of training in the class.  So rare words, and
+words of no training text, are mixed as all others are.  Every bit is predicted by
 
 * the count of training tokens below the node of the code (order 0),
 * three tables of bit counts, hashed by node and context, at every node and for every word: the last
@@ -14,18 +16,21 @@ and W the tokens and the distinct words of training outside the code.  Every bit
 Their logits are mixed with weights that belong to the document and to a gate (how often the longest
 context was seen, state of the match) and that are refined by the gradient of the coding cost after
 every ``STEP`` words of the document: the gradients of their bits, each taken at the weights before,
-are summed.  (A step a bit would be a loop in Python over all bits of the corpus.)  Each bit is predicted
+are summed.  (A step a bit would be a loop in Python over all bits of the corpus.)  An adaptive
+probability map refines what the mixer says: for each document, state of the match and interval of the
+mixed logit, it learns by the same steps how far the bits depart from it.  Each bit is predicted
 from what stands before it, so the sum of the logs is the log probability of the token sequence.
 
 Spark gathers from all training documents: the count of every token (a shuffled aggregation), the code
-from its most frequent entries, and the bit counts, summed piece by piece over tasks; counts that no longer
-fit are halved with their partner, so that their ratio stays.  Model tables have a fixed size
-(``SLOT_BITS``, ``VOCABULARY``) and are broadcast; contexts beyond share slots.  Counts of the other tokens, which have no bound, are never
-broadcast: each document sends its tokens beyond the vocabulary to a join with the token counts.
-Tokens are known by 64-bit hashes.
+from its most frequent entries, and the bit counts, summed piece by piece over tasks in 64 bits; sums that do
+not fit 32 bits are halved with their partner, so that their ratio stays.  There is a task for each
+``TASK_BYTES`` of text.  Model tables grow with the training tokens up to a size that can be broadcast
+(``SLOT_BITS``, ``VOCABULARY``, ``CLASSES``); contexts beyond share slots.  Counts of the other tokens,
+which have no bound, are never broadcast: each document sends its tokens beyond the vocabulary to a join
+with the token counts.  Tokens are known by 64-bit hashes.
 
 Defined cases: a null text is empty and scores its end alone; without training documents all counts
-are 0 and the code has only the end and the escape; a null id counts as training; equal rows are scored
+are 0 and the code has only the end and one class; a null id counts as training; equal rows are scored
 alike; tokens tie in the vocabulary by hash; an empty table gives no rows; other columns are not
 looked at.
 """
@@ -45,31 +50,46 @@ from loomveil.llm import textops
 from loomveil.llm.shared import stash
 
 VOCABULARY = 1 << 18
-SLOT_BITS = 21
+#: hashed contexts have 2^SLOT_BITS slots at most, and one for SLOT_TOKENS tokens of training
+SLOT_BITS = 22
+SLOT_TOKENS = 16
+CLASS_WORDS = 32
+CLASSES = 1 << 16
 COMMON = 256
 STEP = 64
 RATE = 0.02
+#: the probability map: intervals of the logit, and how fast they learn (a step has too few bits to overshoot)
+LEVELS = 25
+MAP_RATE = 0.1
+TASK_BYTES = 512 << 20
 BLOCK_BYTES = 400_000
 WORDS = 20_000
 _PIECE = 1 << 16
 _TABLES = 3
+_LEAST_BITS = 18
 BACKOFF = (6.0, 4.0, 2.0)
 _WEIGHTS = np.array([1.0, 0.9, 0.4, 0.3, 0.5], dtype=np.float32)
 _GATES = 12
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-END, ESCAPE = 0, 1
+END = 0
 
 
 class Code:
-    """A Huffman code: flat paths of nodes and bits, and the share of ones below each node."""
+    """A Huffman code: flat paths of nodes and bits, and the share of ones below each node.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, ends: int, others: int):
+    The end is symbol 0, then come the classes, whose number is a power of two, then the words."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, ends: int, others: np.ndarray, distinct: np.ndarray):
+        """others and distinct: tokens and distinct words of each class in training."""
         order = np.argsort(keys)
-        self.keys = keys[order]  # sorted hashes of the words; word i is symbol i + 2
-        weights = np.concatenate([[max(1, ends), max(1, others)], counts[order]]).astype(np.int64)
+        self.keys = keys[order]  # sorted hashes of the words
+        self.classes = len(others)
+        self.first = 1 + self.classes  # symbol of the first word
+        weights = np.concatenate([[max(1, ends)], np.maximum(1, others), counts[order]]).astype(np.int64)
         self.counts = counts[order]
+        self.class_bits = np.log2(others + distinct + 1.0)  # what a word of count 0 costs in its class
         self.rank = np.full(len(weights), len(weights), dtype=np.int64)
-        self.rank[2:][np.argsort(-self.counts, kind="stable")] = np.arange(len(self.counts))
+        self.rank[self.first :][np.argsort(-self.counts, kind="stable")] = np.arange(len(self.counts))
         n = len(weights)
         heap = [(int(w), i) for i, w in enumerate(weights)]
         heapq.heapify(heap)
@@ -102,11 +122,12 @@ class Code:
         self.share = ((ones + 0.5) / (below + 1)).astype(np.float32)
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
-        """The symbol of each word hash, ESCAPE where the word is not in the code."""
+        """The symbol of each word hash, that of its class where the word is not in the code."""
+        own = 1 + (h & np.uint64(self.classes - 1)).astype(np.int64)
         if not len(self.keys):
-            return np.full(len(h), ESCAPE, dtype=np.int64)
+            return own
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at + 2, ESCAPE)
+        return np.where(self.keys[at] == h, at + self.first, own)
 
 
 class Tokens:
@@ -145,23 +166,23 @@ class Tokens:
 
 
 class Bits:
-    """All predicted bits of a range of tokens."""
+    """All predicted bits of some tokens, in their order, and their slots in tables of 2^slot_bits."""
 
-    def __init__(self, t: Tokens, code: Code, lo: int, hi: int):
-        symbol = t.symbol[lo:hi]
+    def __init__(self, t: Tokens, code: Code, some: np.ndarray, slot_bits: int):
+        symbol = t.symbol[some]
         self.size = np.diff(code.ptr)[symbol]
         before = np.cumsum(self.size) - self.size
         self.where = np.arange(int(self.size.sum())) + np.repeat(code.ptr[symbol] - before, self.size)
         self.node, self.bit = code.nodes[self.where], code.bits[self.where]
         spread = self.node.astype(np.uint64) * _ODD[3]
-        self.slots = [(((np.repeat(c[lo:hi], self.size) ^ spread) * odd) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for c, odd in zip(t.contexts, _ODD)]
+        self.slots = [(((np.repeat(c[some], self.size) ^ spread) * odd) >> np.uint64(64 - slot_bits)).astype(np.int64) for c, odd in zip(t.contexts, _ODD)]
 
-    def guess(self, t: Tokens, code: Code, lo: int, hi: int) -> None:
+    def guess(self, t: Tokens, code: Code, tokens: np.ndarray) -> None:
         """The match model: its vote on each bit (1, -1 or 0), and its state."""
-        match = np.repeat(t.match[lo:hi], self.size)
+        match = np.repeat(t.match[tokens], self.size)
         self.match, self.state = np.zeros(len(match), dtype=np.float32), np.zeros(len(match), dtype=np.int64)
         some = np.flatnonzero(match >= 0)
-        token = np.repeat(np.arange(lo, hi), self.size)[some]
+        token = np.repeat(tokens, self.size)[some]
         other = t.symbol[match[some]]
         there = self.where[some] - code.ptr[t.symbol[token]] + code.ptr[other]
         inside = there < code.ptr[other + 1]
@@ -173,8 +194,13 @@ class Bits:
 
 
 def _ranges(t: Tokens) -> Iterator[tuple[int, int]]:
-    for lo in range(0, len(t.hash), WORDS):
-        yield lo, min(lo + WORDS, len(t.hash))
+    """Ranges of about WORDS tokens that end where a document or a step of it ends."""
+    cuts = np.append(np.flatnonzero(t.at % STEP == 0), len(t.hash))
+    lo = 0
+    while lo < len(t.hash):
+        hi = int(cuts[np.searchsorted(cuts, lo + WORDS, side="right") - 1])
+        yield lo, hi
+        lo = hi
 
 
 def _columns(column) -> Iterator[tuple[int, int, textops.Words]]:
@@ -193,12 +219,35 @@ def token_counts(training: DataFrame) -> DataFrame:
     return training.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_block(t: Tokens, code: Code, total: np.ndarray) -> None:
-    """Adds the bits of a block to counts of zeros and ones for each table and slot, (tables, 2 x slots)."""
-    for lo, hi in _ranges(t):
-        b = Bits(t, code, lo, hi)
-        for k, slot in enumerate(b.slots):
-            np.add.at(total[k], 2 * slot + b.bit, np.uint32(1))
+class Counts:
+    """Counts of zeros and ones for each table and slot, (tables, 2 x slots), emptied before they overflow."""
+
+    def __init__(self, slot_bits: int, limit: int = 0xFFFFFFFF):
+        self.slot_bits, self.limit, self.held = slot_bits, limit, 0
+        self.total = np.zeros((_TABLES, 2 << slot_bits), dtype=np.uint32)
+
+    def add(self, t: Tokens, code: Code) -> Iterator[pa.RecordBatch]:
+        """Counts the bits of a block; gives counts out where there is no room for more."""
+        for lo, hi in _ranges(t):
+            b = Bits(t, code, np.arange(lo, hi), self.slot_bits)
+            if self.held + len(b.bit) > self.limit:
+                yield from self.give()
+            self.held += len(b.bit)
+            for k, slot in enumerate(b.slots):
+                np.add.at(self.total[k], 2 * slot + b.bit, np.uint32(1))
+
+    def give(self) -> Iterator[pa.RecordBatch]:
+        """(piece, data) of the pieces with counts, which are set back to 0."""
+        flat = self.total.reshape(-1, piece_size(self.slot_bits))
+        for i in range(0, len(flat), 16):
+            some = [(j, flat[j].tobytes()) for j in range(i, min(i + 16, len(flat))) if flat[j].any()]
+            yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in some], pa.int32()), pa.array([s[1] for s in some], pa.binary())], names=["piece", "data"])
+        self.total[:] = 0
+        self.held = 0
+
+
+def piece_size(slot_bits: int) -> int:
+    return min(_PIECE, 2 << slot_bits)
 
 
 def fitting(x: np.ndarray) -> np.ndarray:
@@ -209,19 +258,16 @@ def fitting(x: np.ndarray) -> np.ndarray:
     return pair.ravel().astype(np.uint32)
 
 
-def bit_counts(training: DataFrame, code) -> np.ndarray:
+def bit_counts(training: DataFrame, code, slot_bits: int, tasks: int) -> np.ndarray:
     """Counts of zeros and ones (last axis) for each table and slot, summed over all training texts."""
-    size = _TABLES * 2 << SLOT_BITS
+    size, piece = _TABLES * 2 << slot_bits, piece_size(slot_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((_TABLES, 2 << SLOT_BITS), dtype=np.uint32)
+        counts = Counts(slot_bits)
         for batch in batches:
             for _, _, w in _columns(batch.column(0)):
-                count_block(Tokens(w, code.value), code.value, total)
-        flat = total.reshape(-1, _PIECE)
-        for i in range(0, len(flat), 16):
-            some = [(j, flat[j].tobytes()) for j in range(i, min(i + 16, len(flat))) if flat[j].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in some], pa.int32()), pa.array([s[1] for s in some], pa.binary())], names=["piece", "data"])
+                yield from counts.add(Tokens(w, code.value), code.value)
+        yield from counts.give()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -231,13 +277,12 @@ def bit_counts(training: DataFrame, code) -> np.ndarray:
         for i, x in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([fitting(x).tobytes()], pa.binary())], names=["piece", "data"])
 
-    # a task sends its whole tables, so there is one task a core, not one for each piece of a file
-    training = training.coalesce(training.sparkSession.sparkContext.defaultParallelism)
+    # a task sends its whole tables, so tasks follow the bytes of text, not the pieces of files
     schema = "piece int, data binary"
     out = np.zeros(size, dtype=np.uint32)
-    for r in training.mapInArrow(run, schema).repartition(size // _PIECE, "piece").mapInArrow(add, schema).toLocalIterator():
-        out[r.piece * _PIECE :][:_PIECE] = np.frombuffer(r.data, dtype=np.uint32)
-    return out.reshape(_TABLES, 1 << SLOT_BITS, 2)
+    for r in training.coalesce(tasks).mapInArrow(run, schema).repartition(size // piece, "piece").mapInArrow(add, schema).toLocalIterator():
+        out[r.piece * piece :][:piece] = np.frombuffer(r.data, dtype=np.uint32)
+    return out.reshape(_TABLES, 1 << slot_bits, 2)
 
 
 def predictions(b: Bits, code: Code, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,45 +304,54 @@ def predictions(b: Bits, code: Code, counts: np.ndarray) -> tuple[np.ndarray, np
     return x, (total >= 1).astype(np.int64) + (total >= 4) + (total >= 16)
 
 
+def learn(of: np.ndarray, at: np.ndarray, move: np.ndarray, seen: np.ndarray, rate: float) -> None:
+    """Adds the sum of moves at each place, times the rate over the root of their number."""
+    of[: len(seen)] += (rate / np.sqrt(np.maximum(seen, 1))) * np.bincount(at, move, len(seen))
+
+
 def score_block(t: Tokens, code: Code, counts: np.ndarray) -> np.ndarray:
-    """log2 probability of each document of a block."""
-    n_docs = len(t.ptr) - 1
+    """log2 probability of the codes of each document of a block."""
+    n_docs, slot_bits = len(t.ptr) - 1, counts.shape[1].bit_length() - 1
     weights = np.repeat(_WEIGHTS[:, None], n_docs * _GATES, axis=1)
+    refined = np.zeros(n_docs * 3 * LEVELS, dtype=np.float32)
     score = np.zeros(n_docs)
     for lo, hi in _ranges(t):
-        b = Bits(t, code, lo, hi)
-        b.guess(t, code, lo, hi)
+        # tokens in order of their step, so that a step of all documents is one slice of bits
+        step = t.at[lo:hi] // STEP
+        turn = np.argsort(step, kind="stable")
+        some = lo + turn
+        b = Bits(t, code, some, slot_bits)
+        b.guess(t, code, some)
         x, level = predictions(b, code, counts)
-        doc = np.repeat(t.doc[lo:hi], b.size)
+        doc = np.repeat(t.doc[some], b.size)
         row = doc * _GATES + 4 * b.state + level
+        place = (doc * 3 + b.state) * LEVELS
         sign = np.where(b.bit == 1, np.float32(1), np.float32(-1))
-        # tokens in order of their step; the bits of a token stay together
-        step = t.at[lo:hi] // STEP
-        turn = np.argsort(step, kind="stable")
-        size = b.size[turn]
-        first = (np.cumsum(b.size) - b.size)[turn]
-        ends = np.cumsum(size)
-        order = np.arange(len(doc)) + np.repeat(first - (ends - size), size)
-        x, row, doc, sign = x[:, order], row[order], doc[order], sign[order]
-        cuts = ends[np.flatnonzero(np.diff(step[turn]))]
-        for from_, to in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
-            xs, rows, signs = x[:, from_:to], row[from_:to], sign[from_:to]
-            base = int(rows.min()) if len(rows) else 0
+        cost = np.empty(len(doc), dtype=np.float32)
+        cuts = np.cumsum(b.size)[np.flatnonzero(np.diff(step[turn]))].tolist()
+        for from_, to in zip([0, *cuts], [*cuts, len(doc)]):
+            xs, rows, cells, signs = x[:, from_:to], row[from_:to], place[from_:to], sign[from_:to]
+            base = int(rows.min())
             rows = rows - base
             z = np.zeros(to - from_, dtype=np.float32)
             for own, of in zip(xs, weights):
                 z += own * of[base:][rows]
-            right = 1 / (1 + np.exp(-signs * np.clip(z, -12, 12)))
-            score += np.bincount(doc[from_:to], np.log(right), n_docs)
-            error = signs * (1 - right)
+            np.clip(z, -12, 12, out=z)
+            error = signs / (1 + np.exp(signs * z))
             seen = np.bincount(rows)
-            rate = RATE / np.sqrt(np.maximum(seen, 1))
             for own, of in zip(xs, weights):
-                of[base : base + len(seen)] += rate * np.bincount(rows, own * error)
+                learn(of[base:], rows, own * error, seen, RATE)
+            base = int(cells.min())
+            cells = cells - base + np.rint((z + 12) * np.float32((LEVELS - 1) / 24)).astype(np.int64)
+            z += refined[base:][cells]
+            odds = np.exp(-signs * z)
+            np.negative(np.log1p(odds), out=cost[from_:to])
+            learn(refined[base:], cells, signs * odds / (1 + odds), np.bincount(cells), MAP_RATE)
+        score += np.bincount(doc, cost, n_docs)
     return score / math.log(2)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, vocabulary: int = VOCABULARY) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, vocabulary: int = VOCABULARY, class_words: int = CLASS_WORDS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row.
 
     Documents whose crc32 of the id as text leaves held_fold modulo folds are held out: nothing is
@@ -309,27 +363,39 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     training = own.where("not held_out").select("text")
     counts = stash(token_counts(training), "tokens")
     known = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    ends = training.count()
+    seen = training.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    ends = seen.n
     n_train, distinct = (known.n or 0) + ends, known.v + (ends > 0)
     top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()  # bounded by the parameter
     keys = top.column("word").to_numpy().view(np.uint64)
     sizes = top.column("n").to_numpy()
-    code = spark.sparkContext.broadcast(Code(keys, sizes, ends, (known.n or 0) - int(sizes.sum())))
-    tables = spark.sparkContext.broadcast(bit_counts(training, code))
+    classes = 1
+    while classes < min(CLASSES, (known.v - len(keys)) // class_words):
+        classes *= 2
+    sums = counts.groupBy(F.col("word").bitwiseAND(F.lit(classes - 1)).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()  # a row a class
+    others, words = np.zeros(classes, dtype=np.int64), np.zeros(classes, dtype=np.int64)
+    at = sums.column("k").to_numpy()
+    others[at], words[at] = sums.column("n").to_numpy(), sums.column("v").to_numpy()
+    own_class = (keys & np.uint64(classes - 1)).astype(np.int64)
+    np.subtract.at(others, own_class, sizes)
+    np.subtract.at(words, own_class, 1)
+    code = spark.sparkContext.broadcast(Code(keys, sizes, ends, others, words))
+    slot_bits = max(_LEAST_BITS, min(SLOT_BITS, (n_train // SLOT_TOKENS).bit_length()))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(seen.bytes or 0) // TASK_BYTES))
+    tables = spark.sparkContext.broadcast(bit_counts(training, code, slot_bits, tasks))
     denominator = n_train + distinct + 1
-    outside = (known.n or 0) - int(sizes.sum()) + known.v - len(keys) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, counted = code.value, tables.value
-        of_symbol = np.concatenate([[ends, 0], c.counts]).astype(np.float64)
+        of_symbol = np.concatenate([[ends], np.zeros(c.classes), c.counts]).astype(np.float64)
         for batch in batches:
             for at, to, w in _columns(batch.column(1)):
                 t = Tokens(w, c)
-                inside = t.symbol != ESCAPE
+                inside = (t.symbol == END) | (t.symbol >= c.first)
                 base = np.bincount(t.doc[inside], np.log10((of_symbol[t.symbol[inside]] + 1) / denominator), to - at)
                 kept = np.bincount(t.doc[inside], of_symbol[t.symbol[inside]] > 0, to - at).astype(np.int64)
-                score = score_block(t, c, counted)
                 rare = np.flatnonzero(~inside)
+                score = score_block(t, c, counted) - np.bincount(t.doc[rare], c.class_bits[t.symbol[rare] - 1], to - at)
                 order = rare[np.lexsort((t.hash[rare], t.doc[rare]))]
                 new = np.append(True, (t.hash[order][1:] != t.hash[order][:-1]) | (t.doc[order][1:] != t.doc[order][:-1])) if len(order) else np.zeros(0, dtype=bool)
                 first = np.flatnonzero(new)
@@ -346,7 +412,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scored = stash(own.mapInArrow(run, f"id {id_type}, held_out boolean, mark bigint, n_tokens bigint, kept bigint, base double, bits double, bytes bigint, rare array<bigint>, times array<int>"), "scored")
     # tokens beyond the vocabulary meet their counts; rows of one id and one text send the same ones
     sent = scored.select("id", "mark", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("id", "mark", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    found = sent.join(counts, "word", "left").groupBy("id", "mark").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(denominator)))).alias("more"), F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(outside)))).alias("inner"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
+    found = sent.join(counts, "word", "left").groupBy("id", "mark").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(denominator)))).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("inner"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
     copies = scored.groupBy(F.col("id").alias("cid"), F.col("mark").alias("cmark")).agg(F.count(F.lit(1)).alias("copies"))
     rest = found.join(copies, F.col("id").eqNullSafe(F.col("cid")) & (F.col("mark") == F.col("cmark"))).select(F.col("id").alias("rid"), F.col("mark").alias("rmark"), (F.col("more") / F.col("copies")).alias("more"), (F.col("inner") / F.col("copies")).alias("inner"), (F.col("also") / F.col("copies")).cast("bigint").alias("also"))
     out = scored.drop("rare", "times").join(rest, F.col("id").eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rmark")), "left")

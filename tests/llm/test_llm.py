@@ -362,10 +362,11 @@ def test_token_counts_against_brute_force(spark, tmp_path):
             rollup.commit(name, revision)
 
 
-def test_lm_score_against_brute_force(spark):
+@pytest.mark.parametrize("class_words", [1, 1 << 30])
+def test_lm_score_against_brute_force(spark, class_words):
     rnd = random.Random(4)
     pool = [f"w{i}" for i in range(30)]
-    texts = [" ".join(rnd.choice(pool[: rnd.randint(2, 30)]) for _ in range(rnd.randint(0, 150))) for _ in range(40)] + [None, "", "only once"]
+    texts = [" ".join(rnd.choice(pool[: rnd.randint(2, 30)]) for _ in range(rnd.randint(0, 150))) + f" rare{i} r{i % 5} rare{i}x" * (i % 2) for i in range(40)] + [None, "", "only once"]
     rows = list(enumerate(texts))
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
     words = [(t or "").lower().split() for t in texts]
@@ -373,9 +374,20 @@ def test_lm_score_against_brute_force(spark):
     ends = held.count(False)
     hashes = {x: int(textops.split_words(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]), textops.SPACE_WORDS, True).hashes()[0]) for w in words for x in w}
     vocabulary = [x for x in count if count[x] > 1]
-    code = lm_score.Code(np.array([hashes[x] for x in vocabulary], np.uint64), np.array([count[x] for x in vocabulary]), ends, sum(count.values()) - sum(count[x] for x in vocabulary))
+    outside = [x for x in count if count[x] == 1]
+    classes = 1
+    while classes < len(outside) // class_words:
+        classes *= 2
+    assert (classes > 8) == (class_words == 1)
+    of = lambda x: hashes[x] % classes
+    tokens_of, words_of = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
+    for x in outside:
+        tokens_of[of(x)] += count[x]
+        words_of[of(x)] += 1
+    code = lm_score.Code(np.array([hashes[x] for x in vocabulary], np.uint64), np.array([count[x] for x in vocabulary]), ends, tokens_of, words_of)
     assert sum(2.0 ** -int(n) for n in np.diff(code.ptr)) == 1
     symbol = {x: int(code.symbols(np.array([hashes[x]], np.uint64))[0]) for x in hashes}
+    assert all(s == 1 + of(x) for x, s in symbol.items() if x not in vocabulary)
 
     def path(x):
         s = 0 if x is None else symbol[x]
@@ -383,47 +395,93 @@ def test_lm_score_against_brute_force(spark):
 
     def contexts(tokens, i):
         common = next((x for x in reversed(tokens[:i]) if code.rank[symbol[x]] < lm_score.COMMON), None)
-        return [("c", common), ("l", tokens[i - 1] if i else None), ("t", tokens[i - 1] if i else None, tokens[i - 2] if i > 1 else None)]
+        last, before = (tokens[i - k] if i >= k else None for k in (1, 2))
+        return [mix(hashed(common) + 1), mix(hashed(last) + 2), mix(mix(hashed(last)) ^ (hashed(before) + 3))]
+
+    mix = lambda x: int(textops.mix(np.array([x % 2**64], np.uint64))[0])
+    hashed = lambda x: mix(7) if x is None else hashes[x]
+
+    def slots(tokens, i, node):
+        odd = [int(x) for x in lm_score._ODD]
+        return [(k, ((c ^ node * odd[3] % 2**64) * odd[k] % 2**64) >> (64 - lm_score._LEAST_BITS)) for k, c in enumerate(contexts(tokens, i))]
 
     counts = Counter()
     for w, h in zip(words, held):
         for i, x in enumerate([] if h else [*w, None]):
-            counts.update((c, node, bit) for c in contexts(w, i) for node, bit in path(x))
-    outside = sum(count[x] for x in count if count[x] == 1) + sum(count[x] == 1 for x in count) + 1
-    out = {r.doc_id: r.score for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+            counts.update((slot, bit) for node, bit in path(x) for slot in slots(w, i, node))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: r.score for r in lm_score.score_documents(docs, class_words=class_words).collect()}
     for d, w in enumerate(words):
-        weights = {}
+        weights, refined = {}, Counter()
         score, tokens = 0.0, [*w, None]
         for lo in range(0, len(tokens), lm_score.STEP):
-            steps = {}
+            steps, departures = {}, {}
             for i in range(lo, min(lo + lm_score.STEP, len(tokens))):
                 match = max((j for j in range(2, i) if tokens[j - 2 : j] == tokens[i - 2 : i]), default=None) if i > 1 else None
                 guess = None if match is None else path(tokens[match])
                 long = match is not None and i > 2 and match > 2 and tokens[i - 3] == tokens[match - 3]
                 for k, (node, bit) in enumerate(path(tokens[i])):
                     x, p, last = [float(code.logit[node])], float(code.share[node]), float(code.logit[node])
-                    for c, b in zip(contexts(w, i), lm_score.BACKOFF):
-                        ones, zeros = counts[c, node, 1], counts[c, node, 0]
+                    for slot, b in zip(slots(w, i, node), lm_score.BACKOFF):
+                        ones, zeros = counts[slot, 1], counts[slot, 0]
                         p = min(max((ones + b * p) / (ones + zeros + b), 1e-6), 1 - 1e-6)
                         now = math.log(p / (1 - p))
                         x.append(now - last)
                         last = now
                     agree = guess is not None and k < len(guess) and guess[k][0] == node
                     x.append((2 if guess[k][1] else -2) if agree else 0)
-                    gate = ((1 + long) if agree else 0, sum(ones + zeros >= m for m in (1, 4, 16)))
+                    state = (1 + long) if agree else 0
+                    gate = (state, sum(ones + zeros >= m for m in (1, 4, 16)))
                     own = weights.setdefault(gate, [float(v) for v in lm_score._WEIGHTS])
                     z = max(-12, min(12, sum(a * b for a, b in zip(x, own))))
                     sign = 1 if bit else -1
-                    right = 1 / (1 + math.exp(-sign * z))
+                    steps.setdefault(gate, []).append([v * sign * (1 - 1 / (1 + math.exp(-sign * z))) for v in x])
+                    cell = (state, round((z + 12) * (lm_score.LEVELS - 1) / 24))
+                    right = 1 / (1 + math.exp(-sign * (z + refined[cell])))
                     score += math.log10(right)
-                    steps.setdefault(gate, []).append([v * sign * (1 - right) for v in x])
-                if tokens[i] is not None and symbol[tokens[i]] == 1:
-                    score += math.log10((count[tokens[i]] + 1) / outside)
+                    departures.setdefault(cell, []).append(sign * (1 - right))
+                if tokens[i] is not None and tokens[i] not in vocabulary:
+                    k = of(tokens[i])
+                    score += math.log10((count[tokens[i]] + 1) / (tokens_of[k] + words_of[k] + 1))
             for gate, g in steps.items():
                 weights[gate] = [a + lm_score.RATE / math.sqrt(len(g)) * sum(v) for a, v in zip(weights[gate], zip(*g))]
+            for cell, e in departures.items():
+                refined[cell] += lm_score.MAP_RATE / math.sqrt(len(e)) * sum(e)
         assert out[d] == pytest.approx(score, rel=1e-3, abs=1e-3)
 
 
+def test_lm_scores_do_not_depend_on_neighbours(spark):
+    rnd = random.Random(9)
+    pool = [f"w{i}" for i in range(200)]
+    make = lambda n: " ".join(rnd.choice(pool) for _ in range(n))
+    long = make(25_000)
+    texts = [make(rnd.randint(0, 90)) for _ in range(60)] + [long, make(500), long]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    one = {r.doc_id: r.score for r in lm_score.score_documents(rows.coalesce(1)).collect()}
+    many = {r.doc_id: r.score for r in lm_score.score_documents(rows.repartition(7)).collect()}
+    assert one.keys() == many.keys() and all(many[k] == pytest.approx(v, rel=1e-6) for k, v in one.items())
+    assert one[60] == pytest.approx(one[62], rel=1e-6)
+
+
+def test_lm_counts_are_given_out_before_they_overflow():
+    data = b"a b a c " * 9000
+    w = textops.split_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), textops.SPACE_WORDS, True)
+    word, n = np.unique(w.hashes(), return_counts=True)
+    code = lm_score.Code(word, n, 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+    def total(limit):
+        counts = lm_score.Counts(16, limit)
+        given = [*counts.add(lm_score.Tokens(w, code), code), *counts.give()]
+        out = np.zeros(lm_score._TABLES * 2 << 16, np.int64)
+        for batch in given:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out[i * lm_score.piece_size(16) :][: lm_score.piece_size(16)] += np.frombuffer(x, np.uint32)
+        return len(given), out
+
+    (few, whole), (many, parts) = total(0xFFFFFFFF), total(40_000)
+    assert many > few and (whole == parts).all() and whole.sum() == 3 * (int((np.diff(code.ptr)[2:] * code.counts).sum()) + int(code.ptr[1]))
+
+
 def test_lm_counts_keep_their_ratio():
     x = lm_score.fitting(np.array([1 << 34, 1 << 33, 7, 9, 0, 1 << 32]))
     assert x.tolist() == [1 << 31, 1 << 30, 7, 9, 0, 1 << 31]
