@@ -50,7 +50,7 @@ from loomveil.llm import textops
 from loomveil.llm.shared import stash
 
 VOCABULARY = 1 << 18
-#: hashed contexts have 2^SLOT_BITS slots at most, and one for SLOT_TOKENS tokens of training
+#: hashed contexts have one slot for SLOT_TOKENS tokens of training, 2^21 at least and 2^SLOT_BITS at most
 SLOT_BITS = 22
 SLOT_TOKENS = 16
 CLASS_WORDS = 32
@@ -66,7 +66,7 @@ BLOCK_BYTES = 400_000
 WORDS = 20_000
 _PIECE = 1 << 16
 _TABLES = 3
-_LEAST_BITS = 18
+_LEAST_BITS = 21
 BACKOFF = (6.0, 4.0, 2.0)
 _WEIGHTS = np.array([1.0, 0.9, 0.4, 0.3, 0.5], dtype=np.float32)
 _GATES = 12
