@@ -12,7 +12,8 @@ of items that are in one component already need no check.  Rounds therefore go:
    components can be missing, so the result is that of all pairs.
 
 A pair is checked once: pairs of earlier rounds are left out of later ones, and where items carry their
-lists of buckets, the exhaustive round joins a pair only in the first bucket that both have in common.  Buckets are aggregated
+lists of buckets, the exhaustive round joins a pair only in the first bucket that both have in common;
+where members name the bucket ``before`` theirs, only where the two came there from different buckets.  Buckets are aggregated
 before they are shuffled, and pairs come from sort-merge joins, whose hot keys Spark splits.  Buckets
 carry no more of an item than the first filters need.  Tables of a round are removed from the shared
 folder when the tables that replace them are written.
@@ -143,6 +144,7 @@ def components(edges: DataFrame) -> DataFrame:
 def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], close: Callable[[str, str], Column], star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(node, component) of items with links, given members (bucket, item, at, ...) of buckets and traits
     (item, ...) of items.  Traits may hold short lists of ``buckets``; bucket is then the one at place ``at``.
+    Members may have the bucket ``before`` theirs in the order of their item's buckets (null: none).
 
     check(pairs of a, b) keeps the pairs that are linked, as a stored table; may_link(x, y) is a condition
     on the columns of two members, given as prefixes, that every linked pair fulfils in the first bucket
@@ -203,6 +205,8 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
             wanted = close("xt", "yt") & (F.col("comp") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("comp") < F.col("other")))
             if "buckets" in traits.columns:
                 wanted &= ~F.arrays_overlap(*(F.slice(f"{s}t.buckets", F.lit(1), F.col(f"{s}.at")) for s in ("x", "y")))
+            if "before" in extra:
+                wanted &= F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
             new = pairs(few, other, wanted)
         new = stash(narrow(new) if star else new, "pairs")
         linked = check(new)

@@ -1,15 +1,22 @@
 """Self-join of documents on the Jaccard similarity of their word n-gram sets.
 
-Shingles are put in a global order, rare ones first, and a document is known by the prefix of its
-ordered set that any set similar enough must meet.  Sets that share a prefix shingle are candidates;
-length, positional and suffix filters drop most of them, and each remaining pair is verified once on
-the whole sets.
+Shingles are put in a global order, rare ones first, and a document is known by the first pairs of
+neighbours in its ordered set, as many as any set similar enough must meet.  Sets that share such a pair
+are candidates; length, positional and suffix filters drop most of them, and each remaining pair of sets is
+verified once on the whole sets.
+
+A pair of neighbours is lost with each of its shingles that the other set lacks (two pairs a shingle) and
+with each shingle that the other set has between them (one pair).  If x lacks B shingles of y and y lacks A
+of x, at most 2A + B pairs of x come before the first common one; for a similarity t of 1/2 at least this is
+largest where y has t * size(x) shingles, all of x: 2 * (1 - t) * size(x).  One shingle alone is shared
+by chance, by a number of sets that grows with the corpus; it is taken only below ``PAIRS_FROM`` percent, where
+small sets have too few pairs.
 
 * Equal sets are collapsed before the join, so groups of copies cost one item.
 * The order comes from counts of all shingles of the corpus in a fixed number of hashed counters
   (``COUNTERS``), by eighth powers of two, ties by hash.  Any order gives the same result; counting only
   keeps frequent shingles out of the prefixes.
-* Prefix shingles meet by ``linking.link``: components without all pairs of a bucket.
+* Buckets of the prefixes meet by ``linking.link``: components without all pairs of a bucket.
 * The suffix filter cuts whole sets at fixed places of the hash order into 256 parts and bounds their
   difference by that of the sizes of the parts, which are kept modulo two (``parity_close``); it takes the
   place of the recursive search for pivots, which would need whole sets before the join.
@@ -40,6 +47,9 @@ from loomveil.llm.shared import discard, free, stash, tidy
 COUNTER_BITS = 21
 COUNTERS = 1 << COUNTER_BITS
 _PIECE = 1 << 14
+_ROWS = 1 << 16
+#: from this similarity on sets meet by pairs of neighbours (with 2 shingles or more they have enough of them)
+PAIRS_FROM = 80
 SIGS = ["sig1", "sig2", "sig3", "sig4"]
 
 
@@ -88,9 +98,22 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def prefix_of(ordered: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of sets whose shingles stand in the global order, and their bounds: hashes of the first
+    pairs of neighbours, or the first shingles where small sets have too few pairs."""
+    size = np.diff(bounds)
+    if percent >= PAIRS_FROM:
+        values = textops.mix(np.append(ordered[1:], ordered[:1]) + textops.mix(ordered))
+        length = np.where(size > 1, 2 * (100 - percent) * size // 100 + 1, 0)
+    else:
+        values, length = ordered, np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
+    take = np.arange(len(ordered)) - np.repeat(bounds[:-1], size) < np.repeat(length, size)
+    return values[take], np.concatenate([[0], np.cumsum(length)])
+
+
 def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(id, n_shingles, key1, key2, sig1 to sig4, prefix) of rows (id, text): the digest of each set, a
-    bitmap of parities of its shingles, and its prefix in the global order."""
+    bitmap of parities of its shingles, and its buckets in the global order."""
     level = docs.sparkSession.sparkContext.broadcast(rarity(docs.select("text"), n))
 
     @tidy
@@ -104,19 +127,34 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(size)), size)
                 sig = textops.parities(values, bounds)
                 order = np.lexsort((values, levels[_counter(values)], owner))
-                ordered = values[order]
-                # a similar set has at least ceil(percent * size / 100) of these shingles
-                length = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
-                take = np.arange(len(ordered)) - np.repeat(bounds[:-1], size) < np.repeat(length, size)
-                cut = np.concatenate([[0], np.cumsum(length)])
+                prefix, cut = prefix_of(values[order], bounds, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(size)), pa.array(size, pa.int64()), pa.array(_signed(key1)), pa.array(_signed(key2)), *(pa.array(np.ascontiguousarray(sig[:, j])) for j in range(4)), textops.list_array(_signed(ordered[take]), cut)],
+                    [batch.column(0).slice(at, len(size)), pa.array(size, pa.int64()), pa.array(_signed(key1)), pa.array(_signed(key2)), *(pa.array(np.ascontiguousarray(sig[:, j])) for j in range(4)), textops.list_array(_signed(prefix), cut)],
                     names=["id", "n_shingles", "key1", "key2", *SIGS, "prefix"],
                 )
 
     return docs.mapInArrow(run, "id bigint, n_shingles bigint, key1 bigint, key2 bigint, " + ", ".join(f"{s} bigint" for s in SIGS) + ", prefix array<bigint>")
 
 
+def bucket_members(heads: DataFrame) -> DataFrame:
+    """(item, n_shingles, at, bucket, before) of rows (item, n_shingles, prefix): the buckets of each item
+    with their places, and the bucket before each."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix, size = batch.column(2), batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            bucket = prefix.flatten()
+            owner = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(bucket)) - np.repeat(np.cumsum(size) - size, size)
+            before = pa.array(np.roll(bucket.to_numpy(zero_copy_only=False), 1), pa.int64(), mask=at == 0)
+            whole = [batch.column(0).take(pa.array(owner)), batch.column(1).cast(pa.int32()).take(pa.array(owner)), pa.array(at, pa.int32()), bucket, before]
+            for lo in range(0, len(bucket), _ROWS):
+                yield pa.RecordBatch.from_arrays([c.slice(lo, _ROWS) for c in whole], names=["item", "n_shingles", "at", "bucket", "before"])
+
+    return heads.mapInArrow(run, "item bigint, n_shingles int, at int, bucket bigint, before bigint")
+
+
 def whole_sets(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """(item, shingles) of the documents in items (one column), and of a few others; docs are read once."""
     docs = docs.where("id is not null")
@@ -181,7 +219,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = stash(table.select("id", *keys).join(groups, keys, "left").select("id", "n_shingles", own_item), "rows")
     heads = stash(real.join(groups, keys).where("id = item").dropDuplicates(["item", *keys]).select("item", "n_shingles", *SIGS, "prefix"), "heads")
     discard(table)
-    members = heads.select("item", F.col("n_shingles").cast("int").alias("n_shingles"), F.posexplode("prefix").alias("at", "bucket"))
+    members = bucket_members(heads.select("item", "n_shingles", "prefix"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = stash(members.join(shared, "bucket"), "members")
 

@@ -100,6 +100,29 @@ def test_ngram_join_against_brute_force(spark):
     assert got == brute_components(rows, 3, 90)
 
 
+def test_ngram_join_by_pairs_of_neighbours_against_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9)))) for i in range(120)]
+    base = [f"v{i}" for i in range(60)]
+    for i in range(200, 260):
+        w = list(base)
+        for _ in range(rnd.randint(0, 5)):
+            w[rnd.randrange(len(w))] = f"y{rnd.randint(0, 9)}"
+        rows.append((i, " ".join(w[rnd.randint(0, 3) :])))
+    df = spark.createDataFrame([(i, t, "s", "en", -1) for i, t in rows], DOCS)
+    for n, percent in [(2, 80), (1, 85), (2, 60)]:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df, n=n, percent=percent).collect()}
+        assert got == brute_components(rows, n, percent)
+
+
+def test_ngram_join_sets_that_share_one_rare_shingle_do_not_meet(spark):
+    rows = [(i, " ".join([*(f"a{i}x{k}" for k in range(20)), "one", "two", "three", *(f"b{i}x{k}" for k in range(20))])) for i in range(30)]
+    found = ngram_join.set_table(spark.createDataFrame(rows, "id bigint, text string"), 3, 80).collect()
+    assert max(Counter(b for r in found for b in r.prefix).values()) == 1 and all(len(r.prefix) == 2 * 20 * r.n_shingles // 100 + 1 for r in found)
+    members = ngram_join.bucket_members(spark.createDataFrame([(7, 5, [3, 4]), (8, 5, None), (9, 5, [6])], "item bigint, n_shingles bigint, prefix array<bigint>"))
+    assert {(r.item, r.at, r.bucket, r.before) for r in members.collect()} == {(7, 0, 3, None), (7, 1, 4, 3), (9, 0, 6, None)}
+
+
 def test_pipeline_drops_a_near_copy_with_one_edit(spark):
     words = [f"w{i}" for i in range(50)]
     df = docs(spark, [" ".join(words), " ".join([*words[:25], "x", *words[26:]]), " ".join(words[:25])])
