@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,9 @@ GENERAL = ["EMAIL_ADDRESS", "PHONE_NUMBER"]
 OWN_LANGUAGES, FALLBACK = ["nl", "en"], "nl"
 PHRASE_WORDS = 5
 PROFILE_GRAMS = 400
+#: texts that are scored at once
+_SCORED = 1000
+_MARKS = 1 << 26
 
 
 def masking_spec(spark: SparkSession) -> DataFrame:
@@ -126,19 +132,62 @@ def phrase_spans(texts: DataFrame, lexicon: DataFrame, key: str, text: str) -> D
     return found.select(key, chosen.alias("spans"))
 
 
-def grams(text: Column) -> Column:
-    """Distinct runs of three characters of the words of a text in lower case, with a blank before and after
-    each; words are cut one by one, so the work grows with the text's length."""
-    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
-    padded = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
+def words(text: Column) -> Column:
+    """The distinct words of a text in lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: w != "")
+
+
+def _distinct(values: np.ndarray, end: int) -> np.ndarray:
+    """Distinct values from 0 up to an end, in order; marked in a table where that is small."""
+    if end > _MARKS:
+        return np.unique(values)
+    seen = np.zeros(end, dtype=bool)
+    seen[values] = True
+    return np.flatnonzero(seen)
+
+
+def _grams(column: pa.ListArray, known: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(row, gram) once for each distinct run of three characters in the words of a row, with a blank before
+    and after each word, and the runs; of known ones only where these are given, numbered as they are.
+
+    Every distinct word of the batch is cut once."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    coded = column.flatten().dictionary_encode()
+    number = {} if known is None else known
+    held, ends = [], [0]
+    for w in coded.dictionary.to_pylist():
+        w = f" {w} "
+        for i in range(len(w) - 2):
+            g = w[i : i + 3]
+            n = number.setdefault(g, len(number)) if known is None else number.get(g, -1)
+            if n >= 0:
+                held.append(n)
+        ends.append(len(held))
+    of_word, held, ends = coded.indices.to_numpy(zero_copy_only=False), np.array(held, dtype=np.int64), np.array(ends)
+    many = np.diff(ends)[of_word]
+    first = np.cumsum(many) - many
+    gram = held[np.arange(int(many.sum())) + np.repeat(ends[of_word] - first, many)]
+    both = _distinct(np.repeat(np.repeat(np.arange(len(size)) * len(number), size), many) + gram, len(size) * len(number))
+    return both // max(1, len(number)), both % max(1, len(number)), list(number)
 
 
 def language_profiles(labelled: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, gram, weight): the PROFILE_GRAMS commonest runs of each language with the logarithm of their share of
     its texts, and under no gram the weight of one that the profile lacks; counts are summed in each task first."""
     n = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("texts"))
-    counts = labelled.select(F.col(lang).alias("lang"), F.explode(grams(F.col(text))).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SCORED):
+                part = batch.slice(at, _SCORED)
+                row, gram, runs = _grams(part.column(1))
+                langs = part.column(0).dictionary_encode("encode")
+                both, times = np.unique(langs.indices.to_numpy(zero_copy_only=False)[row] * max(1, len(runs)) + gram, return_counts=True)
+                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(both // max(1, len(runs)))), pa.array(runs, pa.string()).take(pa.array(both % max(1, len(runs)))), pa.array(times)], names=["lang", "gram", "n"])
+
+    kind = labelled.schema[lang].dataType.simpleString()
+    rows = labelled.select(F.col(lang).alias("lang"), words(F.col(text)).alias("words"))
+    counts = rows.mapInArrow(count, f"lang {kind}, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= PROFILE_GRAMS)
     known = ranked.join(n, "lang").select("lang", "gram", F.log((F.col("n") + 1) / (F.col("texts") + 2)).alias("weight"))
     return known.unionByName(n.select("lang", F.lit("").alias("gram"), F.log(1 / (F.col("texts") + 2)).alias("weight")))
@@ -146,13 +195,36 @@ def language_profiles(labelled: DataFrame, text: str, lang: str) -> DataFrame:
 
 def languages(texts: DataFrame, profiles: DataFrame, key: str, text: str) -> DataFrame:
     """(key, lang): the language whose profile makes the text's runs most likely; a run that a profile lacks
-    counts as one in no text.  A text without a known run has FALLBACK.  The key is unique."""
-    table = profiles.where("gram <> ''").groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "weight"))).alias("w"))
-    least = profiles.where("gram = ''").select("lang", F.col("weight").alias("least"))  # a row a language
-    held = texts.select(key, F.explode(grams(F.col(text))).alias("gram")).join(table, "gram")  # a few hundred rows a language
-    scored = held.join(F.broadcast(least)).groupBy(key, "lang").agg(F.sum(F.coalesce(F.try_element_at("w", F.col("lang")), F.col("least"))).alias("score"))
-    best = scored.groupBy(key).agg(F.min(F.struct((-F.round("score", 6)).alias("s"), "lang"))["lang"].alias("lang"))
-    return texts.select(key).join(best, key, "left").select(key, F.coalesce("lang", F.lit(FALLBACK)).alias("lang"))
+    counts as one in no text.  A text without a known run has FALLBACK.  The key is unique.
+
+    The profiles (PROFILE_GRAMS rows a language) are sent to the tasks, which score each text where it is."""
+    rows = profiles.select("lang", "gram", "weight").collect()
+    least = {r.lang: r.weight for r in rows if r.gram == ""}
+    names = sorted(least, key=lambda x: (x is not None, x))  # ties go to the first
+    place = {x: i for i, x in enumerate(names)}
+    number: dict[str, int] = {}
+    entries: list[tuple[int, int, float]] = [(number.setdefault(r.gram, len(number)), place[r.lang], r.weight - least[r.lang]) for r in rows if r.gram != ""]
+    entries.sort()
+    gram_at = np.searchsorted(np.array([e[0] for e in entries], dtype=np.int64), np.arange(len(number) + 1))
+    lang_of, more = np.array([e[1] for e in entries], dtype=np.int64), np.array([e[2] for e in entries])
+    model = texts.sparkSession.sparkContext.broadcast((number, gram_at, lang_of, more, np.array([least[x] for x in names]), names))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, gram_at, lang_of, more, base, names = model.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SCORED):
+                part = batch.slice(at, _SCORED)
+                row, gram, _ = _grams(part.column(1), number)
+                many = np.diff(gram_at)[gram]
+                entry = np.arange(int(many.sum())) + np.repeat(gram_at[gram] - (np.cumsum(many) - many), many)
+                total = np.bincount(np.repeat(row, many) * len(names) + lang_of[entry], more[entry], part.num_rows * len(names)).reshape(part.num_rows, len(names))
+                held = np.bincount(row, minlength=part.num_rows)
+                best = np.round(total + held[:, None] * base, 6).argmax(axis=1) if names else np.zeros(part.num_rows, dtype=np.int64)
+                found = [names[b] if h and names[b] is not None else FALLBACK for b, h in zip(best.tolist(), held.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string())], names=[key, "lang"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(F.col(key), words(F.col(text)).alias("words")).mapInArrow(score, f"`{key}` {kind}, lang string")
 
 
 def mask_by_language(df: DataFrame, columns: list[str], lang: str, toggles: Toggles = Toggles()) -> DataFrame:

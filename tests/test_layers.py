@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -75,3 +76,17 @@ def test_profiles_tell_languages_of_held_out_documents(spark):
     right, n = out.where("lang = found").count(), out.count()
     majority = rest.groupBy("lang").count().agg(F.max("count")).first()[0]
     assert n > 20 and right >= majority
+
+
+def test_languages_do_not_shuffle_runs_and_count_each_once_a_text(spark):
+    rnd = random.Random(4)
+    texts = [(i, " ".join(rnd.choice(["Één", "an", "ANN", "été", "xy"]) for _ in range(rnd.randint(0, 6))) or None, rnd.choice(["a", "b", None])) for i in range(40)]
+    df = spark.createDataFrame(texts, "k bigint, t string, lang string")
+    profiles = L.language_profiles(df, "t", "lang")
+    runs = lambda t: {f" {w} "[i : i + 3] for w in (t or "").lower().split() for i in range(len(w))}
+    want = {(g, la): sum(g in runs(t) for _, t, x in texts if x == la) for la in "ab" for _, t, x in texts if x == la for g in runs(t)}
+    many = {la: sum(x == la for _, _, x in texts) for la in "ab"}
+    got = {(r.gram, r.lang): r.weight for r in profiles.where("gram <> '' and lang is not null").collect()}
+    assert set(got) == set(want) and all(abs(math.exp(got[g, la]) - (n + 1) / (many[la] + 2)) < 1e-9 for (g, la), n in want.items())
+    plan = L.languages(df, profiles, "k", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
