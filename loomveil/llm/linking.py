@@ -15,7 +15,8 @@ A pair is checked once: pairs of earlier rounds are left out of later ones, and
 lists of buckets, the exhaustive round joins a pair only in the first bucket that both have in common;
 where members name the bucket ``before`` theirs, only where the two came there from different buckets.  Buckets are aggregated
 before they are shuffled, and pairs come from sort-merge joins, whose hot keys Spark splits.  Buckets
-carry no more of an item than the first filters need.  Tables of a round are removed from the shared
+carry no more of an item than the first filters need, and a round looks only at those that the round before
+found to hold several components.  Tables of a round are removed from the shared
 folder when the tables that replace them are written.
 """
 
@@ -150,7 +151,8 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
     on the columns of two members, given as prefixes, that every linked pair fulfils in the first bucket
     they share, and close(x, y) one on their traits.  Star rounds, whose pairs are few, look traits up by
     pair; the last round has them in the buckets, so that it makes no pairs that they rule out."""
-    extra = [c for c in members.columns if c != "bucket"]
+    extra = ["item", *(c for c in members.columns if c not in ("bucket", "item"))]
+    lean = F.struct(*(F.col(f"x.{c}") for c in extra if c != "before")).alias("x")
     whole = F.struct(*extra)
     found = seen = None
 
@@ -174,15 +176,18 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
         r = n.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
         return r.pairs > STAR_GAIN * r.rows
 
-    k, star, n_linked, latest = 0, True, 0, None
+    k, star, n_linked, latest, rest = 0, True, 0, None, members
     while star:
         if found is None:
-            named = members.select("bucket", whole.alias("x"), F.col("item").alias("comp"))
+            named = rest.select("bucket", whole.alias("x"), F.col("item").alias("comp"))
         else:
-            named = members.join(found.withColumnRenamed("node", "item"), "item", "left").select("bucket", whole.alias("x"), F.coalesce("component", "item").alias("comp"))
+            named = rest.join(found.withColumnRenamed("node", "item"), "item", "left").select("bucket", whole.alias("x"), F.coalesce("component", "item").alias("comp"))
         if k:  # only buckets with several components
             mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-            named = stash(named.join(mixed, "bucket", "left_semi"), "mixed")
+            named, old = stash(named.join(mixed, "bucket", "left_semi"), "mixed"), rest
+            rest = named.select("bucket", "x.*")
+            if k > 1:
+                discard(old)
             if named.isEmpty():
                 discard(named)
                 break
@@ -191,9 +196,10 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
             star = latest is not None and k < MOST_STAR_ROUNDS and 10 * n_linked >= latest.count() and many_pairs(named)
         if star:
             # at first the same few items are pivots of most buckets, then each bucket names its own
-            best = F.struct("comp", "x") if k == 0 else F.struct(F.xxhash64("x.item", "bucket", F.lit(k)).alias("h"), "comp", "x")
-            pivots = named.groupBy("bucket").agg(F.min(best).alias("p")).select("bucket", F.col("p.comp").alias("pivot_comp"), F.col("p.x").alias("y"))
-            new = pairs(named, pivots, F.col("comp") != F.col("pivot_comp"))
+            slim = named.select("bucket", lean, "comp")
+            best = F.struct("x") if k == 0 else F.struct(F.xxhash64("x.item", "bucket", F.lit(k)).alias("h"), "comp", "x")
+            pivots = slim.groupBy("bucket").agg(F.min(best).alias("p")).select("bucket", F.col("p.x.item" if k == 0 else "p.comp").alias("pivot_comp"), F.col("p.x").alias("y"))
+            new = pairs(slim, pivots, F.col("comp") != F.col("pivot_comp"))
         else:
             slim, named = named, stash(with_traits(named, "x.item", "xt", traits.columns), "mixed")
             if k:
@@ -210,7 +216,7 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
             new = pairs(few, other, wanted)
         new = stash(narrow(new) if star else new, "pairs")
         linked = check(new)
-        if k or not star:
+        if not star:
             discard(named)
         k, n_linked, latest = k + 1, linked.count(), new
         seen = new if seen is None else seen.unionByName(new)

@@ -16,6 +16,8 @@ small sets have too few pairs.
 * The order comes from counts of all shingles of the corpus in a fixed number of hashed counters
   (``COUNTERS``), by eighth powers of two, ties by hash.  Any order gives the same result; counting only
   keeps frequent shingles out of the prefixes.
+* Prefixes are written once and never shuffled.  A first pass deals out 32 bits of the hash of each bucket and
+  finds those that occur twice or more (``Repeats``, a bitmap); only members of these are written.
 * Buckets of the prefixes meet by ``linking.link``: components without all pairs of a bucket.
 * The suffix filter cuts whole sets at fixed places of the hash order into 256 parts and bounds their
   difference by that of the sizes of the parts, which are kept modulo two (``parity_close``); it takes the
@@ -48,6 +50,10 @@ COUNTER_BITS = 21
 COUNTERS = 1 << COUNTER_BITS
 _PIECE = 1 << 14
 _ROWS = 1 << 16
+#: bits of the bitmap of repeated buckets, two for each bucket up to so many; buckets that one task counts
+REPEAT_BITS = 1 << 29
+_DEALT = 4_000_000
+_HELD = 1 << 20
 #: from this similarity on sets meet by pairs of neighbours (with 2 shingles or more they have enough of them)
 PAIRS_FROM = 80
 SIGS = ["sig1", "sig2", "sig3", "sig4"]
@@ -111,6 +117,11 @@ def prefix_of(ordered: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np
     return values[take], np.concatenate([[0], np.cumsum(length)])
 
 
+def prefix_length(size, percent: int):
+    """How many buckets a set of a size (a column) has at most."""
+    return F.floor((2 if percent >= PAIRS_FROM else 1) * (100 - percent) * size / 100) + 1
+
+
 def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(id, n_shingles, key1, key2, sig1 to sig4, prefix) of rows (id, text): the digest of each set, a
     bitmap of parities of its shingles, and its buckets in the global order."""
@@ -136,20 +147,103 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, n_shingles bigint, key1 bigint, key2 bigint, " + ", ".join(f"{s} bigint" for s in SIGS) + ", prefix array<bigint>")
 
 
-def bucket_members(heads: DataFrame) -> DataFrame:
+def _head_key(item: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return textops.mix(key.view(np.uint64) ^ textops.mix(item.astype(np.int64).view(np.uint64))).view(np.int64)
+
+
+def _head_rows(batch: pa.RecordBatch, wanted) -> pa.RecordBatch:
+    """The rows (item, n_shingles, prefix, key1) of a batch that may be heads."""
+    return batch.filter(pa.array(wanted.value(_head_key(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("item", "key1")))))) if wanted else batch
+
+
+class Repeats:
+    """Which buckets may occur twice or more: a bitmap over their hashes, a piece for each part of them.
+
+    Others than repeated ones pass where they share a bit with one; no repeated one is lost."""
+
+    def __init__(self, bits: np.ndarray, parts: int, piece_bits: int):
+        self.bits, self.parts, self.piece_bits = bits, parts, piece_bits
+
+    @staticmethod
+    def _split(bucket: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        h = textops.mix(bucket.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+        return (h >> np.uint64(32)) % np.uint64(parts), h & np.uint64(0xFFFFFFFF)
+
+    @classmethod
+    def of(cls, heads: DataFrame, total: int, wanted=None) -> Repeats:
+        """From rows (item, n_shingles, prefix, key1) whose prefixes have about total buckets; pieces are
+        built on the executors.  Of a bucket, a task sends no more than two for each _HELD that it reads."""
+        parts = max(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // _DEALT))
+        piece_bits = max(3, min(31, (2 * total // parts).bit_length(), (REPEAT_BITS // parts).bit_length() - 1))
+
+        def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+            part, low = cls._split(np.concatenate(held), parts)
+            found = np.sort(part << np.uint64(32) | low)
+            keep = np.ones(len(found), dtype=bool)
+            keep[2:] = found[2:] != found[:-2]
+            found = found[keep]
+            part, low = (found >> np.uint64(32)).astype(np.int32), found.astype(np.uint32)
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array([low[a:b].tobytes() for a, b in zip(first, [*first[1:], len(low)])], pa.binary())], names=["part", "data"])
+
+        @tidy
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for batch in batches:
+                own = _head_rows(batch, wanted).column(2).flatten().to_numpy(zero_copy_only=False)
+                for lo in range(0, len(own), _HELD):
+                    held.append(own[lo : lo + _HELD].copy())
+                    n += len(held[-1])
+                    if n >= _HELD:
+                        yield pack(held)
+                        held, n = [], 0
+            if n:
+                yield pack(held)
+
+        @tidy
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    held.setdefault(part, []).append(np.frombuffer(data.as_buffer(), dtype=np.uint32).copy())
+            for part in list(held):
+                low = np.sort(np.concatenate(held.pop(part)))
+                bits = np.zeros(1 << piece_bits, dtype=bool)
+                bits[low[1:][low[1:] == low[:-1]] >> np.uint32(32 - piece_bits)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["part", "data"])
+
+        schema, size = "part int, data binary", (1 << piece_bits) // 8
+        bits = np.zeros(parts * size, dtype=np.uint8)
+        for r in heads.mapInArrow(deal, schema).repartition(parts, "part").mapInArrow(count, schema).collect():
+            bits[r.part * size :][:size] = np.frombuffer(r.data, dtype=np.uint8)
+        return cls(bits, parts, piece_bits)
+
+    def __call__(self, bucket: np.ndarray) -> np.ndarray:
+        part, low = self._split(bucket, self.parts)
+        place = ((part << np.uint64(self.piece_bits)) + (low >> np.uint64(32 - self.piece_bits))).astype(np.int64)
+        return (self.bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
+def bucket_members(heads: DataFrame, wanted=None, repeats=None) -> DataFrame:
     """(item, n_shingles, at, bucket, before) of rows (item, n_shingles, prefix): the buckets of each item
-    with their places, and the bucket before each."""
+    with their places, and the bucket before each.  wanted (of rows with key1) and repeats, both broadcast,
+    tell which rows may be heads and which buckets may be shared."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _head_rows(batch, wanted)
             prefix, size = batch.column(2), batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             bucket = prefix.flatten()
             owner = np.repeat(np.arange(len(size)), size)
             at = np.arange(len(bucket)) - np.repeat(np.cumsum(size) - size, size)
             before = pa.array(np.roll(bucket.to_numpy(zero_copy_only=False), 1), pa.int64(), mask=at == 0)
-            whole = [batch.column(0).take(pa.array(owner)), batch.column(1).cast(pa.int32()).take(pa.array(owner)), pa.array(at, pa.int32()), bucket, before]
-            for lo in range(0, len(bucket), _ROWS):
+            whole = [pa.array(at, pa.int32()), bucket, before]
+            if repeats:
+                some = np.flatnonzero(repeats.value(bucket.to_numpy(zero_copy_only=False)))
+                owner, whole = owner[some], [c.take(pa.array(some)) for c in whole]
+            whole = [batch.column(0).take(pa.array(owner)), batch.column(1).cast(pa.int32()).take(pa.array(owner)), *whole]
+            for lo in range(0, len(owner), _ROWS):
                 yield pa.RecordBatch.from_arrays([c.slice(lo, _ROWS) for c in whole], names=["item", "n_shingles", "at", "bucket", "before"])
 
     return heads.mapInArrow(run, "item bigint, n_shingles int, at int, bucket bigint, before bigint")
@@ -217,11 +311,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups = real.groupBy(*keys).agg(F.min("id").alias("item"))
     own_item = F.when(F.col("id").isNotNull(), F.col("item")).alias("item")
     rows = stash(table.select("id", *keys).join(groups, keys, "left").select("id", "n_shingles", own_item), "rows")
-    heads = stash(real.join(groups, keys).where("id = item").dropDuplicates(["item", *keys]).select("item", "n_shingles", *SIGS, "prefix"), "heads")
+    heads = stash(real.drop("prefix").join(groups, keys).where("id = item").dropDuplicates(["item", *keys]).select("item", "n_shingles", "key1", *SIGS), "heads")
+    # prefixes stay where they were written: a filter finds the rows of heads, and few copies of them
+    spark = docs.sparkSession
+    wanted = spark.sparkContext.broadcast(IdFilter.of(heads.select("item", "key1"), _head_key))
+    whole = real.select(F.col("id").alias("item"), "n_shingles", "prefix", "key1")
+    total = heads.agg(F.sum(prefix_length(F.col("n_shingles"), percent))).first()[0] or 0
+    repeats = spark.sparkContext.broadcast(Repeats.of(whole, total, wanted))
+    members = stash(bucket_members(whole, wanted, repeats), "members")
     discard(table)
-    members = bucket_members(heads.select("item", "n_shingles", "prefix"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = stash(members.join(shared, "bucket"), "members")
 
     def may_link(x: str, y: str):
         """Length and positional filter."""
@@ -231,7 +329,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return (F.least(*size) >= need) & (F.least(*at) + rest >= need)
 
     check = exact_check(lambda items: whole_sets(own, items, n), percent)
-    found = link(members, heads.drop("prefix"), check, may_link, parity_close(percent)).toDF("item", "component")
+    found = link(members, heads.drop("key1"), check, may_link, parity_close(percent)).toDF("item", "component")
     discard(members, heads)
     named = rows.where("item is not null").join(found, "item", "left").groupBy("id").agg(F.min(F.coalesce("component", "item")).alias("component_id"))
     return rows.select("id", "n_shingles").join(named, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

@@ -123,6 +123,20 @@ def test_ngram_join_sets_that_share_one_rare_shingle_do_not_meet(spark):
     assert {(r.item, r.at, r.bucket, r.before) for r in members.collect()} == {(7, 0, 3, None), (7, 1, 4, 3), (9, 0, 6, None)}
 
 
+def test_ngram_join_writes_members_of_repeated_buckets_alone(spark):
+    rnd = random.Random(12)
+    rows = [(i, 50, [rnd.getrandbits(63) for _ in range(20)] + [rnd.randint(0, 900), 7], i) for i in range(300)]
+    heads = spark.createDataFrame(rows, "item bigint, n_shingles bigint, prefix array<bigint>, key1 bigint")
+    repeats = ngram_join.Repeats.of(heads, 300 * 22)
+    times = Counter(b for r in rows for b in r[2])
+    passing = [b for b, ok in zip(times, repeats(np.array(list(times), np.int64))) if ok]
+    assert {b for b, n in times.items() if n > 1} <= set(passing) and len(passing) < len(times) / 10
+    members = ngram_join.bucket_members(heads, repeats=spark.sparkContext.broadcast(repeats))
+    assert sorted((r.item, r.at, r.bucket) for r in members.collect()) == sorted((i, at, b) for i, _, p, _ in rows for at, b in enumerate(p) if b in set(passing))
+    assert "Exchange" not in members._jdf.queryExecution().toString()
+    assert not ngram_join.Repeats.of(heads.where("false"), 0)(np.array([1], np.int64)).any()
+
+
 def test_pipeline_drops_a_near_copy_with_one_edit(spark):
     words = [f"w{i}" for i in range(50)]
     df = docs(spark, [" ".join(words), " ".join([*words[:25], "x", *words[26:]]), " ".join(words[:25])])
