@@ -333,7 +333,8 @@ def _dealt(docs: DataFrame, s: Settings, parts: int, wanted, hot) -> DataFrame:
                     names=["bucket", "hashes", "at", "sound", "n", "ids", "prints"],
                 )
 
-    return docs.mapInArrow(run, _DEALT).repartition(parts, "bucket")
+    # a task gets one bucket: dealt by hash, some would get several, and hold and sort them all
+    return docs.mapInArrow(run, _DEALT).repartitionById(parts, "bucket")
 
 
 def _packed(ids: np.ndarray, prints: np.ndarray, source: np.ndarray, at: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -388,13 +389,18 @@ def verbatim_spans(docs: DataFrame, s: Settings, gone: DataFrame | None = None)
         key, ids, at, prints, unsound = (np.concatenate(part) for part in held)
         held.clear()
         order = np.lexsort((ids, unsound, key))
-        key, ids, at, prints, unsound = (x[order] for x in (key, ids, at, prints, unsound))
+        # one column at a time, so that two copies of all are never held
+        key = key[order]
+        ids = ids[order]
+        unsound = unsound[order]
         new = _changes(key)
         least = np.where(unsound[new], np.iinfo(np.int64).max, ids[new])
         source = least[np.cumsum(new) - 1]
         lost = np.flatnonzero(ids > source)
         if len(lost):
-            yield _packed(ids[lost], prints[lost], source[lost], at[lost], parts)
+            ids, source, order = ids[lost], source[lost], order[lost]
+            del key, unsound, new, least
+            yield _packed(ids, prints[order], source, at[order], parts)
 
     @tidy
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,7 +435,7 @@ def verbatim_spans(docs: DataFrame, s: Settings, gone: DataFrame | None = None)
     lost = _dealt(docs, s, parts, wanted, hot).mapInArrow(losing, _LOST)
     if hot:
         lost = lost.unionByName(_hot_losses(docs, s, parts, hot))
-    return lost.repartition(parts, "bucket").mapInArrow(merged, "id bigint, at int, n int, hash bigint, source bigint").withColumn("kind", F.lit("w"))
+    return lost.repartitionById(parts, "bucket").mapInArrow(merged, "id bigint, at int, n int, hash bigint, source bigint").withColumn("kind", F.lit("w"))
 
 
 def duplicate_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

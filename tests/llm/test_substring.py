@@ -3,9 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomveil.llm import substring_dedup
+from loomveil.llm.linking import IdFilter
 from loomveil.llm.substring_dedup import Settings
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,3 +106,12 @@ def _starts(text):
         starts.append(at)
         at += len(x.split())
     return starts, lines
+
+
+def test_a_task_gets_one_bucket_of_windows(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(100 * (i % 3), 100 * (i % 3) + 200))) for i in range(9)]
+    docs = spark.createDataFrame(rows, "id bigint, text string").withColumn("gone", F.lit(None).cast(substring_dedup._GONE))
+    every = spark.sparkContext.broadcast(IdFilter(np.full(1 << 13, 255, np.uint8), 1 << 16))
+    dealt = substring_dedup._dealt(docs, Settings(), 13, every, None)
+    found = set(dealt.select("bucket", F.spark_partition_id().alias("task")).collect())
+    assert len(found) > 6 and len({r.bucket for r in found}) == len({r.task for r in found}) == len(found)
