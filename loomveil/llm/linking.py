@@ -142,7 +142,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], close: Callable[[str, str], Column], star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], close: Callable[[str, str], Column], star_rounds: int = STAR_ROUNDS, sharp: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None) -> DataFrame:
     """(node, component) of items with links, given members (bucket, item, at, ...) of buckets and traits
     (item, ...) of items.  Traits may hold short lists of ``buckets``; bucket is then the one at place ``at``.
     Members may have the bucket ``before`` theirs in the order of their item's buckets (null: none).
@@ -150,7 +150,8 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
     check(pairs of a, b) keeps the pairs that are linked, as a stored table; may_link(x, y) is a condition
     on the columns of two members, given as prefixes, that every linked pair fulfils in the first bucket
     they share, and close(x, y) one on their traits.  Star rounds, whose pairs are few, look traits up by
-    pair; the last round has them in the buckets, so that it makes no pairs that they rule out."""
+    pair; the last round has them in the buckets, so that it makes no pairs that they rule out.  There, sharp
+    may give more traits (item, ...) of a column of items, and a condition on them for the pairs that are close."""
     extra = ["item", *(c for c in members.columns if c not in ("bucket", "item"))]
     lean = F.struct(*(F.col(f"x.{c}") for c in extra if c != "before")).alias("x")
     whole = F.struct(*extra)
@@ -201,18 +202,27 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
             pivots = slim.groupBy("bucket").agg(F.min(best).alias("p")).select("bucket", F.col("p.x.item" if k == 0 else "p.comp").alias("pivot_comp"), F.col("p.x").alias("y"))
             new = pairs(slim, pivots, F.col("comp") != F.col("pivot_comp"))
         else:
-            slim, named = named, stash(with_traits(named, "x.item", "xt", traits.columns), "mixed")
+            slim, named = named, with_traits(named, "x.item", "xt", traits.columns)
+            if sharp:
+                items = stash(slim.select("x.item").distinct(), "items")
+                more = stash(sharp[0](items), "traits")
+                named = named.join(more.select(F.col("item").alias("__item"), F.struct(*more.columns).alias("xs")), F.col("x.item") == F.col("__item")).drop("__item")
+            named = stash(named, "mixed")
+            if sharp:
+                discard(items, more)
             if k:
                 discard(slim)
             sizes = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
             main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
             few = named.join(main, "bucket").where("comp <> main")
-            other = named.select("bucket", F.col("x").alias("y"), F.col("xt").alias("yt"), F.col("comp").alias("other"))
-            wanted = close("xt", "yt") & (F.col("comp") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("comp") < F.col("other")))
+            other = named.select("bucket", F.col("comp").alias("other"), *(F.col(c).alias(c.replace("x", "y", 1)) for c in named.columns if c not in ("bucket", "comp")))
+            wanted = (F.col("comp") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("comp") < F.col("other"))) & close("xt", "yt")
             if "buckets" in traits.columns:
                 wanted &= ~F.arrays_overlap(*(F.slice(f"{s}t.buckets", F.lit(1), F.col(f"{s}.at")) for s in ("x", "y")))
             if "before" in extra:
                 wanted &= F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
+            if sharp:
+                wanted &= sharp[1]("xs", "ys")
             new = pairs(few, other, wanted)
         new = stash(narrow(new) if star else new, "pairs")
         linked = check(new)

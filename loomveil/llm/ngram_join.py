@@ -21,7 +21,9 @@ small sets have too few pairs.
 * Buckets of the prefixes meet by ``linking.link``: components without all pairs of a bucket.
 * The suffix filter cuts whole sets at fixed places of the hash order into 256 parts and bounds their
   difference by that of the sizes of the parts, which are kept modulo two (``parity_close``); it takes the
-  place of the recursive search for pivots, which would need whole sets before the join.
+  place of the recursive search for pivots, which would need whole sets before the join.  In the last round,
+  which pairs all components left in a bucket, items also have parities of four bits or more a shingle
+  (``wide_close``), so that near copies of one text that are not similar enough are told apart in the join.
 * Whole sets are built again only for items in candidate pairs, found by a Bloom filter of bounded
   size, or by a shuffled join where ids are too many for it.
 
@@ -56,6 +58,8 @@ _DEALT = 4_000_000
 _HELD = 1 << 20
 #: from this similarity on sets meet by pairs of neighbours (with 2 shingles or more they have enough of them)
 PAIRS_FROM = 80
+#: 64-bit words of a set's wide parities at most
+WIDE_WORDS = 1 << 9
 SIGS = ["sig1", "sig2", "sig3", "sig4"]
 
 
@@ -249,8 +253,9 @@ def bucket_members(heads: DataFrame, wanted=None, repeats=None) -> DataFrame:
     return heads.mapInArrow(run, "item bigint, n_shingles int, at int, bucket bigint, before bigint")
 
 
-def whole_sets(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """(item, shingles) of the documents in items (one column), and of a few others; docs are read once."""
+def _of_items(docs: DataFrame, items: DataFrame, n: int, name: str, make: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
+    """(item, n_shingles, an array of bigint) of the documents in items (one column), and of a few others, as make
+    gives it from shingles and bounds; docs are read once."""
     docs = docs.where("id is not null")
     fits = items.count() <= FILTER_IDS
     wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(items)) if fits else None
@@ -263,9 +268,20 @@ def whole_sets(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
             if wanted is not None:
                 batch = batch.filter(pa.array(wanted.value(batch.column(0).to_numpy(zero_copy_only=False))))
             for at, values, bounds in _sets(batch.column(1), n):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bounds) - 1), textops.list_array(_signed(values), bounds)], names=["item", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bounds) - 1), pa.array(np.diff(bounds), pa.int64()), textops.list_array(*make(values, bounds))], names=["item", "n_shingles", name])
+
+    return docs.mapInArrow(run, f"item bigint, n_shingles bigint, {name} array<bigint>")
+
+
+def whole_sets(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """(item, shingles) of the documents in items, and of a few others."""
+    return _of_items(docs, items, n, "shingles", lambda values, bounds: (_signed(values), bounds)).drop("n_shingles")
+
 
-    return docs.mapInArrow(run, "item bigint, shingles array<bigint>")
+def wide_traits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """(item, n_shingles, wide) of the documents in items, and of a few others: parities that grow with the set.
+    256 of them tell sets of some hundred shingles hardly apart."""
+    return _of_items(docs, items, n, "wide", lambda values, bounds: textops.wide_parities(values, bounds, WIDE_WORDS)).dropDuplicates()
 
 
 def exact_check(sets: Callable[[DataFrame], DataFrame], percent: int):
@@ -273,11 +289,12 @@ def exact_check(sets: Callable[[DataFrame], DataFrame], percent: int):
     (item, shingles) of a column of items.  Sets are built once for both sides of all pairs."""
 
     def check(pairs: DataFrame) -> DataFrame:
-        table = stash(sets(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()), "shingles")
+        items = stash(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "items")
+        table = stash(sets(items), "shingles")
         common = F.size(F.array_intersect("sa", "sb"))
         both = pairs.join(table.toDF("a", "sa"), "a").join(table.toDF("b", "sb"), "b").select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("s"))
         linked = stash(both.where(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b").distinct(), "links")
-        discard(table)
+        discard(items, table)
         return linked
 
     return check
@@ -302,6 +319,20 @@ def parity_close(percent: int):
     return close
 
 
+def wide_close(percent: int):
+    """The suffix filter on wide parities; sets of unlike sizes are compared at the width of the smaller one."""
+
+    def close(x: str, y: str):
+        words = [F.col(f"{s}.wide") for s in (x, y)]
+        least = F.least(*(F.size(w) for w in words))
+        folded = [F.when(F.size(w) == least, w).otherwise(F.zip_with(F.slice(w, 1, least), F.slice(w, least + 1, least), lambda p, q: p.bitwiseXOR(q))) for w in words]
+        apart = F.aggregate(F.zip_with(*folded, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, one: total + one)
+        most = F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles") - 2 * needed(x, y, percent)
+        return F.when(F.greatest(*(F.size(w) for w in words)) <= 2 * least, apart <= most).otherwise(True)
+
+    return close
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """(id, n_shingles, component_id) of each row of docs."""
     own = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
@@ -329,7 +360,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return (F.least(*size) >= need) & (F.least(*at) + rest >= need)
 
     check = exact_check(lambda items: whole_sets(own, items, n), percent)
-    found = link(members, heads.drop("key1"), check, may_link, parity_close(percent)).toDF("item", "component")
+    found = link(members, heads.drop("key1"), check, may_link, parity_close(percent), sharp=(lambda items: wide_traits(own, items, n), wide_close(percent))).toDF("item", "component")
     discard(members, heads)
     named = rows.where("item is not null").join(found, "item", "left").groupBy("id").agg(F.min(F.coalesce("component", "item")).alias("component_id"))
     return rows.select("id", "n_shingles").join(named, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

@@ -215,6 +215,17 @@ def parities(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, 256), axis=1).view(np.int64)
 
 
+def wide_parities(values: np.ndarray, bounds: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parities as above of four bits or more for each hash of a set, and their bounds: 64-bit words, a power of
+    two from 4 to most of them a set.  Both halves of a set's words, xored, are its parities of half as many."""
+    size = np.diff(bounds)
+    words = np.minimum(most, 1 << np.ceil(np.log2(np.maximum(4, size / 16))).astype(np.int64))
+    cut = np.concatenate([[0], np.cumsum(words)])
+    bit = mix(values) & np.repeat(64 * words - 1, size).astype(np.uint64)
+    odd = np.bincount(np.repeat(64 * cut[:-1], size) + bit.astype(np.int64), minlength=64 * cut[-1]) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64), cut
+
+
 def list_array(values: np.ndarray, bounds: np.ndarray, kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, type=kind))
 
