@@ -67,6 +67,9 @@ WORDS = 20_000
 _PIECE = 1 << 16
 _TABLES = 3
 _LEAST_BITS = 21
+#: bits whose logits are made at once
+_CHUNK = 1 << 14
+_LANES = 4
 BACKOFF = (6.0, 4.0, 2.0)
 _WEIGHTS = np.array([1.0, 0.9, 0.4, 0.3, 0.5], dtype=np.float32)
 _GATES = 12
@@ -173,24 +176,30 @@ class Bits:
         self.size = np.diff(code.ptr)[symbol]
         before = np.cumsum(self.size) - self.size
         self.where = np.arange(int(self.size.sum())) + np.repeat(code.ptr[symbol] - before, self.size)
-        self.node, self.bit = code.nodes[self.where], code.bits[self.where]
-        spread = self.node.astype(np.uint64) * _ODD[3]
-        self.slots = [(((np.repeat(c[some], self.size) ^ spread) * odd) >> np.uint64(64 - slot_bits)).astype(np.int64) for c, odd in zip(t.contexts, _ODD)]
+        self.node, self.bit = code.nodes.take(self.where, mode="clip"), code.bits.take(self.where, mode="clip")
+        spread = self.node.astype(np.uint64)
+        spread *= _ODD[3]
+        self.slots = []
+        for c, odd in zip(t.contexts, _ODD):
+            slot = np.repeat(c[some], self.size)
+            slot ^= spread
+            slot *= odd
+            slot >>= np.uint64(64 - slot_bits)
+            self.slots.append(slot.view(np.int64))
 
     def guess(self, t: Tokens, code: Code, tokens: np.ndarray) -> None:
-        """The match model: its vote on each bit (1, -1 or 0), and its state."""
-        match = np.repeat(t.match[tokens], self.size)
-        self.match, self.state = np.zeros(len(match), dtype=np.float32), np.zeros(len(match), dtype=np.int64)
-        some = np.flatnonzero(match >= 0)
-        token = np.repeat(tokens, self.size)[some]
-        other = t.symbol[match[some]]
+        """The match model: the bits it votes on, its votes (1 or -1), and its states there (0 elsewhere)."""
+        some = np.flatnonzero(np.repeat(t.match[tokens] >= 0, self.size))
+        has = np.flatnonzero(t.match[tokens] >= 0)
+        token = np.repeat(tokens[has], self.size[has])
+        other = t.symbol[t.match[token]]
         there = self.where[some] - code.ptr[t.symbol[token]] + code.ptr[other]
         inside = there < code.ptr[other + 1]
         some, token, there = some[inside], token[inside], there[inside]
         agree = code.nodes[there] == self.node[some]
-        some = some[agree]
-        self.match[some] = np.where(code.bits[there[agree]] == 1, 1, -1)
-        self.state[some] = 1 + t.long[token[agree]]
+        self.live = some[agree]
+        self.vote = np.where(code.bits[there[agree]] == 1, np.float32(1), np.float32(-1))
+        self.state = 1 + t.long[token[agree]]
 
 
 def _ranges(t: Tokens) -> Iterator[tuple[int, int]]:
@@ -286,27 +295,43 @@ def bit_counts(training: DataFrame, code, slot_bits: int, tasks: int) -> np.ndar
 
 
 def predictions(b: Bits, code: Code, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of a range of bits, (predictors, bits), and the confidence level of the longest context.
+    """Logits of a range of bits by order 0 and the tables, (predictors, bits), and the confidence level of the
+    longest context.
 
     A context's probability leans on that of the context before it with a weight of ``BACKOFF``
     counts, and its predictor is by how much its logit departs from that one's."""
-    x = np.empty((len(b.slots) + 2, len(b.bit)), dtype=np.float32)
-    last, p = code.logit[b.node], code.share[b.node]
-    x[0], x[-1] = last, 2 * b.match
-    for k, slot in enumerate(b.slots):
-        both = counts[k].reshape(-1).view(np.uint64)[slot]  # two counts in one look-up
-        ones = (both >> np.uint64(32)).astype(np.float32)
-        total = (both & np.uint64(0xFFFFFFFF)).astype(np.float32) + ones
-        p = np.clip((ones + np.float32(BACKOFF[k]) * p) / (total + np.float32(BACKOFF[k])), np.float32(1e-6), np.float32(1 - 1e-6))
-        now = np.log(p / (1 - p))
-        np.subtract(now, last, out=x[k + 1])
-        last = now
-    return x, (total >= 1).astype(np.int64) + (total >= 4) + (total >= 16)
-
-
-def learn(of: np.ndarray, at: np.ndarray, move: np.ndarray, seen: np.ndarray, rate: float) -> None:
-    """Adds the sum of moves at each place, times the rate over the root of their number."""
-    of[: len(seen)] += (rate / np.sqrt(np.maximum(seen, 1))) * np.bincount(at, move, len(seen))
+    x = np.empty((len(b.slots) + 1, len(b.bit)), dtype=np.float32)
+    level = np.empty(len(b.bit), dtype=np.int8)
+    tables = [c.reshape(-1).view(np.uint64) for c in counts]  # two counts in one look-up
+    for lo in range(0, len(b.bit), _CHUNK):  # scratch space stays in the cache
+        hi = min(lo + _CHUNK, len(b.bit))
+        node = b.node[lo:hi]
+        last, p = code.logit.take(node, mode="clip"), code.share.take(node, mode="clip")
+        x[0, lo:hi] = last
+        for k, slot in enumerate(b.slots):
+            both = tables[k].take(slot[lo:hi], mode="clip").view(np.uint32)
+            ones = both[1::2].astype(np.float32)
+            total = both[::2].astype(np.float32)
+            total += ones
+            p *= np.float32(BACKOFF[k])
+            p += ones
+            p /= total + np.float32(BACKOFF[k])
+            np.minimum(np.maximum(p, np.float32(1e-6), out=p), np.float32(1 - 1e-6), out=p)
+            now = 1 - p
+            np.divide(p, now, out=now)
+            np.log(now, out=now)
+            np.subtract(now, last, out=x[k + 1, lo:hi])
+            last = now
+        seen = (total >= 1).view(np.int8)
+        seen += (total >= 4).view(np.int8)
+        seen += (total >= 16).view(np.int8)
+        level[lo:hi] = seen
+    return x, level
+
+
+def summed(lanes: np.ndarray, weights: np.ndarray | None, n: int) -> np.ndarray:
+    """Sums of weights (or counts) at n places, dealt to lanes: sums of neighbours at one place need not wait for each other."""
+    return np.bincount(lanes, weights, _LANES * n).reshape(_LANES, n).sum(axis=0)
 
 
 def score_block(t: Tokens, code: Code, counts: np.ndarray) -> np.ndarray:
@@ -323,31 +348,62 @@ def score_block(t: Tokens, code: Code, counts: np.ndarray) -> np.ndarray:
         b = Bits(t, code, some, slot_bits)
         b.guess(t, code, some)
         x, level = predictions(b, code, counts)
-        doc = np.repeat(t.doc[some], b.size)
-        row = doc * _GATES + 4 * b.state + level
-        place = (doc * 3 + b.state) * LEVELS
-        sign = np.where(b.bit == 1, np.float32(1), np.float32(-1))
-        cost = np.empty(len(doc), dtype=np.float32)
-        cuts = np.cumsum(b.size)[np.flatnonzero(np.diff(step[turn]))].tolist()
-        for from_, to in zip([0, *cuts], [*cuts, len(doc)]):
-            xs, rows, cells, signs = x[:, from_:to], row[from_:to], place[from_:to], sign[from_:to]
-            base = int(rows.min())
-            rows = rows - base
-            z = np.zeros(to - from_, dtype=np.float32)
-            for own, of in zip(xs, weights):
-                z += own * of[base:][rows]
-            np.clip(z, -12, 12, out=z)
-            error = signs / (1 + np.exp(signs * z))
-            seen = np.bincount(rows)
-            for own, of in zip(xs, weights):
-                learn(of[base:], rows, own * error, seen, RATE)
-            base = int(cells.min())
-            cells = cells - base + np.rint((z + 12) * np.float32((LEVELS - 1) / 24)).astype(np.int64)
-            z += refined[base:][cells]
-            odds = np.exp(-signs * z)
-            np.negative(np.log1p(odds), out=cost[from_:to])
-            learn(refined[base:], cells, signs * odds / (1 + odds), np.bincount(cells), MAP_RATE)
-        score += np.bincount(doc, cost, n_docs)
+        doc = t.doc[some]
+        row = np.repeat(doc * _GATES, b.size)
+        row += level
+        row[b.live] += 4 * b.state
+        place = np.repeat(doc * 3 * LEVELS, b.size)
+        place[b.live] += LEVELS * b.state
+        sign = 2 * b.bit.astype(np.float32) - 1
+        voted = 2 * b.vote
+        cost = np.empty(len(row), dtype=np.float32)
+        first = np.append(0, np.flatnonzero(np.diff(step[turn])) + 1)  # tokens, by document, of each step
+        cuts = np.append(np.cumsum(b.size) - b.size, len(row))[np.append(first, len(some))]
+        voters = np.searchsorted(b.live, cuts).tolist()
+        cuts = cuts.tolist()
+        until = doc[np.append(first[1:], len(some)) - 1].tolist()
+        turns = np.arange(len(row)) % _LANES
+        for i, d in enumerate(doc[first].tolist()):
+            from_, to, n_rows = cuts[i], cuts[i + 1], (until[i] + 1 - d) * _GATES
+            live, vote = b.live[voters[i] : voters[i + 1]] - from_, voted[voters[i] : voters[i + 1]]
+            xs, signs, base = x[:, from_:to], sign[from_:to], d * _GATES
+            rows = row[from_:to] - base
+            lanes = turns[: to - from_] * n_rows
+            lanes += rows
+            seen = summed(lanes, None, n_rows)
+            own = weights[:, base : base + n_rows]
+            z = own[0].take(rows, mode="clip")
+            z *= xs[0]
+            for k in range(1, len(xs)):
+                part = own[k].take(rows, mode="clip")
+                part *= xs[k]
+                z += part
+            voting = rows[live]
+            z[live] += vote * own[-1].take(voting, mode="clip")
+            np.minimum(np.maximum(z, np.float32(-12), out=z), np.float32(12), out=z)
+            error = signs * z
+            np.exp(error, out=error)
+            error += 1
+            np.divide(signs, error, out=error)
+            rate = RATE / np.sqrt(np.maximum(seen, 1))
+            for k in range(len(xs)):
+                own[k] += rate * summed(lanes, xs[k] * error, n_rows)
+            own[-1] += rate * np.bincount(voting, vote * error[live], n_rows)
+            base = d * 3 * LEVELS
+            cells = place[from_:to] - base
+            cells += np.rint((z + 12) * np.float32((LEVELS - 1) / 24)).astype(np.int64)
+            z += refined[base:].take(cells, mode="clip")
+            z *= signs
+            odds = np.exp(np.negative(z, out=z), out=z)
+            both = 1 + odds
+            np.log(both, out=cost[from_:to])
+            odds /= both
+            odds *= signs
+            n_cells = (until[i] + 1 - d) * 3 * LEVELS
+            cells += turns[: to - from_] * n_cells
+            seen = summed(cells, None, n_cells)
+            refined[base : base + n_cells] += (MAP_RATE / np.sqrt(np.maximum(seen, 1))) * summed(cells, odds, n_cells)
+        score -= np.bincount(row, cost, n_docs * _GATES).reshape(n_docs, _GATES).sum(axis=1)
     return score / math.log(2)
 
 
