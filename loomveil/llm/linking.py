@@ -151,7 +151,8 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
     on the columns of two members, given as prefixes, that every linked pair fulfils in the first bucket
     they share, and close(x, y) one on their traits.  Star rounds, whose pairs are few, look traits up by
     pair; the last round has them in the buckets, so that it makes no pairs that they rule out.  There, sharp
-    may give more traits (item, ...) of a column of items, and a condition on them for the pairs that are close."""
+    may give more traits (item, ...) of a column of items, and a condition on them for the pairs that are close;
+    only rows with a partner that is close get them."""
     extra = ["item", *(c for c in members.columns if c not in ("bucket", "item"))]
     lean = F.struct(*(F.col(f"x.{c}") for c in extra if c != "before")).alias("x")
     whole = F.struct(*extra)
@@ -171,6 +172,23 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
         new = both.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).where("a <> b").distinct()
         return new if seen is None else new.join(seen, ["a", "b"], "left_anti")
 
+    def sharpened(few: DataFrame, other: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The rows of few and of other with a partner among the other ones, with sharp traits, and the table that
+        they come from.  Most rows have none, so traits that grow with the set are not dealt to all buckets."""
+        may = (F.col("bucket") == F.col("__bucket")) & may_link("x", "y") & wanted
+        right = other.withColumnRenamed("bucket", "__bucket")
+        near = few.join(right, may, "left_semi").select("bucket", "comp", "main", "x", "xt", F.lit(True).alias("is_few"))
+        met = right.join(few, may, "left_semi").select(F.col("__bucket").alias("bucket"), F.col("other").alias("comp"), F.lit(None).cast("bigint").alias("main"), F.col("y").alias("x"), F.col("yt").alias("xt"), F.lit(False).alias("is_few"))
+        both = stash(near.unionByName(met), "near")
+        items = stash(both.select("x.item").distinct(), "items")
+        more = stash(sharp[0](items), "traits")
+        of_item = more.select(F.col("item").alias("__item"), F.struct(*(c for c in more.columns if c != "item")).alias("xs"))
+        rows = stash(both.join(of_item, F.col("x.item") == F.col("__item")).drop("__item"), "mixed")
+        discard(both, items, more)
+        few = rows.where("is_few").drop("is_few")
+        other = rows.where("not is_few").select("bucket", F.col("comp").alias("other"), F.col("x").alias("y"), F.col("xt").alias("yt"), F.col("xs").alias("ys"))
+        return few, other, rows
+
     def many_pairs(named: DataFrame) -> bool:
         """Whether the buckets of named hold STAR_GAIN times as many pairs of different components as rows."""
         n = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
@@ -202,27 +220,22 @@ def link(members: DataFrame, traits: DataFrame, check: Callable[[DataFrame], Dat
             pivots = slim.groupBy("bucket").agg(F.min(best).alias("p")).select("bucket", F.col("p.x.item" if k == 0 else "p.comp").alias("pivot_comp"), F.col("p.x").alias("y"))
             new = pairs(slim, pivots, F.col("comp") != F.col("pivot_comp"))
         else:
-            slim, named = named, with_traits(named, "x.item", "xt", traits.columns)
-            if sharp:
-                items = stash(slim.select("x.item").distinct(), "items")
-                more = stash(sharp[0](items), "traits")
-                named = named.join(more.select(F.col("item").alias("__item"), F.struct(*more.columns).alias("xs")), F.col("x.item") == F.col("__item")).drop("__item")
-            named = stash(named, "mixed")
-            if sharp:
-                discard(items, more)
+            slim, named = named, stash(with_traits(named, "x.item", "xt", [c for c in traits.columns if c != "item"]), "mixed")
             if k:
                 discard(slim)
             sizes = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
             main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
             few = named.join(main, "bucket").where("comp <> main")
-            other = named.select("bucket", F.col("comp").alias("other"), *(F.col(c).alias(c.replace("x", "y", 1)) for c in named.columns if c not in ("bucket", "comp")))
+            other = named.select("bucket", F.col("comp").alias("other"), F.col("x").alias("y"), F.col("xt").alias("yt"))
             wanted = (F.col("comp") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("comp") < F.col("other"))) & close("xt", "yt")
             if "buckets" in traits.columns:
                 wanted &= ~F.arrays_overlap(*(F.slice(f"{s}t.buckets", F.lit(1), F.col(f"{s}.at")) for s in ("x", "y")))
             if "before" in extra:
                 wanted &= F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
             if sharp:
-                wanted &= sharp[1]("xs", "ys")
+                few, other, aside = sharpened(few, other, wanted)
+                discard(named)
+                named, wanted = aside, wanted & sharp[1]("xs", "ys")
             new = pairs(few, other, wanted)
         new = stash(narrow(new) if star else new, "pairs")
         linked = check(new)
