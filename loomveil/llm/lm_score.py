@@ -70,6 +70,9 @@ _LEAST_BITS = 21
 #: bits whose logits are made at once
 _CHUNK = 1 << 14
 _LANES = 4
+#: tokens of several documents whose weights move at once, about so many
+_SLICE = 1200
+_INDEX_BITS = 20
 BACKOFF = (6.0, 4.0, 2.0)
 _WEIGHTS = np.array([1.0, 0.9, 0.4, 0.3, 0.5], dtype=np.float32)
 _GATES = 12
@@ -89,6 +92,7 @@ class Code:
         self.classes = len(others)
         self.first = 1 + self.classes  # symbol of the first word
         weights = np.concatenate([[max(1, ends)], np.maximum(1, others), counts[order]]).astype(np.int64)
+        self.index: np.ndarray | None = None  # made where it is used
         self.counts = counts[order]
         self.class_bits = np.log2(others + distinct + 1.0)  # what a word of count 0 costs in its class
         self.rank = np.full(len(weights), len(weights), dtype=np.int64)
@@ -129,14 +133,25 @@ class Code:
         own = 1 + (h & np.uint64(self.classes - 1)).astype(np.int64)
         if not len(self.keys):
             return own
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at + self.first, own)
+        # hashes are spread evenly, so a word is looked for among the few that share its first bits
+        if self.index is None:
+            self.index = np.searchsorted(self.keys >> np.uint64(64 - _INDEX_BITS), np.arange(1 << _INDEX_BITS, dtype=np.uint64)).astype(np.int32)
+        at = self.index.take((h >> np.uint64(64 - _INDEX_BITS)).view(np.int64), mode="clip").astype(np.int64)
+        own_key = self.keys.take(at, mode="clip")
+        live = np.flatnonzero(own_key < h)
+        while len(live):
+            at[live] += 1
+            live = live[at[live] < len(self.keys)]
+            own_key[live] = self.keys[at[live]]
+            live = live[own_key[live] < h[live]]
+        return np.where(own_key == h, at + self.first, own)
 
 
 class Tokens:
     """The tokens of a block of documents: words, with an end after those of each document."""
 
-    def __init__(self, w: textops.Words, code: Code):
+    def __init__(self, w: textops.Words, code: Code, match: bool = True):
+        """match: whether the match model is wanted, which bit counts do not need."""
         h, docs = w.hashes(), np.arange(len(w.ptr) - 1)
         n = len(h) + len(docs)
         self.w, self.ptr = w, w.ptr + np.arange(len(w.ptr))
@@ -158,6 +173,8 @@ class Tokens:
         near = np.maximum.accumulate(np.append(-1, mark[:-1])) if n else mark
         frequent = np.where(near >= first, self.hash[np.maximum(near, 0)], scope)
         self.contexts = [textops.mix(frequent + np.uint64(1)), textops.mix(last + np.uint64(2)), textops.mix(textops.mix(last) ^ (before + np.uint64(3)))]
+        if not match:
+            return
         key = textops.in_scope(self.contexts[2], self.doc)
         order = np.argsort(key, kind="stable")
         same = np.append(False, key[order][1:] == key[order][:-1]) if n else np.zeros(0, dtype=bool)
@@ -212,6 +229,25 @@ def _ranges(t: Tokens) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def _turns(t: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens in order of their step, in ranges of about WORDS, and where the slices of a range begin: parts of
+    a step of about _SLICE tokens, of whole steps of documents."""
+    step = t.at // STEP
+    turn = np.argsort(step.astype(np.uint16) if len(step) and step.max() < 1 << 16 else step, kind="stable")
+    step, doc = step[turn], t.doc[turn]
+    cuts = np.append(np.flatnonzero(np.append(True, (step[1:] != step[:-1]) | (doc[1:] != doc[:-1]))), len(turn))
+    lo = 0
+    while lo < len(turn):
+        hi = int(cuts[np.searchsorted(cuts, lo + WORDS, side="right") - 1])
+        own = cuts[np.searchsorted(cuts, lo) : np.searchsorted(cuts, hi)]
+        new = np.append(True, step[own[1:]] != step[own[:-1]])
+        begin = own[new][np.cumsum(new) - 1]  # of the step, in the range
+        part = (own - begin) // _SLICE
+        new[1:] |= part[1:] != part[:-1]
+        yield turn[lo:hi], own[new] - lo
+        lo = hi
+
+
 def _columns(column) -> Iterator[tuple[int, int, textops.Words]]:
     return textops.word_blocks(column, textops.SPACE_WORDS, lower=True, block_bytes=BLOCK_BYTES)
 
@@ -243,7 +279,9 @@ class Counts:
                 yield from self.give()
             self.held += len(b.bit)
             for k, slot in enumerate(b.slots):
-                np.add.at(self.total[k], 2 * slot + b.bit, np.uint32(1))
+                slot <<= 1
+                slot |= b.bit
+                np.add.at(self.total[k], slot, np.uint32(1))
 
     def give(self) -> Iterator[pa.RecordBatch]:
         """(piece, data) of the pieces with counts, which are set back to 0."""
@@ -275,7 +313,7 @@ def bit_counts(training: DataFrame, code, slot_bits: int, tasks: int) -> np.ndar
         counts = Counts(slot_bits)
         for batch in batches:
             for _, _, w in _columns(batch.column(0)):
-                yield from counts.add(Tokens(w, code.value), code.value)
+                yield from counts.add(Tokens(w, code.value, match=False), code.value)
         yield from counts.give()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,11 +378,7 @@ def score_block(t: Tokens, code: Code, counts: np.ndarray) -> np.ndarray:
     weights = np.repeat(_WEIGHTS[:, None], n_docs * _GATES, axis=1)
     refined = np.zeros(n_docs * 3 * LEVELS, dtype=np.float32)
     score = np.zeros(n_docs)
-    for lo, hi in _ranges(t):
-        # tokens in order of their step, so that a step of all documents is one slice of bits
-        step = t.at[lo:hi] // STEP
-        turn = np.argsort(step, kind="stable")
-        some = lo + turn
+    for some, first in _turns(t):  # a step of many documents is one slice of bits
         b = Bits(t, code, some, slot_bits)
         b.guess(t, code, some)
         x, level = predictions(b, code, counts)
@@ -357,7 +391,6 @@ def score_block(t: Tokens, code: Code, counts: np.ndarray) -> np.ndarray:
         sign = 2 * b.bit.astype(np.float32) - 1
         voted = 2 * b.vote
         cost = np.empty(len(row), dtype=np.float32)
-        first = np.append(0, np.flatnonzero(np.diff(step[turn])) + 1)  # tokens, by document, of each step
         cuts = np.append(np.cumsum(b.size) - b.size, len(row))[np.append(first, len(some))]
         voters = np.searchsorted(b.live, cuts).tolist()
         cuts = cuts.tolist()
